@@ -49,14 +49,26 @@ def spark_interval(interval: str) -> str:
     return f"{n} {unit}s" if n != 1 else f"1 {unit}"
 
 
-def time_bucket(ts: Column, interval: str) -> Column:
-    """P10: floor a timestamp to an epoch-aligned bucket (type is preserved).
-
-    Uses a tumbling ``window``; Catalyst turns it into a projection (no
-    Expand), and rows with a null time drop out, as they do from the
-    reference's groupings.
+def time_bucket(ts: Column, interval: str, ntz: bool = True) -> Column:
+    """P10: floor a timestamp to an epoch-aligned bucket of ``interval``.
+
+    Pure projection arithmetic (micros since the epoch, floored to a multiple
+    of the width), so it keeps the column's type, leaves rows with a null
+    time in place (their bucket is null) and can appear several times in one
+    select.  ``ntz`` says whether ``ts`` is ``TIMESTAMP_NTZ`` (wall clock) or
+    ``TIMESTAMP`` (instant, bucketed on UTC).
     """
-    return F.window(ts, spark_interval(interval)).start
+    width = interval_seconds(interval) * 1_000_000
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") if ntz else F.timestamp_seconds(F.lit(0))
+    micros = F.timestamp_diff("MICROSECOND", epoch, ts)
+    return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, F.lit(width)), epoch)
+
+
+def bucket_of(df, time: str, interval: str) -> Column:
+    """``time_bucket`` for a column of ``df`` (picks NTZ / instant by schema)."""
+    from pyspark.sql.types import TimestampNTZType
+    ntz = isinstance(df.schema[time].dataType, TimestampNTZType)
+    return time_bucket(F.col(time), interval, ntz)
 
 
 def duckdb_interval(interval: str) -> str:

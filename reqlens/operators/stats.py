@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.functions.exprs import time_bucket, to_millis
+from reqlens.functions.exprs import bucket_of, to_millis
 from reqlens.functions.urls import generalize_with_rules, strip_query
 
 # Metric set of the per-URL statistics and the summary.
@@ -186,9 +186,9 @@ def time_stats(df: DataFrame, time: str = "time", status: str = "status",
                exact: bool = True) -> DataFrame:
     """Per bucket — count, errors (status ≥ 400), error rate over all rows,
     average and p95 response time; ascending time."""
-    bucket = time_bucket(F.col(time), interval).alias("time_bucket")
+    bucket = bucket_of(df, time, interval).alias("time_bucket")
     err = F.count_if(F.col(status) >= 400)
-    out = (df.groupBy(bucket)
+    out = (df.filter(F.col(time).isNotNull()).groupBy(bucket)
            .agg(F.count(F.lit(1)).alias("count"),
                 err.alias("error_count"),
                 F.avg(F.col(rt).cast("double")).alias("avg_response_time"),
