@@ -64,6 +64,14 @@ def time_bucket(ts: Column, interval: str, ntz: bool = True) -> Column:
     return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, F.lit(width)), epoch)
 
 
+def epoch_micros(df, time: str) -> Column:
+    """Microseconds since the epoch of a time column (wall clock for NTZ)."""
+    from pyspark.sql.types import TimestampNTZType
+    ntz = isinstance(df.schema[time].dataType, TimestampNTZType)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") if ntz else F.timestamp_seconds(F.lit(0))
+    return F.timestamp_diff("MICROSECOND", epoch, F.col(time))
+
+
 def bucket_of(df, time: str, interval: str) -> Column:
     """``time_bucket`` for a column of ``df`` (picks NTZ / instant by schema)."""
     from pyspark.sql.types import TimestampNTZType
