@@ -107,3 +107,161 @@ def with_requests(body: str, extra_ctes: str = "") -> str:
     """Prefix an oracle query with the ``requests`` CTE (and optional more CTEs)."""
     more = f",\n{extra_ctes}" if extra_ctes else ""
     return f"WITH requests AS ({REQUESTS_SQL}){more}\n{body}"
+
+
+# ---------------------------------------------------------------------------
+# Rendered log lines: ``requests`` written out as text in several formats,
+# plus junk lines (every line of every document).  Spark renders them here;
+# ``LINES_SQL`` renders the very same text in DuckDB for the oracles.
+# ---------------------------------------------------------------------------
+LINE_FORMATS = ("alb", "httpd", "nginx", "httpd_with_time", "json")
+
+
+def _q(c):
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _dash(c):
+    return F.coalesce(c.cast("string"), F.lit("-"))
+
+
+def _f(c, spec: str):
+    return F.format_string(spec, c)
+
+
+def _iso(c):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def _clf_time(c, eid):
+    east = F.concat(F.date_format(c + F.expr("INTERVAL 9 HOURS"), "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0900"))
+    utc = F.concat(F.date_format(c, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))
+    return _dash(F.when(eid % 4 == 1, east).otherwise(utc))
+
+
+def render_lines(req: DataFrame, fmt: str) -> DataFrame:
+    """``(value)`` lines of ``fmt`` for every request row."""
+    eid = F.col("event_id")
+    s = lambda x: x.cast("string")
+    target = _dash(F.concat(F.col("target_ip"), F.lit(":"), s(F.col("target_port"))))
+    request = F.concat_ws(" ", F.col("request_verb"), F.col("request_url"), F.lit("HTTP/1.1"))
+    agent = F.concat(F.lit("agent/1.0 (n"), s(eid % 7), F.lit(")"))
+    referer = F.concat(F.lit("https://ref.example.com/"), s(eid % 5))
+    user = F.when(eid % 7 == 0, F.concat(F.lit("u"), s(eid % 13))).otherwise(F.lit("-"))
+    if fmt == "alb":
+        head = F.concat_ws(
+            " ", F.when(eid % 2 == 0, F.lit("https")).otherwise(F.lit("http")), _dash(_iso(F.col("time"))),
+            F.lit("app/main-lb/50dc6c495c0c9188"),
+            F.concat(F.col("client_ip"), F.lit(":"), s(F.lit(40000) + eid % 1000)), target,
+            _f(F.col("request_processing_time"), "%.9f"), _f(F.col("target_processing_time"), "%.9f"),
+            _f(F.col("response_processing_time"), "%.9f"), _dash(F.col("status")), _dash(F.col("status")),
+            s(F.col("received_bytes")), s(F.col("sent_bytes")), _q(request), _q(agent),
+            F.lit("ECDHE-RSA-AES128-GCM-SHA256"), F.lit("TLSv1.2"))
+        tail = F.concat_ws(
+            " ", F.lit("tg-main"), _q(F.concat(F.lit("Root=1-"), s(eid))), _q(F.lit("example.com")),
+            _q(F.lit("-")), s(eid % 50), _dash(_iso(F.col("request_creation_time"))), _q(F.lit("forward")),
+            _q(F.lit("-")), _q(F.lit("-")), _q(target), _q(_dash(F.col("status"))), _q(F.lit("-")),
+            _q(F.lit("-")), F.concat(F.lit("TID_"), s(eid)))
+        line = F.when(eid % 5 == 0, head).otherwise(F.concat_ws(" ", head, tail))
+    elif fmt in ("httpd", "nginx", "httpd_with_time"):
+        req_text = F.when(eid % 29 == 0, F.lit("-")).otherwise(request) if fmt == "httpd" else request
+        nbytes = F.when(eid % 11 == 0, F.lit("-")).otherwise(s(F.col("sent_bytes")))
+        base = F.concat_ws(" ", F.col("client_ip"), F.lit("-"), user,
+                           F.concat(F.lit("["), _clf_time(F.col("time"), eid), F.lit("]")),
+                           _q(req_text), _dash(F.col("status")), nbytes)
+        quoted = F.concat_ws(" ", base, _q(referer), _q(agent))
+        if fmt == "httpd":
+            line = F.when(eid % 3 == 0, base).otherwise(quoted)
+        elif fmt == "nginx":
+            line = F.concat_ws(" ", quoted, _f(F.col("target_processing_time"), "%.6f"))
+        else:
+            us = F.round(F.col("target_processing_time") * 1000000).cast("bigint")
+            line = F.concat_ws(" ", quoted, s(us))
+    elif fmt == "json":
+        line = F.to_json(F.struct(
+            _iso(F.col("time")).alias("timestamp"), F.col("request_verb").alias("method"),
+            F.col("request_url").alias("url"), F.col("status").alias("status"),
+            (F.col("target_processing_time") * 1000).alias("response_time"),
+            F.col("client_ip").alias("client_ip"), F.col("sent_bytes").alias("bytes_sent")),
+            {"ignoreNullFields": "false"})
+    else:
+        raise ValueError(f"unknown line format {fmt!r}")
+    return req.select(line.alias("value"))
+
+
+def junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document (no carriage returns), as non-log noise."""
+    docs = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return docs.filter(~F.col("value").contains("\r"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str, fmt: str, junk: bool = True) -> DataFrame:
+    lines = render_lines(requests_relation(spark, sf_dir), fmt)
+    return lines.unionByName(junk_lines(spark, sf_dir)) if junk else lines
+
+
+def _d_dash(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '-')"
+
+
+def _d_iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def _d_clf_time(x: str) -> str:
+    return (f"coalesce(CASE WHEN event_id % 4 = 1 THEN strftime({x} + INTERVAL 9 HOUR, '%d/%b/%Y:%H:%M:%S') "
+            f"|| ' +0900' ELSE strftime({x}, '%d/%b/%Y:%H:%M:%S') || ' +0000' END, '-')")
+
+
+_D_TARGET = _d_dash("target_ip || ':' || CAST(target_port AS VARCHAR)")
+_D_REQUEST = "request_verb || ' ' || request_url || ' HTTP/1.1'"
+_D_AGENT = "'agent/1.0 (n' || CAST(event_id % 7 AS VARCHAR) || ')'"
+_D_REFERER = "'https://ref.example.com/' || CAST(event_id % 5 AS VARCHAR)"
+_D_USER = "CASE WHEN event_id % 7 = 0 THEN 'u' || CAST(event_id % 13 AS VARCHAR) ELSE '-' END"
+
+
+def _d_clf_base(request_sql: str) -> str:
+    nbytes = "CASE WHEN event_id % 11 = 0 THEN '-' ELSE CAST(sent_bytes AS VARCHAR) END"
+    return (f"client_ip || ' - ' || {_D_USER} || ' [' || {_d_clf_time('time')} || '] \"' || {request_sql} || '\" ' "
+            f"|| {_d_dash('status')} || ' ' || {nbytes}")
+
+
+def _d_quoted(base: str) -> str:
+    return f"{base} || ' \"' || {_D_REFERER} || '\" \"' || {_D_AGENT} || '\"'"
+
+
+_D_ALB_HEAD = (
+    "CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || ' ' || " + _d_dash(_d_iso("time"))
+    + " || ' app/main-lb/50dc6c495c0c9188 ' || client_ip || ':' || CAST(40000 + event_id % 1000 AS VARCHAR) || ' ' || "
+    + _D_TARGET + " || ' ' || printf('%.9f', request_processing_time) || ' ' || printf('%.9f', target_processing_time)"
+    " || ' ' || printf('%.9f', response_processing_time) || ' ' || " + _d_dash("status") + " || ' ' || "
+    + _d_dash("status") + " || ' ' || CAST(received_bytes AS VARCHAR) || ' ' || CAST(sent_bytes AS VARCHAR) || ' \"' || "
+    + _D_REQUEST + " || '\" \"' || " + _D_AGENT + " || '\" ECDHE-RSA-AES128-GCM-SHA256 TLSv1.2'")
+_D_ALB_TAIL = (
+    "'tg-main \"Root=1-' || CAST(event_id AS VARCHAR) || '\" \"example.com\" \"-\" ' || CAST(event_id % 50 AS VARCHAR)"
+    " || ' ' || " + _d_dash(_d_iso("request_creation_time")) + " || ' \"forward\" \"-\" \"-\" \"' || " + _D_TARGET
+    + " || '\" \"' || " + _d_dash("status") + " || '\" \"-\" \"-\" TID_' || CAST(event_id AS VARCHAR)")
+
+LINE_SQL = {
+    "alb": f"CASE WHEN event_id % 5 = 0 THEN {_D_ALB_HEAD} ELSE {_D_ALB_HEAD} || ' ' || {_D_ALB_TAIL} END",
+    "httpd": (f"CASE WHEN event_id % 3 = 0 THEN {_d_clf_base(f'CASE WHEN event_id % 29 = 0 THEN {chr(39)}-{chr(39)} ELSE {_D_REQUEST} END')}"
+              f" ELSE {_d_quoted(_d_clf_base(f'CASE WHEN event_id % 29 = 0 THEN {chr(39)}-{chr(39)} ELSE {_D_REQUEST} END'))} END"),
+    "nginx": f"{_d_quoted(_d_clf_base(_D_REQUEST))} || ' ' || printf('%.6f', target_processing_time)",
+    "httpd_with_time": (f"{_d_quoted(_d_clf_base(_D_REQUEST))} || ' ' || "
+                        "CAST(CAST(round(target_processing_time * 1000000) AS BIGINT) AS VARCHAR)"),
+}
+JUNK_SQL = ("SELECT line AS value FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) "
+            "WHERE NOT contains(line, chr(13))")
+
+
+def lines_cte(fmt: str, junk: bool = True) -> str:
+    """DuckDB CTE ``lines(value)`` for ``fmt`` (requires the ``requests`` CTE)."""
+    if fmt == "json":
+        body = ("SELECT json_object('timestamp', " + _d_iso("time") + ", 'method', request_verb, 'url', request_url,"
+                " 'status', status, 'response_time', target_processing_time * 1000, 'client_ip', client_ip,"
+                " 'bytes_sent', sent_bytes)::VARCHAR AS value FROM requests")
+    else:
+        body = f"SELECT {LINE_SQL[fmt]} AS value FROM requests"
+    if junk:
+        body = f"{body} UNION ALL {JUNK_SQL}"
+    return f"lines AS ({body})"
