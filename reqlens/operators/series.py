@@ -79,11 +79,20 @@ def _top_series(cells: DataFrame, value: str, top_n: int, lead: DataFrame | None
 # ---------------------------------------------------------------------------
 # Request counts per URI pattern, target, client
 # ---------------------------------------------------------------------------
-def _count_series(df: DataFrame, time: str, label: Column, interval: str, top_n: int,
-                  lead_labels: Sequence[str] | None = None) -> DataFrame:
+def _count_series(df: DataFrame, time: str, key: Column, interval: str, top_n: int,
+                  lead_labels: Sequence[str] | None = None, label_of=None) -> DataFrame:
+    """Counts per (bucket, label).  With ``label_of`` the rows are first counted
+    per (bucket, raw key) and the label is computed on those cells — so an
+    expensive label (URL generalisation) runs per distinct key and bucket, not
+    per row; the counts add up exactly."""
     d = df.filter(F.col(time).isNotNull())
-    cells = (d.select(bucket_of(d, time, interval).alias(BUCKET), label.alias(LABEL))
-             .groupBy(BUCKET, LABEL).agg(F.count(F.lit(1)).alias("count")))
+    cells = (d.select(bucket_of(d, time, interval).alias(BUCKET), key.alias("__key"))
+             .groupBy(BUCKET, "__key").agg(F.count(F.lit(1)).alias("count")))
+    if label_of is not None:
+        cells = (cells.select(BUCKET, label_of(F.col("__key")).alias(LABEL), "count")
+                 .groupBy(BUCKET, LABEL).agg(F.sum("count").alias("count")))
+    else:
+        cells = cells.withColumnRenamed("__key", LABEL)
     lead = _lead_from_labels(df.sparkSession, lead_labels) if lead_labels is not None else None
     return _top_series(cells, "count", top_n, lead)
 
@@ -92,9 +101,10 @@ def requests_per_uri(df: DataFrame, time: str = "time", url: str = "request_url"
                      top_n: int = 20, rules: Sequence[Rule] | None = None) -> DataFrame:
     """T1 (+T7): ``(time_bucket, label, count)``; leaders by request count, or
     the rule set's patterns when ``rules`` is given."""
-    lab = url_pattern_label(F.col(url), list(rules) if rules else None)
     lead = rule_leaders(df.sparkSession, rules) if rules else None
-    return _count_series(df, time, lab, interval, top_n, lead)
+    rl = list(rules) if rules else None
+    return _count_series(df, time, F.col(url), interval, top_n, lead,
+                         label_of=lambda u: url_pattern_label(u, rl))
 
 
 def requests_per_target(df: DataFrame, time: str = "time", ip: str = "target_ip", port: str = "target_port",
@@ -123,10 +133,13 @@ def bytes_per_uri(df: DataFrame, bytes_col: str = "received_bytes", time: str =
     total sum and the unweighted mean of its bucket means, with a rank for each.
     """
     d = df.filter(F.col(time).isNotNull() & F.col(bytes_col).isNotNull())
-    lab = url_pattern_label(F.col(url), list(rules) if rules else None)
     b = F.col(bytes_col).cast("double")
-    cells = (d.select(bucket_of(d, time, interval).alias(BUCKET), lab.alias(LABEL), b.alias("__b"))
-             .groupBy(BUCKET, LABEL).agg(F.sum("__b").alias("sum_bytes"), F.avg("__b").alias("avg_bytes")))
+    # per (bucket, raw URL) first; the URL is generalised on those cells only
+    raw = (d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"), b.alias("__b"))
+           .groupBy(BUCKET, "__u").agg(F.sum("__b").alias("__s"), F.count(F.lit(1)).alias("__n")))
+    lab = url_pattern_label(F.col("__u"), list(rules) if rules else None)
+    cells = (raw.select(BUCKET, lab.alias(LABEL), "__s", "__n").groupBy(BUCKET, LABEL)
+             .agg(F.sum("__s").alias("sum_bytes"), (F.sum("__s") / F.sum("__n")).alias("avg_bytes")))
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules, generalize=False))
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reqlens.operators import stats
 from reqlens.plans import duck
 from reqlens.plans.registry import normalized, r, register
-from reqlens.sources.fixtures import requests_relation, with_requests
+from reqlens.sources.fixtures import LINEITEM_REQUESTS_SQL, lineitem_requests, requests_relation, with_requests
 
 PT = ["request_processing_time", "target_processing_time", "response_processing_time"]
 
@@ -164,3 +164,18 @@ SELECT {_BYTES_SQL} FROM requests WHERE request_url IS NOT NULL GROUP BY request
 def a13_url_byte_stats(spark, sf):
     return normalized(stats.url_stats(requests_relation(spark, sf), rt=None,
                                       byte_fields=("sent_bytes", "received_bytes")))
+
+
+_PT_BIG_SQL = ", ".join(["request_url AS url", "count(*) AS count"]
+                        + _metric_sql("target_processing_time", "response_time", stats.URL_METRICS)
+                        + [s for f in PT for s in _metric_sql(f, f, ("avg", "p95"))])
+
+
+@register("a5b_url_stats_lineitem", f"""WITH requests AS ({LINEITEM_REQUESTS_SQL})
+SELECT {_PT_BIG_SQL} FROM requests WHERE request_url IS NOT NULL GROUP BY request_url""")
+def a5b_url_stats_lineitem(spark, sf):
+    """A5+A6 over one request per lineitem row (~500 URLs): the bench's baseline comparison."""
+    out = stats.url_stats(lineitem_requests(spark, sf), processing_fields=PT)  # one aggregation
+    keep = ["url", "count"] + [f"response_time_{m}" for m in stats.URL_METRICS] + [
+        f"{f}_{m}" for f in PT for m in ("avg", "p95")]
+    return normalized(out.select(*keep))

@@ -265,3 +265,45 @@ def lines_cte(fmt: str, junk: bool = True) -> str:
     if junk:
         body = f"{body} UNION ALL {JUNK_SQL}"
     return f"lines AS ({body})"
+
+
+# ---------------------------------------------------------------------------
+# A larger request table for benches: one request per ``lineitem`` row,
+# spread over at most 500 page URLs (the reference's published timing is for
+# 1,000,000 requests over ~500 URLs).
+# ---------------------------------------------------------------------------
+LINEITEM_URLS = 500
+
+
+def lineitem_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("request_url"))
+    n = min(LINEITEM_URLS, pages.count())
+    ok = F.col("l_orderkey")
+    rf = F.col("l_returnflag")
+    rows = li.select(
+        (ok * 8 + F.col("l_linenumber")).alias("event_id"),
+        F.timestamp_add("SECOND", ok % 86400, F.col("l_shipdate")).alias("time"),
+        F.concat_ws(".", F.lit("10"), F.lit("2"), F.expr("CAST((l_suppkey div 256) % 256 AS STRING)"),
+                    (F.col("l_suppkey") % 256).cast("string")).alias("client_ip"),
+        F.when(rf == "R", F.when(F.col("l_linenumber") % 2 == 0, F.lit(500)).otherwise(F.lit(404)))
+         .when(ok % 17 == 0, F.lit(302)).otherwise(F.lit(200)).alias("status"),
+        (F.col("l_extendedprice") / 100000).alias("target_processing_time"),
+        (F.col("l_discount") / 10).alias("request_processing_time"),
+        (F.col("l_tax") / 10).alias("response_processing_time"),
+        (F.col("l_quantity") * 100).cast("bigint").alias("sent_bytes"),
+        (F.col("l_partkey") % F.lit(n)).alias("page_id"))
+    return rows.join(pages, "page_id").drop("page_id")
+
+
+LINEITEM_REQUESTS_SQL = f"""
+SELECT l_orderkey * 8 + l_linenumber AS event_id,
+       l_shipdate + to_seconds(l_orderkey % 86400) AS time,
+       '10.2.' || CAST((l_suppkey // 256) % 256 AS VARCHAR) || '.' || CAST(l_suppkey % 256 AS VARCHAR) AS client_ip,
+       CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 500 ELSE 404 END
+            WHEN l_orderkey % 17 = 0 THEN 302 ELSE 200 END::INTEGER AS status,
+       l_extendedprice / 100000 AS target_processing_time, l_discount / 10 AS request_processing_time,
+       l_tax / 10 AS response_processing_time, CAST(l_quantity * 100 AS BIGINT) AS sent_bytes,
+       p.url AS request_url
+FROM lineitem JOIN pages p ON p.page_id = l_partkey % (SELECT least({LINEITEM_URLS}, count(*)) FROM pages)
+"""

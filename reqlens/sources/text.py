@@ -19,8 +19,10 @@ from reqlens.functions.exprs import trailing_micros_as_seconds
 from reqlens.sources.formats import ALB_FALLBACK_COLUMNS, PRESETS, LogFormat, compile_apache_format, custom_format, preset
 
 SEP = "\u0001"
-# The characters Python's str.strip() removes (str.isspace()),
-# written with escapes both Java regex and RE2 accept.
+# The characters Python's str.strip() removes (str.isspace()).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+# the same set as a regex class both Java regex and RE2 accept
 WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
             r"\x{205F}\x{3000}]")
 NULL_TOKENS = ("", "-", " ")
@@ -47,8 +49,9 @@ JSON_ROLE_KEYS = {
 
 
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()`` as a native expression."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()`` as a native expression (a character-set trim:
+    it only looks at the two ends of the line)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def null_token(c: Column) -> Column:
@@ -150,59 +153,70 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
     idx = {c: i + 1 for i, c in enumerate(cols) if i < n}
     in_regex = [c for c in needed if c in idx]
     value = F.col("value")
-    anchored = f"^(?:{fmt.pattern})"
-    matched = value.rlike(anchored) & ~value.contains(SEP)
-    if in_regex:
-        repl = SEP.join(f"${idx[c]}" for c in in_regex)
-        parts = F.split(F.regexp_replace(value, f"(?s)^(?:{fmt.pattern}).*$", repl), SEP, -1)
-    stage = lines.select(*keep, "value", matched.alias("__m"),
-                         *([parts.alias("__p")] if in_regex else []))
+    # One regex evaluation per line: a match is rewritten to SEP + the wanted
+    # groups joined by SEP; a line that does not match comes back unchanged
+    # (lines that already contain SEP are rejected).  The rewrite is
+    # materialised once in ``stage``; records and rejects are then selected
+    # with a generator rather than a Filter, so the optimizer cannot copy the
+    # regex into a pushed-down predicate.
+    repl = SEP + SEP.join(f"${idx[c]}" for c in in_regex)
+    out = F.regexp_replace(value, f"(?s)^(?:{fmt.pattern}).*$", repl)
+    stage = (lines.select(*keep, "value", out.alias("__o"))
+             .select(*keep, "value", F.col("__o").startswith(SEP).alias("__hit"),
+                     F.split(F.substring("__o", 2, 1 << 30), SEP, -1).alias("__p")))
+    parts = F.col("__p")
     raw: dict[str, Column] = {}
     for c in needed:
         if c in idx:
-            raw[c] = null_token(F.element_at(F.col("__p"), in_regex.index(c) + 1))
+            raw[c] = null_token(F.element_at(parts, in_regex.index(c) + 1))
         else:
             raw[c] = F.lit(None).cast("string")
-    if fmt.pattern_type == "ALB" and check:
-        valid = F.coalesce(*[raw[c] for c in check]).isNotNull()
-    elif fmt.pattern_type == "HTTPD" and check:
+    if fmt.pattern_type in ("ALB", "HTTPD") and check:
         valid = F.coalesce(*[raw[c] for c in check]).isNotNull()
     else:
         valid = F.lit(True)
-    ok = F.col("__m") & valid
+    ok = ~F.col("value").contains(SEP) & F.col("__hit") & valid
     out_cols = [c for c in cols if c in want]
-    projected = [_typed(raw[c], fmt.types.get(c), fmt).alias(c) for c in out_cols]
+    fields = [raw[c].alias(c) for c in out_cols]
+    if derived and "request" in needed and "request" not in out_cols:
+        fields.append(raw["request"].alias("request"))
+    picked = stage.select(*keep, F.inline(F.when(ok, F.array(F.struct(*fields)))))
+    projected = [_typed(F.col(c), fmt.types.get(c), fmt).alias(c) for c in out_cols]
     if derived and "request" in needed:
         # the derived request columns always come along (as in the reference)
-        m, u, p = _split_request(raw["request"])
+        m, u, p = _split_request(F.col("request"))
         projected += [m.alias("request_method"), u.alias("request_url"), p.alias("request_proto")]
-    records = stage.filter(ok).select(*keep, *projected)
-    rejected = stage.filter(~ok).select(*keep, "value")
+    records = picked.select(*keep, *projected)
+    rejected = stage.select(*keep, F.explode(F.when(~ok, F.array(F.col("value")))).alias("value"))
     return ParseResult(records, rejected, fmt)
 
 
+def _one_pass(lines: DataFrame, pattern: str, n: int, keep: list[str]) -> DataFrame:
+    """``keep, value, __hit, __p``: one regex rewrite per line into its groups."""
+    repl = SEP + SEP.join(f"${i}" for i in range(1, n + 1))
+    out = F.regexp_replace(F.col("value"), f"(?s)^(?:{pattern}).*$", repl)
+    return (lines.select(*keep, "value", out.alias("__o"))
+            .select(*keep, "value", (F.col("__o").startswith(SEP) & ~F.col("value").contains(SEP)).alias("__hit"),
+                    F.split(F.substring("__o", 2, 1 << 30), SEP, -1).alias("__p")))
+
+
 def _parse_fallback(lines: DataFrame, fmt: LogFormat, keep: list[str]) -> ParseResult:
     """No column list — ALB: first 17 named + ``_extra_groups``; HTTPD with
     ≥ 10 groups: fixed names; otherwise the raw group array."""
     n = fmt.n_groups
-    value = F.col("value")
-    matched = value.rlike(f"^(?:{fmt.pattern})") & ~value.contains(SEP)
-    groups = (F.split(F.regexp_replace(value, f"(?s)^(?:{fmt.pattern}).*$",
-                                       SEP.join(f"${i}" for i in range(1, n + 1))), SEP, -1)
-              if n else F.array().cast("array<string>"))
-    stage = lines.select(*keep, "value", matched.alias("__m"), groups.alias("__g"))
-    g = F.col("__g")
+    stage = _one_pass(lines, fmt.pattern, n, keep)
+    g = F.col("__p") if n else F.array().cast("array<string>")
     if fmt.pattern_type == "ALB" and n:
         k = min(n, 17)
-        proj = [null_token(F.element_at(g, i + 1)).alias(ALB_FALLBACK_COLUMNS[i]) for i in range(k)]
+        fields = [null_token(F.element_at(g, i + 1)).alias(ALB_FALLBACK_COLUMNS[i]) for i in range(k)]
         if n > k:
-            proj.append(F.slice(g, k + 1, n - k).alias("_extra_groups"))
+            fields.append(F.slice(g, k + 1, n - k).alias("_extra_groups"))
     elif fmt.pattern_type == "HTTPD" and n >= 10:
-        proj = [null_token(F.element_at(g, i + 1)).alias(c) for i, c in enumerate(HTTPD_FALLBACK_COLUMNS)]
+        fields = [null_token(F.element_at(g, i + 1)).alias(c) for i, c in enumerate(HTTPD_FALLBACK_COLUMNS)]
     else:
-        proj = [g.alias("raw_groups")]
-    records = stage.filter("__m").select(*keep, *proj)
-    rejected = stage.filter(~F.col("__m")).select(*keep, "value")
+        fields = [g.alias("raw_groups")]
+    records = stage.select(*keep, F.inline(F.when(F.col("__hit"), F.array(F.struct(*fields)))))
+    rejected = stage.select(*keep, F.explode(F.when(~F.col("__hit"), F.array(F.col("value")))).alias("value"))
     return ParseResult(records, rejected, fmt)
 
 
@@ -349,12 +363,9 @@ def clf_response_seconds(v: Column) -> Column:
 
 def parse_preview(lines: DataFrame, fmt: LogFormat) -> DataFrame:
     """``(value, matched, groups)`` — what the pattern captures per line."""
-    n = fmt.n_groups
-    v = F.col("value")
-    matched = v.rlike(f"^(?:{fmt.pattern})") & ~v.contains(SEP)
-    groups = F.split(F.regexp_replace(v, f"(?s)^(?:{fmt.pattern}).*$", SEP.join(f"${i}" for i in range(1, n + 1))),
-                     SEP, -1) if n else F.array().cast("array<string>")
-    return lines.select("value", matched.alias("matched"), F.when(matched, groups).alias("groups"))
+    stage = _one_pass(lines, fmt.pattern, fmt.n_groups, [])
+    return stage.select("value", F.col("__hit").alias("matched"),
+                        F.when(F.col("__hit"), F.col("__p")).alias("groups"))
 
 
 # ---------------------------------------------------------------------------
