@@ -19,8 +19,9 @@ INTERVAL_UNITS = {
     "h": "hour", "hr": "hour", "hrs": "hour", "hour": "hour", "hours": "hour",
     "d": "day", "day": "day", "days": "day",
 }
-# Duration unit factors relative to one second.
-SECONDS_PER_UNIT = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9}
+# Duration units as powers of ten of one second.
+UNIT_EXPONENT = {"s": 0, "ms": -3, "us": -6, "ns": -9}
+SECONDS_PER_UNIT = {u: 10.0 ** e for u, e in UNIT_EXPONENT.items()}
 
 
 def parse_interval(interval: str) -> tuple[int, str]:
@@ -92,8 +93,10 @@ def to_seconds_factor(unit: str) -> float:
 
 
 def convert_duration(value: float, from_unit: str, to_unit: str) -> float:
-    """Numeric duration conversion between s/ms/us/ns."""
-    return value * to_seconds_factor(from_unit) / to_seconds_factor(to_unit)
+    """Numeric duration conversion between s/ms/us/ns (one exact power-of-ten factor)."""
+    to_seconds_factor(from_unit), to_seconds_factor(to_unit)
+    d = UNIT_EXPONENT[from_unit] - UNIT_EXPONENT[to_unit]
+    return value * (10 ** d if d >= 0 else float(f"1e{d}"))
 
 
 def parse_duration(text: str, column_unit: str) -> float:
@@ -113,7 +116,7 @@ def parse_duration(text: str, column_unit: str) -> float:
 
 def to_millis(rt: Column, unit: str) -> Column:
     """Response time in ms from a column in ``unit``."""
-    factor = to_seconds_factor(unit) / 1e-3
+    factor = convert_duration(1.0, unit, "ms")
     return rt * F.lit(factor) if factor != 1.0 else rt
 
 
