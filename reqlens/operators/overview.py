@@ -51,16 +51,15 @@ def top_uris(df: DataFrame, time: str = "time", url: str = "request_url", top: i
 def top_ips(df: DataFrame, time: str = "time", client_ip: str = "client_ip", top: int = 50) -> DataFrame:
     """L4: the ``top`` client IPs with their share of all requests (1 decimal).
 
-    The denominator is one scalar aggregate; the share is computed on the
-    top-K rows only.
+    The denominator is a scalar subquery over the same per-IP counts (Spark
+    reuses that aggregation), so the input is aggregated once.
     """
     d = _valid(df, time)
-    total = d.count()
-    ips = (d.groupBy(F.coalesce(F.col(client_ip), F.lit("unknown")).alias("ip"))
-           .agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.desc("count"), "ip").limit(top))
-    share = F.round(F.col("count") * 100.0 / F.lit(max(total, 1)), 1) if total else F.lit(0.0)
-    return ips.withColumn("share", share)
+    per_ip = (d.groupBy(F.coalesce(F.col(client_ip), F.lit("unknown")).alias("ip"))
+              .agg(F.count(F.lit(1)).alias("count")))
+    total = per_ip.select(F.sum("count")).scalar()
+    ips = per_ip.orderBy(F.desc("count"), "ip").limit(top)
+    return ips.withColumn("share", F.round(F.col("count") * 100.0 / total, 1))
 
 
 def per_second_rebucket(df: DataFrame, time: str = "time", interval: str = "10s") -> DataFrame:

@@ -264,14 +264,29 @@ def group_sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("group").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "group")
 
 
-def downsample(points: DataFrame, key: Sequence[str], max_points: int = 50000, seed: int = 42) -> DataFrame:
-    """At most ``max_points`` rows, chosen by a seeded hash of ``key``.
-
-    Deterministic, and a top-K: each task keeps its ``max_points`` smallest
-    hashes, one final merge — never a global sort or a collect.
+def downsample(points: DataFrame, key: Sequence[str], max_points: int = 50000, seed: int = 42,
+               margin: float = 0.1) -> DataFrame:
+    """The ``max_points`` rows with the smallest seeded hash of ``key``.
+
+    Deterministic and exact (the same rows as ``orderBy(hash).limit(n)``), but
+    built to scale: the hash is uniform on the 64-bit range, so a threshold
+    that keeps about ``(1 + margin) * max_points`` rows is chosen from the row
+    count; only those candidates reach the final top-K merge (instead of
+    ``max_points`` rows from every partition).  If the candidates fall short,
+    the threshold is widened and the step repeated.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    return points.withColumn("__h", h).orderBy("__h", *key).limit(max_points).drop("__h")
+    hashed = points.withColumn("__h", h)
+    n = points.count()
+    if n <= max_points:
+        return points
+    frac = min(1.0, max_points * (1 + margin) / n + 64.0 / n)
+    while True:
+        cut = int(-(2 ** 63) + frac * (2 ** 64))
+        cand = hashed if frac >= 1.0 else hashed.filter(F.col("__h") < F.lit(cut))
+        if frac >= 1.0 or cand.limit(max_points).count() >= max_points:
+            return cand.orderBy("__h", *key).limit(max_points).drop("__h")
+        frac = min(1.0, frac * 2)
 
 
 def scatter_counters(df: DataFrame, sample: DataFrame, n_rules: int = 0) -> DataFrame:

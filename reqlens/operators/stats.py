@@ -265,16 +265,27 @@ def calculate_stats(df: DataFrame, stats_types: Sequence[str] = ("all",), *, url
                     client_ip: str = "client_ip", interval: str = "10m",
                     processing_fields: Sequence[str] = (), sort_by: str | None = None,
                     sort_metric: str = "avg", top_n: int | None = None,
-                    persist: bool = True) -> dict[str, DataFrame]:
-    """``{'summary', 'url_stats', 'time_stats', 'ip_stats'}`` over one input.
-
-    The input is persisted (memory and disk; lost blocks are recomputed from
-    lineage) so a text source is parsed once for all sections.
+                    materialize: str | None = None) -> dict[str, DataFrame]:
+    """``{'summary', 'status_distribution', 'url_stats', 'time_stats',
+    'ip_stats'}`` over one input.
+
+    ``materialize='snapshot'`` lands the input once as Parquet in the shared
+    checkpoint folder (cuts lineage, survives executor loss, and every
+    section then scans only its columns) — the choice for an expensive text
+    source; ``'persist'`` caches it (memory and disk); ``None`` lets each
+    section scan the input (right when it already is Parquet).
     """
     kinds = set(stats_types)
     if "all" in kinds:
         kinds = {"summary", "url", "time", "ip"}
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    src = df
+    if materialize == "persist":
+        src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    elif materialize == "snapshot":
+        from reqlens.session import shared_dir
+        path = shared_dir(df.sparkSession, "stats-input")
+        df.write.parquet(path)
+        src = df.sparkSession.read.parquet(path)
     out: dict[str, DataFrame] = {}
     if "summary" in kinds:
         out["summary"] = summary_stats(src, url, client_ip, rt)

@@ -227,24 +227,46 @@ def _json_object(value: Column) -> Column:
     return value.startswith("{") & F.try_parse_json(value).isNotNull()
 
 
-def infer_json_schema(lines: DataFrame, sample: int = 1000) -> str:
-    """DDL schema merged from the first ``sample`` valid JSON objects
-    (a bounded sample; the first type seen for a key wins, conflicts → STRING)."""
-    rows = lines.filter(_json_object(F.col("value"))).select("value").limit(sample).collect()
-    fields: dict[str, str] = {}
-    for r in rows:
-        obj = json.loads(r["value"])
-        for k, v in obj.items():
-            if v is None:
-                fields.setdefault(k, None)
-                continue
-            t = ("BOOLEAN" if isinstance(v, bool) else "BIGINT" if isinstance(v, int) else
-                 "DOUBLE" if isinstance(v, float) else "STRING")
-            if fields.get(k) is None:
-                fields[k] = t
-            elif fields[k] != t:
-                fields[k] = "DOUBLE" if {fields[k], t} == {"BIGINT", "DOUBLE"} else "STRING"
-    return ", ".join(f"`{k}` {t or 'STRING'}" for k, t in fields.items()) or "`_empty` STRING"
+MAX_JSON_KEYS = 10000
+
+
+def _key_path(k: str) -> str:
+    return "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def _variant_type(t: str | None) -> str:
+    t = (t or "").upper()
+    if t.startswith(("BIGINT", "INT", "SMALLINT", "TINYINT")):
+        return "bigint"
+    if t.startswith(("DECIMAL", "DOUBLE", "FLOAT")):
+        return "double"
+    if t.startswith("BOOLEAN"):
+        return "boolean"
+    return "string"
+
+
+def infer_json_fields(lines: DataFrame, max_keys: int = MAX_JSON_KEYS) -> list[tuple[str, str]]:
+    """Top-level keys of every JSON object in the input with one merged type
+    each (two distributed aggregations: the key set, then the types).
+
+    Keys come in order of first appearance; the key set is a schema, so it is
+    small — more than ``max_keys`` distinct keys is an error, not a cut.
+    """
+    objs = lines.filter(_json_object(F.col("value"))).select(
+        F.monotonically_increasing_id().alias("__line"), "value")
+    keys = (objs.select("__line", F.posexplode(F.json_object_keys("value")).alias("__pos", "k"))
+            .groupBy("k").agg(F.min(F.struct("__line", "__pos")).alias("__first"))
+            .orderBy("__first").limit(max_keys + 1).select("k").collect())
+    if len(keys) > max_keys:
+        raise ValueError(f"more than {max_keys} distinct JSON keys; pass a schema")
+    names = [r["k"] for r in keys]
+    if not names:
+        return []
+    v = F.try_parse_json(F.col("value"))
+    types = objs.select(v.alias("v")).agg(*[
+        F.schema_of_variant_agg(F.try_variant_get(F.col("v"), _key_path(k), "variant")).alias(f"t{i}")
+        for i, k in enumerate(names)]).first()
+    return [(k, _variant_type(types[f"t{i}"])) for i, k in enumerate(names)]
 
 
 def json_field_map(lines: DataFrame) -> dict[str, str | None]:
@@ -256,17 +278,24 @@ def json_field_map(lines: DataFrame) -> dict[str, str | None]:
     return {role: next((k for k in keys if k in obj), None) for role, keys in JSON_ROLE_KEYS.items()}
 
 
-def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str | None = None,
-                     sample: int = 1000) -> ParseResult:
-    """JSON objects → typed columns (``from_json`` with a declared or
-    sample-inferred schema); the field-mapped timestamp becomes a TIMESTAMP;
-    a line that is not a JSON object is rejected."""
+def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str | None = None) -> ParseResult:
+    """JSON objects → typed columns.  With ``schema`` (DDL) the lines go
+    through ``from_json``; otherwise the keys and types of the whole input are
+    inferred (``infer_json_fields``) and read from the parsed VARIANT.  The
+    field-mapped timestamp becomes a TIMESTAMP; a line that is not a JSON
+    object is rejected."""
     fmt = fmt or PRESETS["json"]
     keep = [c for c in lines.columns if c != "value"]
-    ddl = schema or infer_json_schema(lines, sample)
     ok = _json_object(F.col("value"))
     stage = lines.select(*keep, "value", ok.alias("__m"))
-    parsed = stage.filter("__m").select(*keep, F.from_json("value", ddl).alias("__r")).select(*keep, "__r.*")
+    good = stage.filter("__m")
+    if schema:
+        parsed = good.select(*keep, F.from_json("value", schema).alias("__r")).select(*keep, "__r.*")
+    else:
+        fields = infer_json_fields(lines)
+        v = F.try_parse_json(F.col("value"))
+        parsed = good.select(*keep, v.alias("__v")).select(
+            *keep, *[F.try_variant_get(F.col("__v"), _key_path(k), t).alias(k) for k, t in fields])
     ts = fmt.field_map.get("timestamp")
     if ts and ts in parsed.columns:
         parsed = parsed.withColumn(ts, F.try_to_timestamp(F.col(ts).cast("string")))
