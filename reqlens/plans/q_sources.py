@@ -47,7 +47,7 @@ def _d_null(x: str) -> str:
     return f"(CASE WHEN {x} IN ('', '-', ' ') THEN NULL ELSE {x} END)"
 
 
-def _d_typed(x: str, typ: str | None, httpd_time: bool) -> str:
+def _d_typed(x: str, typ: str | None, httpd_time: bool, naive_time: bool = False) -> str:
     if typ == "int":
         return f"TRY_CAST({x} AS BIGINT)"
     if typ == "float":
@@ -55,6 +55,8 @@ def _d_typed(x: str, typ: str | None, httpd_time: bool) -> str:
     if typ == "datetime":
         if httpd_time:
             return f"timezone('UTC', try_strptime({x}, '%d/%b/%Y:%H:%M:%S %z'))"
+        if naive_time:
+            return f"try_strptime({x}, '%Y-%m-%d %H:%M:%S')"
         return f"timezone('UTC', TRY_CAST({x} AS TIMESTAMPTZ))"
     return x
 
@@ -70,7 +72,8 @@ def _d_request_split(req: str) -> list[str]:
 
 
 def duck_parse(pattern: str, columns: list[str], types: dict, ptype: str, out: list[str] | None = None,
-               httpd_time: bool = False, split_request: bool = False, rejected: bool = False) -> str:
+               httpd_time: bool = False, split_request: bool = False, rejected: bool = False,
+               naive_time: bool = False) -> str:
     """DuckDB statement of the regex parse (body over ``lines``)."""
     anch = duck.sql_str(f"^(?:{pattern})")
     names = "[" + ", ".join(duck.sql_str(c) for c in columns) + "]"
@@ -86,7 +89,7 @@ def duck_parse(pattern: str, columns: list[str], types: dict, ptype: str, out: l
            f"regexp_extract(value, {anch}, {names}) AS g FROM lines)")
     if rejected:
         return f"SELECT count(*) AS n_rejected FROM {src} WHERE NOT (m AND {valid})"
-    sel = [f"{_d_typed(raw[c], types.get(c), httpd_time)} AS \"{c}\"" for c in (out or columns)]
+    sel = [f"{_d_typed(raw[c], types.get(c), httpd_time, naive_time)} AS \"{c}\"" for c in (out or columns)]
     if split_request:
         sel += _d_request_split(raw["request"])
     return f"SELECT {', '.join(sel)} FROM {src} WHERE m AND {valid}"
@@ -160,6 +163,20 @@ def s8_httpd_with_time_parse(spark, sf):
 
 
 _NGX = PRESETS["nginx"]
+_HCU = PRESETS["httpd_custom"]
+_GROK = PRESETS["grok"]
+
+
+@register("s8b_httpd_custom_parse", _sql("httpd_custom", duck_parse(
+    _HCU.pattern, list(_HCU.columns), _HCU.types, "HTTPD", httpd_time=True, split_request=True)))
+def s8b_httpd_custom_parse(spark, sf):
+    return _norm(TX.parse_lines(land_lines(spark, sf, "httpd_custom"), _HCU).records)
+
+
+@register("s10b_grok_parse", _sql("grok", duck_parse(_GROK.pattern, list(_GROK.columns), _GROK.types, "GROK",
+                                                     naive_time=True)))
+def s10b_grok_parse(spark, sf):
+    return _norm(TX.parse_lines(land_lines(spark, sf, "grok"), _GROK).records)
 
 
 @register("s9_nginx_parse", _sql("nginx", duck_parse(_NGX.pattern, list(_NGX.columns), _NGX.types, "HTTPD",

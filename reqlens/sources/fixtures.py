@@ -114,7 +114,7 @@ def with_requests(body: str, extra_ctes: str = "") -> str:
 # plus junk lines (every line of every document).  Spark renders them here;
 # ``LINES_SQL`` renders the very same text in DuckDB for the oracles.
 # ---------------------------------------------------------------------------
-LINE_FORMATS = ("alb", "httpd", "nginx", "httpd_with_time", "json")
+LINE_FORMATS = ("alb", "httpd", "nginx", "httpd_with_time", "httpd_custom", "grok", "json")
 
 
 def _q(c):
@@ -163,19 +163,26 @@ def render_lines(req: DataFrame, fmt: str) -> DataFrame:
             _q(F.lit("-")), _q(F.lit("-")), _q(target), _q(_dash(F.col("status"))), _q(F.lit("-")),
             _q(F.lit("-")), F.concat(F.lit("TID_"), s(eid)))
         line = F.when(eid % 5 == 0, head).otherwise(F.concat_ws(" ", head, tail))
-    elif fmt in ("httpd", "nginx", "httpd_with_time"):
+    elif fmt == "grok":
+        level = (F.when(F.col("status") >= 500, F.lit("ERROR")).when(F.col("status") >= 400, F.lit("WARN"))
+                 .otherwise(F.lit("INFO")))
+        line = F.concat_ws(" ", _dash(F.date_format(F.col("time"), "yyyy-MM-dd HH:mm:ss")),
+                           F.concat(F.lit("["), level, F.lit("]")), request, _dash(F.col("status")))
+    elif fmt in ("httpd", "nginx", "httpd_with_time", "httpd_custom"):
         req_text = F.when(eid % 29 == 0, F.lit("-")).otherwise(request) if fmt == "httpd" else request
         nbytes = F.when(eid % 11 == 0, F.lit("-")).otherwise(s(F.col("sent_bytes")))
         base = F.concat_ws(" ", F.col("client_ip"), F.lit("-"), user,
                            F.concat(F.lit("["), _clf_time(F.col("time"), eid), F.lit("]")),
                            _q(req_text), _dash(F.col("status")), nbytes)
         quoted = F.concat_ws(" ", base, _q(referer), _q(agent))
+        us = F.round(F.col("target_processing_time") * 1000000).cast("bigint")
         if fmt == "httpd":
             line = F.when(eid % 3 == 0, base).otherwise(quoted)
+        elif fmt == "httpd_custom":
+            line = F.concat_ws(" ", base, s(us))
         elif fmt == "nginx":
             line = F.concat_ws(" ", quoted, _f(F.col("target_processing_time"), "%.6f"))
         else:
-            us = F.round(F.col("target_processing_time") * 1000000).cast("bigint")
             line = F.concat_ws(" ", quoted, s(us))
     elif fmt == "json":
         line = F.to_json(F.struct(
@@ -249,6 +256,11 @@ LINE_SQL = {
     "nginx": f"{_d_quoted(_d_clf_base(_D_REQUEST))} || ' ' || printf('%.6f', target_processing_time)",
     "httpd_with_time": (f"{_d_quoted(_d_clf_base(_D_REQUEST))} || ' ' || "
                         "CAST(CAST(round(target_processing_time * 1000000) AS BIGINT) AS VARCHAR)"),
+    "httpd_custom": (f"{_d_clf_base(_D_REQUEST)} || ' ' || "
+                     "CAST(CAST(round(target_processing_time * 1000000) AS BIGINT) AS VARCHAR)"),
+    "grok": ("coalesce(strftime(time, '%Y-%m-%d %H:%M:%S'), '-') || ' [' || CASE WHEN status >= 500 THEN 'ERROR' "
+             "WHEN status >= 400 THEN 'WARN' ELSE 'INFO' END || '] ' || " + _D_REQUEST + " || ' ' || "
+             + _d_dash("status")),
 }
 JUNK_SQL = ("SELECT line AS value FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) "
             "WHERE NOT contains(line, chr(13))")
