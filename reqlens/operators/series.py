@@ -76,20 +76,32 @@ def _top_series(cells: DataFrame, value: str, top_n: int, lead: DataFrame | None
     return relabel(cells, lead).groupBy(BUCKET, LABEL).agg(agg(value).alias(value))
 
 
+def label_distinct_urls(df: DataFrame, url: str, rules: Sequence[Rule] | None = None,
+                        label: str = LABEL) -> DataFrame:
+    """Add the URI-pattern label by generalising each *distinct* URL once and
+    joining the map back on the URL.  Spark sizes the map at run time (AQE):
+    a small map is broadcast, a large one joins by shuffle with skew
+    splitting — no hint, so nothing unbounded is broadcast."""
+    urls = df.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
+    lab = urls.select("__url", url_pattern_label(F.col("__url"), list(rules) if rules else None).alias(label))
+    j = df.join(lab, F.col(url) == F.col("__url"), "left")
+    return j.withColumn(label, F.coalesce(F.col(label), F.lit(UNKNOWN))).drop("__url", url)
+
+
 # ---------------------------------------------------------------------------
 # Request counts per URI pattern, target, client
 # ---------------------------------------------------------------------------
 def _count_series(df: DataFrame, time: str, key: Column, interval: str, top_n: int,
-                  lead_labels: Sequence[str] | None = None, label_of=None) -> DataFrame:
-    """Counts per (bucket, label).  With ``label_of`` the rows are first counted
-    per (bucket, raw key) and the label is computed on those cells — so an
-    expensive label (URL generalisation) runs per distinct key and bucket, not
-    per row; the counts add up exactly."""
+                  lead_labels: Sequence[str] | None = None, url_rules=False) -> DataFrame:
+    """Counts per (bucket, label).  Rows are first counted per (bucket, raw
+    key); for URL series (``url_rules`` not False) the key is then labelled
+    through the distinct-URL map, so generalisation runs once per distinct
+    URL and the counts add up exactly."""
     d = df.filter(F.col(time).isNotNull())
     cells = (d.select(bucket_of(d, time, interval).alias(BUCKET), key.alias("__key"))
              .groupBy(BUCKET, "__key").agg(F.count(F.lit(1)).alias("count")))
-    if label_of is not None:
-        cells = (cells.select(BUCKET, label_of(F.col("__key")).alias(LABEL), "count")
+    if url_rules is not False:
+        cells = (label_distinct_urls(cells, "__key", url_rules)
                  .groupBy(BUCKET, LABEL).agg(F.sum("count").alias("count")))
     else:
         cells = cells.withColumnRenamed("__key", LABEL)
@@ -102,9 +114,7 @@ def requests_per_uri(df: DataFrame, time: str = "time", url: str = "request_url"
     """T1 (+T7): ``(time_bucket, label, count)``; leaders by request count, or
     the rule set's patterns when ``rules`` is given."""
     lead = rule_leaders(df.sparkSession, rules) if rules else None
-    rl = list(rules) if rules else None
-    return _count_series(df, time, F.col(url), interval, top_n, lead,
-                         label_of=lambda u: url_pattern_label(u, rl))
+    return _count_series(df, time, F.col(url), interval, top_n, lead, url_rules=list(rules) if rules else None)
 
 
 def requests_per_target(df: DataFrame, time: str = "time", ip: str = "target_ip", port: str = "target_port",
@@ -137,8 +147,7 @@ def bytes_per_uri(df: DataFrame, bytes_col: str = "received_bytes", time: str =
     # per (bucket, raw URL) first; the URL is generalised on those cells only
     raw = (d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"), b.alias("__b"))
            .groupBy(BUCKET, "__u").agg(F.sum("__b").alias("__s"), F.count(F.lit(1)).alias("__n")))
-    lab = url_pattern_label(F.col("__u"), list(rules) if rules else None)
-    cells = (raw.select(BUCKET, lab.alias(LABEL), "__s", "__n").groupBy(BUCKET, LABEL)
+    cells = (label_distinct_urls(raw, "__u", rules).groupBy(BUCKET, LABEL)
              .agg(F.sum("__s").alias("sum_bytes"), (F.sum("__s") / F.sum("__n")).alias("avg_bytes")))
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules, generalize=False))
@@ -173,9 +182,8 @@ def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time"
     if metric not in _METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {_METRICS}")
     d = df.filter(F.col(time).isNotNull() & F.col(field).isNotNull())
-    lab = url_pattern_label(F.col(url), list(rules) if rules else None)
-    rows = d.select(bucket_of(d, time, interval).alias(BUCKET), lab.alias(LABEL),
-                    F.col(field).cast("double").alias("__v"))
+    rows = label_distinct_urls(d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"),
+                                        F.col(field).cast("double").alias("__v")), "__u", rules)
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules))
     else:
