@@ -223,7 +223,7 @@ def minute_table(df: DataFrame, time: str = "time", status: str = "status",
     s = F.col(status)
     r = F.col(rt).cast("double")
     return (df.filter(F.col(time).isNotNull())
-            .groupBy(F.date_trunc("minute", F.col(time)).alias("time"))
+            .groupBy(bucket_of(df, time, "1min").alias("time"))
             .agg(F.count(F.lit(1)).alias("request_count"),
                  F.count_if(s >= 400).alias("error_count"),
                  F.count_if(s == 200).alias("status_2xx"),
@@ -249,7 +249,7 @@ def dashboard_minutes(df: DataFrame, time: str = "time", status: str = "status",
     error % among rows that have a status."""
     s = F.col(status)
     return (df.filter(F.col(time).isNotNull())
-            .groupBy(F.date_trunc("minute", F.col(time)).alias("time"))
+            .groupBy(bucket_of(df, time, "1min").alias("time"))
             .agg(F.count(F.lit(1)).alias("request_count"),
                  F.avg(to_millis(F.col(rt).cast("double"), rt_unit)).alias("avg_response_time_ms"),
                  F.count_if(s >= 400).alias("error_count"),

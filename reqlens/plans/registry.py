@@ -36,7 +36,8 @@ def normalized(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, TimestampType):
-            c = c.cast("timestamp_ntz")
+            # UTC wall clock of the instant, whatever the session time zone
+            c = F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -98,11 +98,14 @@ def _typed(c: Column, typ: str | None, fmt: LogFormat) -> Column:
     if typ in ("float", "float64", "double"):
         return c.try_cast("double")
     if typ in ("datetime", "timestamp"):
-        if fmt.time_format:
+        if fmt.time_format and fmt.time_format.endswith(("Z", "X")):
+            # the text carries its offset: an instant
             t = F.try_to_timestamp(c, F.lit(fmt.time_format))
-            if fmt.time_format.endswith("Z"):
-                t = F.coalesce(t, F.try_to_timestamp(c, F.lit(fmt.time_format[:-1] + "XXX")))
-            return t
+            return F.coalesce(t, F.try_to_timestamp(c, F.lit(fmt.time_format[:-1] + "XXX")))
+        if fmt.time_format:
+            # zone-less text is the log's wall clock: TIMESTAMP_NTZ (parsed and
+            # cast back in the same session zone, so the digits are kept)
+            return F.try_to_timestamp(c, F.lit(fmt.time_format)).cast("timestamp_ntz")
         return F.try_to_timestamp(c)
     return c
 
