@@ -109,10 +109,16 @@ def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "cli
         a2, f2 = metric_aggs(b, ("avg", "std"), b, exact)
         aggs += a2
         finals += f2
-    base = [F.count(F.lit(1)).alias("total_requests"),
-            F.count_distinct(F.col(url)).alias("unique_urls"),
-            F.count_distinct(F.col(client_ip)).alias("unique_ips")]
-    return df.agg(*base, *aggs).select("total_requests", "unique_urls", "unique_ips", *finals)
+    # Distinct counts are scalar subqueries over their own one-column
+    # aggregation: two count(DISTINCT) in one aggregate would make Catalyst
+    # expand every row three ways before the shuffle.
+    def n_distinct(c: str) -> Column:
+        return df.select(F.col(c).alias("k")).filter(F.col("k").isNotNull()).distinct() \
+            .select(F.count(F.lit(1))).scalar()
+
+    main = df.agg(F.count(F.lit(1)).alias("total_requests"), *aggs)
+    return main.select("total_requests", n_distinct(url).alias("unique_urls"),
+                       n_distinct(client_ip).alias("unique_ips"), *finals)
 
 
 def status_distribution(df: DataFrame, status: str = "status", by: str | None = None) -> DataFrame:
