@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reqlens.functions.urls import Rule
 from reqlens.operators import series as S
 from reqlens.operators import stats
 from reqlens.operators.filters import filter_urls
