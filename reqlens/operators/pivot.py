@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import bucket_of, status_group
 from reqlens.operators.filters import apply_row_filter
+from reqlens.operators.quantiles import group_quantiles
 from reqlens.operators.stats import quantiles
 
 # Accepted aggregate names.
@@ -24,7 +25,7 @@ MAX_PIVOT_COLUMNS = 10000
 def pivot_long(df: DataFrame, row: str, col: str, value: str = "count", agg: str = "count",
                interval: str | None = None, status_groups: Sequence[str] | None = None,
                row_filter: str | None = None, top_n: int = 20, status: str = "status",
-               exact: bool = True) -> DataFrame:
+               exact: bool | str = True) -> DataFrame:
     """V1–V7: ``(row, col, value)`` for every (row, col) pair present.
 
     * ``interval``: the column is a time field, bucketed (V5)
@@ -60,7 +61,10 @@ def pivot_long(df: DataFrame, row: str, col: str, value: str = "count", agg: str
         v = {"count": lambda: F.count("__v"), "sum": lambda: F.sum("__v"), "avg": lambda: F.avg("__v"),
              "min": lambda: F.min("__v"), "max": lambda: F.max("__v")}.get(agg, lambda: None)()
         if v is None:
-            v = quantiles(F.col("__v"), [int(agg[1:]) / 100.0], exact)[0]
+            p = int(agg[1:]) / 100.0
+            if exact == "sort":
+                return group_quantiles(d, ["row", "col"], "__v", [p], names=["value"])
+            v = quantiles(F.col("__v"), [p], exact)[0]
     return d.groupBy("row", "col").agg(v.alias("value"))
 
 

@@ -27,6 +27,7 @@ from reqlens.functions.exprs import bucket_of, client_label, status_class, targe
 from reqlens.functions.urls import (OTHERS, UNKNOWN, Rule, generalize_with_rules, rules_from_patterns,
                                     scatter_label, url_pattern_label)
 from reqlens.operators.rules import merge_rules
+from reqlens.operators.quantiles import group_quantiles
 from reqlens.operators.stats import quantiles
 
 LABEL = "label"
@@ -176,7 +177,7 @@ _METRICS = ("avg", "sum", "median", "p95", "p99", "max")
 def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time", metric: str = "avg",
                             time: str = "time", url: str = "request_url", interval: str = "1min",
                             top_n: int = 10, rules: Sequence[Rule] | None = None,
-                            exact: bool = True) -> DataFrame:
+                            exact: bool | str = True) -> DataFrame:
     """``(time_bucket, label, value)``; leaders by total ``field``,
     ``Others`` recomputed from its raw rows for every metric."""
     if metric not in _METRICS:
@@ -189,10 +190,12 @@ def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time"
     else:
         lead = leaders(rows.groupBy(LABEL).agg(F.sum("__v").alias("__s")), "__s", top_n)
     rel = relabel(rows, lead)
-    agg = {"avg": F.avg("__v"), "sum": F.sum("__v"), "max": F.max("__v"),
-           "median": quantiles(F.col("__v"), [0.5], exact)[0],
-           "p95": quantiles(F.col("__v"), [0.95], exact)[0],
-           "p99": quantiles(F.col("__v"), [0.99], exact)[0]}[metric]
+    prob = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    if metric in prob and exact == "sort":
+        return group_quantiles(rel, [BUCKET, LABEL], "__v", [prob[metric]], names=["value"])
+    agg = {"avg": F.avg("__v"), "sum": F.sum("__v"), "max": F.max("__v")}.get(metric)
+    if agg is None:
+        agg = quantiles(F.col("__v"), [prob[metric]], exact)[0]
     return rel.groupBy(BUCKET, LABEL).agg(agg.alias("value"))
 
 

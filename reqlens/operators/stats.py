@@ -7,6 +7,10 @@ task, never one task holding its rows.  Quantiles use Spark's exact
 entry per *distinct* value of the group) or, with ``exact=False``, the
 bounded-memory ``percentile_approx`` sketch.
 
+``exact="sort"`` computes the same exact quantiles by range-sorting the
+``(group, value)`` counts (``operators/quantiles.py``), so no task ever holds a
+whole group — the choice when one key may hold a third of all rows.
+
 Null keys are removed before every grouping, as pandas ``groupby`` drops them.
 """
 
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import bucket_of, to_millis
 from reqlens.functions.urls import generalize_with_rules, strip_query
+from reqlens.operators.quantiles import stacked_quantiles
 
 # Metric set of the per-URL statistics and the summary.
 URL_METRICS = ("avg", "sum", "median", "std", "min", "max", "p90", "p95", "p99")
@@ -28,19 +33,29 @@ _PROB = {"median": 0.5, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99":
 APPROX_ACCURACY = 10000
 
 
-def quantiles(col: Column, probs: Sequence[float], exact: bool = True) -> Column:
+def quantiles(col: Column, probs: Sequence[float], exact: bool | str = True) -> Column:
     """Linear-interpolated quantiles (pandas ``quantile``) as an array column."""
+    if exact == "sort":
+        raise ValueError("exact='sort' is computed as a table; use with_sorted_quantiles")
     if exact:
         return F.percentile(col, list(probs))
     return F.percentile_approx(col, list(probs), APPROX_ACCURACY)
 
 
-def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool = True) -> tuple[list[Column], list[Column]]:
+def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool | str = True
+                ) -> tuple[list[Column], list[Column]]:
     """Aggregates for ``metrics`` of ``col`` plus the projections that name them.
 
     Returns ``(aggs, finals)``: the aggregate list (one ``percentile`` call for
     all quantiles) and the select list that unpacks it into ``prefix_metric``.
+    With ``exact="sort"`` the quantiles are left out of the aggregate (they
+    come from ``with_sorted_quantiles``) and the finals name them as columns.
     """
+    if exact == "sort":
+        simple = {"avg": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        c = F.col(col).cast("double")
+        aggs = [simple[m](c).alias(f"{prefix}_{m}") for m in metrics if m in simple]
+        return aggs, [F.col(f"{prefix}_{m}") for m in metrics]
     c = F.col(col).cast("double")
     qs = [m for m in metrics if m in _PROB]
     aggs: list[Column] = []
@@ -60,6 +75,21 @@ def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool = Tru
     return aggs, finals
 
 
+def with_sorted_quantiles(agg: DataFrame, rows: DataFrame, keys: Sequence[str],
+                          fields: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
+    """Join range-sorted exact quantiles (``<prefix>_<metric>``) onto an
+    aggregate that has one row per ``keys`` (both sides are per-group tables)."""
+    qm = {m: _PROB[m] for m in metrics if m in _PROB}
+    if not qm or not fields:
+        return agg
+    q = stacked_quantiles(rows, keys, fields, qm)
+    if not keys:
+        # a single global row: one scalar subquery returning all quantiles as a struct
+        packed = q.select(F.struct(*q.columns).alias("s")).scalar()
+        return agg.select("*", packed.alias("__q")).select(*agg.columns, "__q.*")
+    return agg.join(q, list(keys), "left")
+
+
 # ---------------------------------------------------------------------------
 # A1 / A2: URL and URI-pattern extraction
 # ---------------------------------------------------------------------------
@@ -99,7 +129,7 @@ def uri_patterns(df: DataFrame, url: str = "request_url", include_params: bool =
 # ---------------------------------------------------------------------------
 def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "client_ip",
                   rt: str = "target_processing_time", byte_fields: Sequence[str] = (),
-                  exact: bool = True) -> DataFrame:
+                  exact: bool | str = True) -> DataFrame:
     """A3 (+A13): one row — totals, distinct URLs/IPs, response-time metrics.
 
     ``byte_fields`` adds ``avg``/``std`` per byte column (A13).
@@ -117,6 +147,8 @@ def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "cli
             .select(F.count(F.lit(1))).scalar()
 
     main = df.agg(F.count(F.lit(1)).alias("total_requests"), *aggs)
+    if exact == "sort":
+        main = with_sorted_quantiles(main, df, [], [(rt, "response_time")], SUMMARY_METRICS)
     return main.select("total_requests", n_distinct(url).alias("unique_urls"),
                        n_distinct(client_ip).alias("unique_ips"), *finals)
 
@@ -145,7 +177,7 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
               rt: str | None = "target_processing_time",
               processing_fields: Sequence[str] = (), byte_fields: Sequence[str] = (),
               sort_by: str | None = None, sort_metric: str = "avg", top_n: int | None = None,
-              exact: bool = True, with_status_map: bool = False) -> DataFrame:
+              exact: bool | str = True, with_status_map: bool = False) -> DataFrame:
     """Per-URL count, response-time metrics, metrics per processing field.
 
     Columns: ``url, count, response_time_<m>…, <field>_<m>…``.  Sorted by
@@ -167,7 +199,11 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
         a, f = metric_aggs(b, ("avg", "std"), b, exact)
         aggs += a
         finals += f
-    out = d.groupBy(url).agg(*aggs).select(*finals)
+    out = d.groupBy(url).agg(*aggs)
+    if exact == "sort":
+        fields = ([(rt, "response_time")] if rt else []) + [(f, f) for f in processing_fields]
+        out = with_sorted_quantiles(out, d, [url], fields, URL_METRICS)
+    out = out.select(*finals)
     if with_status_map and status:
         smap = status_map(d, status, url).withColumnRenamed(url, "url")
         out = out.join(smap, "url", "left")
@@ -189,17 +225,21 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
 # ---------------------------------------------------------------------------
 def time_stats(df: DataFrame, time: str = "time", status: str = "status",
                rt: str = "target_processing_time", interval: str = "10m",
-               exact: bool = True) -> DataFrame:
+               exact: bool | str = True) -> DataFrame:
     """Per bucket — count, errors (status ≥ 400), error rate over all rows,
     average and p95 response time; ascending time."""
-    bucket = bucket_of(df, time, interval).alias("time_bucket")
-    err = F.count_if(F.col(status) >= 400)
-    out = (df.filter(F.col(time).isNotNull()).groupBy(bucket)
-           .agg(F.count(F.lit(1)).alias("count"),
-                err.alias("error_count"),
-                F.avg(F.col(rt).cast("double")).alias("avg_response_time"),
-                quantiles(F.col(rt).cast("double"), [0.95], exact)[0].alias("p95_response_time"))
-           .withColumn("error_rate", F.col("error_count") / F.col("count")))
+    rows = df.filter(F.col(time).isNotNull()).select(
+        bucket_of(df, time, interval).alias("time_bucket"), F.col(status).alias("__s"),
+        F.col(rt).cast("double").alias("__rt"))
+    aggs = [F.count(F.lit(1)).alias("count"), F.count_if(F.col("__s") >= 400).alias("error_count"),
+            F.avg("__rt").alias("avg_response_time")]
+    if exact != "sort":
+        aggs.append(quantiles(F.col("__rt"), [0.95], exact)[0].alias("p95_response_time"))
+    out = rows.groupBy("time_bucket").agg(*aggs)
+    if exact == "sort":
+        out = with_sorted_quantiles(out, rows, ["time_bucket"], [("__rt", "rt")], ["p95"]) \
+            .withColumnRenamed("rt_p95", "p95_response_time")
+    out = out.withColumn("error_rate", F.col("error_count") / F.col("count"))
     return out.select("time_bucket", "count", "error_count", "error_rate",
                       "avg_response_time", "p95_response_time").orderBy("time_bucket")
 
@@ -222,13 +262,13 @@ def ip_stats(df: DataFrame, client_ip: str = "client_ip", status: str = "status"
 # Per-minute tables
 # ---------------------------------------------------------------------------
 def minute_table(df: DataFrame, time: str = "time", status: str = "status",
-                 rt: str = "target_processing_time", exact: bool = True) -> DataFrame:
+                 rt: str = "target_processing_time", exact: bool | str = True) -> DataFrame:
     """A10: per minute — requests, errors, error % of all rows, exact-code
     counts (200/400/500, reference parity) and class counts (2xx/4xx/5xx),
     average / p95 / p99 response time."""
     s = F.col(status)
     r = F.col(rt).cast("double")
-    return (df.filter(F.col(time).isNotNull())
+    out = (df.filter(F.col(time).isNotNull())
             .groupBy(bucket_of(df, time, "1min").alias("time"))
             .agg(F.count(F.lit(1)).alias("request_count"),
                  F.count_if(s >= 400).alias("error_count"),
@@ -239,13 +279,18 @@ def minute_table(df: DataFrame, time: str = "time", status: str = "status",
                  F.count_if((s >= 400) & (s < 500)).alias("class_4xx"),
                  F.count_if(s >= 500).alias("class_5xx"),
                  F.avg(r).alias("avg_response_time"),
-                 quantiles(r, [0.95, 0.99], exact).alias("__q"))
-            .select("time", "request_count", "error_count",
-                    (F.col("error_count") / F.col("request_count") * 100).alias("error_rate"),
-                    "status_2xx", "status_4xx", "status_5xx", "class_2xx", "class_4xx", "class_5xx",
-                    "avg_response_time",
-                    F.col("__q")[0].alias("p95_response_time"),
-                    F.col("__q")[1].alias("p99_response_time"))
+                 *([] if exact == "sort" else [quantiles(r, [0.95, 0.99], exact).alias("__q")])))
+    if exact == "sort":
+        rows = df.filter(F.col(time).isNotNull()).select(bucket_of(df, time, "1min").alias("time"),
+                                                         F.col(rt).cast("double").alias("__rt"))
+        out = with_sorted_quantiles(out, rows, ["time"], [("__rt", "rt")], ["p95", "p99"])
+        q95, q99 = F.col("rt_p95"), F.col("rt_p99")
+    else:
+        q95, q99 = F.col("__q")[0], F.col("__q")[1]
+    return (out.select("time", "request_count", "error_count",
+                       (F.col("error_count") / F.col("request_count") * 100).alias("error_rate"),
+                       "status_2xx", "status_4xx", "status_5xx", "class_2xx", "class_4xx", "class_5xx",
+                       "avg_response_time", q95.alias("p95_response_time"), q99.alias("p99_response_time"))
             .orderBy("time"))
 
 

@@ -42,6 +42,15 @@ def v3_pivot_p95(spark, sf):
                                    value="target_processing_time", agg="p95", interval="6h"))
 
 
+@register("v3b_pivot_p95_sorted", with_requests(f"""
+SELECT request_verb AS "row", {duck.bucket('time', "INTERVAL '6 hours'")} AS col,
+       {r('quantile_cont(target_processing_time, 0.95)', 'value')}
+FROM requests WHERE request_verb IS NOT NULL AND time IS NOT NULL GROUP BY 1, 2"""))
+def v3b_pivot_p95_sorted(spark, sf):
+    return normalized(V.pivot_long(requests_relation(spark, sf), "request_verb", "time",
+                                   value="target_processing_time", agg="p95", interval="6h", exact="sort"))
+
+
 @register("v4_pivot_error_rate", with_requests(f"""
 SELECT request_verb AS "row", {duck.bucket('time', "INTERVAL '1 day'")} AS col,
        {r('avg(CASE WHEN status >= 400 THEN 1.0 WHEN status IS NOT NULL THEN 0.0 END)', 'value')}

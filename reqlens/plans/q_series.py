@@ -98,6 +98,12 @@ def t6_processing_time_p95(spark, sf):
                                                 interval="1d", top_n=5))
 
 
+@register("t6c_processing_time_p95_sorted", _pt_sql("quantile_cont(v, 0.95)", 5))
+def t6c_processing_time_p95_sorted(spark, sf):
+    return normalized(S.processing_time_per_uri(requests_relation(spark, sf), metric="p95",
+                                                interval="1d", top_n=5, exact="sort"))
+
+
 @register("t6b_processing_time_avg", _pt_sql("avg(v)", 5))
 def t6b_processing_time_avg(spark, sf):
     return normalized(S.processing_time_per_uri(requests_relation(spark, sf), metric="avg",

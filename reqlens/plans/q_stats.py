@@ -126,7 +126,7 @@ def a9_ip_stats(spark, sf):
     return normalized(stats.ip_stats(requests_relation(spark, sf)))
 
 
-@register("a10_minute_table", with_requests(f"""
+_A10_SQL = with_requests(f"""
 SELECT date_trunc('minute', time) AS time, count(*) AS request_count,
        count(*) FILTER (WHERE status >= 400) AS error_count,
        {r("count(*) FILTER (WHERE status >= 400) / count(*) * 100", "error_rate")},
@@ -139,7 +139,10 @@ SELECT date_trunc('minute', time) AS time, count(*) AS request_count,
        {r("avg(target_processing_time)", "avg_response_time")},
        {r("quantile_cont(target_processing_time, 0.95)", "p95_response_time")},
        {r("quantile_cont(target_processing_time, 0.99)", "p99_response_time")}
-FROM requests WHERE time IS NOT NULL GROUP BY 1"""))
+FROM requests WHERE time IS NOT NULL GROUP BY 1""")
+
+
+@register("a10_minute_table", _A10_SQL)
 def a10_minute_table(spark, sf):
     return normalized(stats.minute_table(requests_relation(spark, sf)))
 
@@ -179,3 +182,34 @@ def a5b_url_stats_lineitem(spark, sf):
     keep = ["url", "count"] + [f"response_time_{m}" for m in stats.URL_METRICS] + [
         f"{f}_{m}" for f in PT for m in ("avg", "p95")]
     return normalized(out.select(*keep))
+
+
+@register("a5c_url_stats_sorted_quantiles", with_requests(f"""
+SELECT {_URL_SQL} FROM requests WHERE request_url IS NOT NULL GROUP BY request_url"""))
+def a5c_url_stats_sorted_quantiles(spark, sf):
+    """A5 with exact quantiles computed by range-sorting (no group held in one task)."""
+    return normalized(stats.url_stats(requests_relation(spark, sf), exact="sort"))
+
+
+@register("a8b_time_stats_sorted_quantiles", with_requests(f"""
+SELECT {duck.bucket('time', "INTERVAL '10 minutes'")} AS time_bucket, count(*) AS count,
+       count(*) FILTER (WHERE status >= 400) AS error_count,
+       {r("count(*) FILTER (WHERE status >= 400) / count(*)", "error_rate")},
+       {r("avg(target_processing_time)", "avg_response_time")},
+       {r("quantile_cont(target_processing_time, 0.95)", "p95_response_time")}
+FROM requests WHERE time IS NOT NULL GROUP BY 1"""))
+def a8b_time_stats_sorted_quantiles(spark, sf):
+    return normalized(stats.time_stats(requests_relation(spark, sf), interval="10m", exact="sort"))
+
+
+@register("a3b_summary_sorted_quantiles", with_requests(f"SELECT {_SUMMARY_SQL} FROM requests"))
+def a3b_summary_sorted_quantiles(spark, sf):
+    return normalized(stats.summary_stats(requests_relation(spark, sf),
+                                          byte_fields=("sent_bytes", "received_bytes"), exact="sort"))
+
+
+
+@register("a10b_minute_table_sorted_quantiles", _A10_SQL)
+def a10b_minute_table_sorted_quantiles(spark, sf):
+    return normalized(stats.minute_table(requests_relation(spark, sf), exact="sort"))
+

@@ -92,3 +92,30 @@ def test_patterns_and_calculate_stats(table):
     assert secs["url_stats"].count() == 5
     approx = stats.url_stats(df, exact=False).first()
     assert approx["response_time_p95"] is not None
+
+
+def test_sorted_quantiles_match_pandas_with_hot_group(spark):
+    from reqlens.operators.quantiles import group_quantiles
+    rng = np.random.default_rng(3)
+    n = 5000
+    g = np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "c"], n))     # one key holds half
+    v = np.round(rng.exponential(1.0, n), 2)
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": v}),
+                     pd.DataFrame({"g": ["solo", "duo", "duo"], "v": [5.0, 1.0, 2.0]})])
+    probs = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
+    got = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, partitions=7).toPandas()
+    got = got.set_index("g").sort_index()
+    want = pdf.groupby("g")["v"].quantile(probs).unstack().sort_index()
+    assert np.allclose(got.values, want.values, rtol=0, atol=1e-12)
+
+
+def test_sort_mode_equals_buffer_mode(table):
+    _, df = table
+    a = {r["url"]: r.asDict() for r in stats.url_stats(df, processing_fields=["request_processing_time"]).collect()}
+    b = {r["url"]: r.asDict() for r in stats.url_stats(df, processing_fields=["request_processing_time"],
+                                                       exact="sort").collect()}
+    for url in a:
+        for k, x in a[url].items():
+            assert b[url][k] == pytest.approx(x), (url, k)
+    s1, s2 = stats.summary_stats(df).first(), stats.summary_stats(df, exact="sort").first()
+    assert s1.asDict() == pytest.approx(s2.asDict())
