@@ -62,12 +62,18 @@ def null_token(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 # lines
 # ---------------------------------------------------------------------------
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
     """``(file, value)`` for every non-blank line of one or more files or
-    globs (gzip read by extension); lines are whitespace-stripped."""
+    globs (gzip read by extension); lines are whitespace-stripped.
+
+    A gzip file cannot be split, so one large ``.gz`` is read by one task;
+    ``partitions`` spreads its lines (round-robin) before the parse."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    raw = raw.select("value", F.col("_metadata.file_path").alias("__file"))
+    if partitions:
+        raw = raw.repartition(partitions)
     v = strip_ws(F.col("value"))
-    return raw.select(F.col("_metadata.file_path").alias("file"), v.alias("value")).filter(F.col("value") != "")
+    return raw.select(F.col("__file").alias("file"), v.alias("value")).filter(F.col("value") != "")
 
 
 def lines_frame(df: DataFrame, column: str = "value") -> DataFrame:
@@ -431,8 +437,10 @@ def resolve_format(lines: DataFrame | None = None, log_regex: str | None = None,
 
 def read_requests(spark: SparkSession, paths: str | list[str], **kw) -> ParseResult:
     """Read and parse log files in one lazy plan (``fmt=``, ``apache_format=``,
-    ``log_regex=``, ``columns=``)."""
-    lines = read_lines(spark, paths)
+    ``log_regex=``, ``columns=``, ``partitions=``); without a format the head
+    of the input is scored (S19) and, for Apache-style logs, every HTTPD
+    preset is tried on a sample (S20) and the best one used."""
+    lines = read_lines(spark, paths, kw.pop("partitions", None))
     columns = kw.pop("columns", None)
     f = resolve_format(lines, **kw)
     return parse_lines(lines, f, columns)

@@ -145,3 +145,12 @@ def test_read_lines_gzip(spark, tmp_path):
     (tmp_path / "b.log").write_text(ALB_LINES[0] + "\n")
     lines = TX.read_lines(spark, str(tmp_path / "*.log*"))
     assert lines.count() == 4
+
+
+def test_read_requests_end_to_end(spark, tmp_path):
+    (tmp_path / "access.log").write_text("\n".join(APACHE_LINES) + "\n")
+    res = TX.read_requests(spark, str(tmp_path / "access.log"), partitions=3)
+    assert res.format.pattern_type == "HTTPD"
+    assert res.records.count() == 3 and res.rejected.count() == 0
+    res = TX.read_requests(spark, str(tmp_path / "access.log"), fmt="httpd", columns=["time", "status"])
+    assert res.records.columns == ["file", "time", "status", "request_method", "request_url", "request_proto"]

@@ -119,3 +119,10 @@ def test_sort_mode_equals_buffer_mode(table):
             assert b[url][k] == pytest.approx(x), (url, k)
     s1, s2 = stats.summary_stats(df).first(), stats.summary_stats(df, exact="sort").first()
     assert s1.asDict() == pytest.approx(s2.asDict())
+
+
+def test_calculate_stats_snapshot(table):
+    _, df = table
+    secs = stats.calculate_stats(df, ["summary", "ip"], status="elb_status_code", materialize="snapshot")
+    assert secs["summary"].first()["total_requests"] == 100
+    assert secs["ip_stats"].count() == 2
