@@ -310,3 +310,16 @@ def scatter_counters(df: DataFrame, sample: DataFrame, n_rules: int = 0) -> Data
         F.sum("__p").cast("bigint").alias("plotted_rows"),
         F.count_distinct("__g").alias("distinct_groups"),
         F.lit(n_rules).alias("patterns_applied"))
+
+
+def series_wide(cells: DataFrame, value: str, labels: Sequence[str] | None = None,
+                max_labels: int = 1000) -> DataFrame:
+    """The chart grid: one row per bucket, one column per label, absent
+    cells 0 (the reference's ``unstack(fill_value=0)``).  A series has at most
+    ``top_n`` + 2 labels; without ``labels`` they are fetched (size-checked)."""
+    if labels is None:
+        got = [r[LABEL] for r in cells.select(LABEL).distinct().orderBy(LABEL).limit(max_labels + 1).collect()]
+        if len(got) > max_labels:
+            raise ValueError(f"more than {max_labels} labels; pass labels= explicitly")
+        labels = got
+    return cells.groupBy(BUCKET).pivot(LABEL, list(labels)).agg(F.first(value)).na.fill(0)

@@ -126,6 +126,24 @@ def t7_rule_series(spark, sf):
     return S.requests_per_uri(requests_relation(spark, sf), interval="1d", rules=P5_RULES)
 
 
+_T7_LABELS = ["/blog-en/*", "/paged", "/static/*", "Others", "Unknown"]
+
+
+@register("t7b_rule_series_wide", with_requests(f"""
+SELECT time_bucket, {", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE label = {duck.sql_str(x)}), 0) AS BIGINT) AS "
+                               + chr(34) + x + chr(34) for x in _T7_LABELS)}
+FROM (SELECT time_bucket, CASE WHEN label IN (SELECT label FROM lead) OR label = 'Unknown' THEN label
+                               ELSE 'Others' END AS label, n FROM cells)
+GROUP BY 1""", extra_ctes=f"""cells AS (
+  SELECT {duck.bucket('time', "INTERVAL '1 day'")} AS time_bucket, {_label('request_url', P5_RULES)} AS label,
+         count(*) AS n
+  FROM requests WHERE time IS NOT NULL GROUP BY 1, 2),
+lead AS ({_RULE_LEADS_SQL})"""))
+def t7b_rule_series_wide(spark, sf):
+    cells = S.requests_per_uri(requests_relation(spark, sf), interval="1d", rules=P5_RULES)
+    return S.series_wide(cells, "count", _T7_LABELS)
+
+
 # Python's re.escape special characters (minus '*', which becomes '.*')
 _ESC = r"([()\[\]{}?+|^$\\.&~# \t\n\r" + "\x0b\x0c" + r"-])"
 
