@@ -25,11 +25,18 @@ COMBINED_COLUMNS = ["client_ip", "identity", "user", "time", "request", "status"
                     "user_agent"]
 
 
+_LANDED: dict[tuple, str] = {}
+
+
 def land_lines(spark, sf: str, fmt: str, junk: bool = True):
-    """Write the rendered lines as gzip text into the shared folder; read them back."""
-    path = shared_dir(spark, f"lines-{fmt}")
-    FX.log_lines(spark, sf, fmt, junk).write.option("compression", "gzip").text(path)
-    return TX.read_lines(spark, path)
+    """Write the rendered lines as gzip text into the shared folder (once per
+    application and input); read them back."""
+    key = (spark.sparkContext.applicationId, sf, fmt, junk)
+    if key not in _LANDED:
+        path = shared_dir(spark, f"lines-{fmt}")
+        FX.log_lines(spark, sf, fmt, junk).write.option("compression", "gzip").text(path)
+        _LANDED[key] = path
+    return TX.read_lines(spark, _LANDED[key])
 
 
 def _stripped_lines_cte(fmt: str) -> str:
