@@ -180,7 +180,7 @@ APACHE_PRESETS = {
     "referer": "%{Referer}i -> %U",
     "agent": "%{User-agent}i",
 }
-_TOKEN = re.compile(r"%\{([^}]*)\}([ioe])|%[<>!][a-zA-Z]|%[a-zA-Z]|%|.", re.S)
+_TOKEN = re.compile(r"%%|%\{([^}]*)\}([ioe])|%[<>!][a-zA-Z]|%[a-zA-Z]|%|.", re.S)
 
 
 def compile_apache_format(fmt: str) -> LogFormat:
@@ -219,6 +219,8 @@ def compile_apache_format(fmt: str) -> LogFormat:
                 if typ != "str":
                     types[col] = typ
             # unknown directive: skipped
+        elif tok == "%%":
+            parts.append("%")          # a literal percent sign
         elif tok == "%":
             continue
         else:

@@ -154,3 +154,8 @@ def test_read_requests_end_to_end(spark, tmp_path):
     assert res.records.count() == 3 and res.rejected.count() == 0
     res = TX.read_requests(spark, str(tmp_path / "access.log"), fmt="httpd", columns=["time", "status"])
     assert res.records.columns == ["file", "time", "status", "request_method", "request_url", "request_proto"]
+
+
+def test_apache_literal_percent_and_unknown_directive():
+    f = FM.compile_apache_format("%h 100%% %Z %D")
+    assert f.columns == ("client_ip", "response_time_us") and "100%" in f.pattern
