@@ -197,7 +197,9 @@ def compile_apache_format(fmt: str) -> LogFormat:
     types: dict[str, str] = {}
     for m in _TOKEN.finditer(fmt):
         tok = m.group(0)
-        if m.group(1) is not None:
+        if tok == "%%":
+            parts.append("%")          # a literal percent sign
+        elif m.group(1) is not None:
             name, kind = m.group(1), m.group(2)
             col = name.lower().replace("-", "_")
             if kind == "i":
@@ -219,8 +221,6 @@ def compile_apache_format(fmt: str) -> LogFormat:
                 if typ != "str":
                     types[col] = typ
             # unknown directive: skipped
-        elif tok == "%%":
-            parts.append("%")          # a literal percent sign
         elif tok == "%":
             continue
         else:
