@@ -47,7 +47,7 @@ def url_variants(spark, sf):
 
 _EXTS_SQL = "[" + ", ".join(duck.sql_str(e) for e in VARIANT_EXTS) + "]"
 VARIANTS_CTE = f"""url_variants AS (
-  SELECT page_id, unnest(range(6)) AS kind, unnest([
+  SELECT page_id, CAST(unnest(range(6)) AS INTEGER) AS kind, unnest([
     url,
     split_part(url, '?', 1) || '/' || md5(url),
     '/users/' || substr(md5(url), 1, 8) || '-' || substr(md5(url), 9, 4) || '-' || substr(md5(url), 13, 4)

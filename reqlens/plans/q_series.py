@@ -62,8 +62,8 @@ def t4_received_bytes_cells(spark, sf):
 
 @register("t4b_received_bytes_ranking", with_requests(f"""
 SELECT label, {r('total_sum', 'total_sum')}, {r('mean_avg', 'mean_avg')},
-       row_number() OVER (ORDER BY total_sum DESC, label) AS rank_sum,
-       row_number() OVER (ORDER BY mean_avg DESC, label) AS rank_avg
+       CAST(row_number() OVER (ORDER BY total_sum DESC, label) AS INTEGER) AS rank_sum,
+       CAST(row_number() OVER (ORDER BY mean_avg DESC, label) AS INTEGER) AS rank_avg
 FROM (SELECT label, sum(sum_bytes) AS total_sum, avg(avg_bytes) AS mean_avg
       FROM cells WHERE label IN (SELECT label FROM lead) GROUP BY label)""",
       extra_ctes=_bytes_cells_sql("received_bytes", 5)))
@@ -236,7 +236,7 @@ def t13_scatter_counters(spark, sf):
 
 @register("t14_display_ranking", with_requests("""
 SELECT label, CAST(total AS BIGINT) AS total, display_rank FROM (
-  SELECT label, total, row_number() OVER (ORDER BY total DESC, label) AS display_rank FROM (
+  SELECT label, total, CAST(row_number() OVER (ORDER BY total DESC, label) AS INTEGER) AS display_rank FROM (
     SELECT label, sum(count) AS total FROM t1 WHERE label <> 'Others' GROUP BY label
     ORDER BY total DESC, label LIMIT 10))
 UNION ALL SELECT label, CAST(sum(count) AS BIGINT), 11 FROM t1 WHERE label = 'Others' GROUP BY label""",
