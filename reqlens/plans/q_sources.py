@@ -224,14 +224,14 @@ def s15_alb_fallback(spark, sf):
     return rec.drop("file").withColumn("n_extra_groups", F.size("_extra_groups")).drop("_extra_groups")
 
 
-@register("s5_json_parse", _sql("json", """
+@register("s5_json_parse", _sql("json", f"""
 SELECT timezone('UTC', TRY_CAST(json_extract_string(value, '$.timestamp') AS TIMESTAMPTZ)) AS "timestamp",
        json_extract_string(value, '$.method') AS method, json_extract_string(value, '$.url') AS url,
        TRY_CAST(json_extract(value, '$.status') AS BIGINT) AS status,
-       CAST(round(TRY_CAST(json_extract(value, '$.response_time') AS DOUBLE), 12) AS DOUBLE) AS response_time,
+       {r("TRY_CAST(json_extract(value, '$.response_time') AS DOUBLE)", 'response_time')},
        json_extract_string(value, '$.client_ip') AS client_ip,
        TRY_CAST(json_extract(value, '$.bytes_sent') AS BIGINT) AS bytes_sent
-FROM lines WHERE starts_with(value, '{') AND json_valid(value)"""))
+FROM lines WHERE starts_with(value, '{{') AND json_valid(value)"""))
 def s5_json_parse(spark, sf):
     return _norm(TX.parse_json_lines(land_lines(spark, sf, "json")).records)
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, FloatType, TimestampType
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-DIGITS = 12
+SIG_DIGITS = 10
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -26,15 +26,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryF
     return deco
 
 
-def normalized(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def normalized(df: DataFrame, digits: int = SIG_DIGITS) -> DataFrame:
     """Presentation form used for the oracle comparison: doubles rounded to
-    ``digits`` places (the oracle rounds the same way), instants as UTC
+    ``digits`` significant digits (the oracle rounds the same way — relative,
+    so large sums and tiny latencies are treated alike), instants as UTC
     wall-clock ``TIMESTAMP_NTZ``."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.when(c.isNotNull(), F.format_string(f"%.{digits}g", c.cast("double")).cast("double"))
         elif isinstance(f.dataType, TimestampType):
             # UTC wall clock of the instant, whatever the session time zone
             c = F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
@@ -42,6 +43,6 @@ def normalized(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def r(expr: str, alias: str, digits: int = DIGITS) -> str:
+def r(expr: str, alias: str, digits: int = SIG_DIGITS) -> str:
     """Oracle helper: a double expression rounded like ``normalized``."""
-    return f"CAST(round(CAST({expr} AS DOUBLE), {digits}) AS DOUBLE) AS {alias}"
+    return f"CAST(printf('%.{digits}g', CAST({expr} AS DOUBLE)) AS DOUBLE) AS {alias}"
