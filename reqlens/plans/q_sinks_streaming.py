@@ -84,6 +84,16 @@ def k6_parquet_snapshot(spark, sf):
     return normalized(W.load_snapshot(spark, path))
 
 
+@register("k6b_time_filter_on_day_partitions", with_requests("""
+SELECT event_id, time FROM requests
+WHERE time >= TIMESTAMP '2024-01-03 00:00:00' AND time <= TIMESTAMP '2024-01-05 12:00:00'"""))
+def k6b_time_filter_on_day_partitions(spark, sf):
+    """F1 over a day-partitioned snapshot: the bounds also prune partitions."""
+    req = requests_relation(spark, sf).select(*_REQ_COLS).withColumn("day", F.to_date("time"))
+    snap = W.load_snapshot(spark, W.save_snapshot(req, shared_dir(spark, "snapshot"), partition_by=["day"]))
+    return FL.filter_time(snap, "2024-01-03T00:00:00", "2024-01-05T21:00:00+09:00").select("event_id", "time")
+
+
 @register("k7_pivot_json", with_requests(f"""
 SELECT request_verb AS "row", {duck.bucket('time', "INTERVAL '1 day'")} AS col, count(*) AS value
 FROM requests WHERE request_verb IS NOT NULL AND time IS NOT NULL GROUP BY 1, 2"""))
