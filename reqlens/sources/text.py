@@ -435,6 +435,17 @@ def resolve_format(lines: DataFrame | None = None, log_regex: str | None = None,
     return custom_format(".*")
 
 
+def recommend_format(lines: DataFrame, sample: int | None = 50) -> dict:
+    """S19 + S20: the chosen format with ``confidence`` (detection score),
+    ``success_rate`` (share of sampled lines it parses) and their product."""
+    det = detect_format(lines).first()
+    fmt = resolve_format(lines)
+    rate = format_success_rates(lines, {fmt.name: fmt}, sample).first()["success_rate"] or 0.0
+    return {"format": fmt.name, "pattern_type": fmt.pattern_type, "log_type": det["log_type"],
+            "confidence": det["confidence"], "success_rate": rate, "score": det["confidence"] * rate,
+            "columns": list(fmt.columns), "field_map": dict(fmt.field_map), "response_time_unit": fmt.rt_unit}
+
+
 def read_requests(spark: SparkSession, paths: str | list[str], **kw) -> ParseResult:
     """Read and parse log files in one lazy plan (``fmt=``, ``apache_format=``,
     ``log_regex=``, ``columns=``, ``partitions=``); without a format the head

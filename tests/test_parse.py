@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from reqlens.sources import formats as FM
@@ -159,3 +160,11 @@ def test_read_requests_end_to_end(spark, tmp_path):
 def test_apache_literal_percent_and_unknown_directive():
     f = FM.compile_apache_format("%h 100%% %Z %D")
     assert f.columns == ("client_ip", "response_time_us") and "100%" in f.pattern
+
+
+def test_recommend_format(spark):
+    rec = TX.recommend_format(_lines(spark, ALB_LINES))
+    assert rec["format"] == "alb" and rec["success_rate"] == pytest.approx(2 / 3)
+    assert rec["score"] == pytest.approx(rec["confidence"] * rec["success_rate"])
+    rec = TX.recommend_format(_lines(spark, APACHE_LINES))
+    assert rec["pattern_type"] == "HTTPD" and rec["success_rate"] > 0
