@@ -21,11 +21,14 @@ from reqlens.llm.common import SPACES, land, word_list
 
 #: ratio metrics that get an adaptive upper fence
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "pipe_ratio")
-#: a fence is the median plus FENCE times the spread (q90 - q50), and at least the median plus FLOOR
-FENCE, FLOOR = 8.0, 0.10
+#: a fence is the median plus FENCE times the spread (q90 - q50), and at least the median plus its FLOOR
+FENCE = 8.0
+FLOOR = {"symbol_ratio": 0.1, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "upper_ratio": 0.15, "pipe_ratio": 0.15}
 #: a (lang, source) group with fewer documents uses its language's sketch
 MIN_GROUP = 200
 SKETCH_K = 400
+#: repeated windows of a text up to which each is looked up (both ways give the same positions)
+FEW = 48
 
 
 def _let(value: Column, body) -> Column:
@@ -35,70 +38,77 @@ def _let(value: Column, body) -> Column:
 
 
 def _word_counts(words: Column) -> Column:
-    """n_words, and n_repeat_words: words covered by 3-word windows that occur at least twice in the text.
+    """n_words, word_chars, and n_repeat_words: words covered by 3-word windows
+    that occur at least twice in the text.
 
-    Windows are sorted with their positions; equal neighbours are repeats; the
-    union of [p, p+2] over the sorted repeated positions is a sum of gaps
-    clipped at 3."""
+    Windows are compared by 64-bit hashes.  Where some hash is not distinct,
+    the positions of repeated ones are found, in order; the union of [p, p+2]
+    over them is a sum of gaps clipped at 3."""
     def body(w):
         n = F.size(w)
-        wins = F.transform(F.sequence(F.lit(0), n - 3),
-                           lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"),
-                                              i.alias("p")))
+        at = F.sequence(F.lit(0), n - 3)
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+        def repeats(h):
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+                _let(_let(_let(F.sort_array(h), twice), lambda d: places(h, d)), covered))
+
+        def twice(s):
+            return F.array_distinct(F.transform(
+                F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1)), lambda i: F.get(s, i)))
+
+        def places(h, d):
+            # a few repeated hashes are looked up one by one; many (a long text repeated) are sorted
+            found = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(d, F.get(h, i)))
+            ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+            return F.when(F.size(d) <= FEW, found).otherwise(_let(ordered, repeated))
 
         def repeated(a):
             m = F.size(a)
-            same = lambda i, j: F.get(a, i)["g"] == F.get(a, j)["g"]
-            idx = F.filter(F.sequence(F.lit(0), m - 1),
-                           lambda i: F.coalesce((i > 0) & same(i, F.greatest(i - 1, F.lit(0))), F.lit(False))
-                           | F.coalesce(same(i, i + 1), F.lit(False)))
-            return F.array_sort(F.transform(idx, lambda i: F.get(a, i)["p"]))
+            same = lambda i, j: F.coalesce(F.get(a, i)["h"] == F.get(a, j)["h"], F.lit(False))
+            idx = F.filter(F.sequence(F.lit(0), m - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+            return F.sort_array(F.transform(idx, lambda i: F.get(a, i)["p"]))
 
         def covered(p):
-            gaps = F.zip_with(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))),
-                              lambda b, a: F.least(b - a, F.lit(3)))
-            return F.when(F.size(p) == 0, F.lit(0)).otherwise(
-                F.aggregate(gaps, F.lit(3), lambda acc, x: acc + x))
+            gaps = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.least(F.get(p, i) - F.get(p, i - 1), F.lit(3)))
+            return F.aggregate(gaps, F.lit(3), lambda acc, x: acc + x)
 
-        return F.struct(n.cast("long").alias("n_words"), F.when(n < 3, F.lit(0)).otherwise(
-            _let(_let(F.array_sort(wins), repeated), covered)).cast("long").alias("n_repeat_words"))
+        return F.struct(n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                        F.when(n < 3, F.lit(0)).otherwise(_let(hashes, repeats)).cast("long").alias("n_repeat_words"))
     return _let(words, body)
 
 
-def _removed(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def document_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus word_chars, n_words, n_symbols, n_dup_lines,
     n_repeat_words and the ratio metrics."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    bare = F.translate(t, SPACES, "")
     out = docs.withColumns({
         "__counts": _word_counts(word_list(F.col(text))),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": _removed(t, "#*$%&|<>").cast("long"),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "__upper": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", "")),
-        "__pipes": _removed(t, "|"),
-        "__lines": F.size(lines),
+        "__lines": _let(lines, lambda x: F.struct(F.size(x).alias("n"),
+                                                  (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
+        "__symbols": F.regexp_replace(t, r"[^#*$%&|<>]+", ""),
+        "__upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
+    })
+    out = out.withColumns({
+        **{k: F.col(f"__counts.{k}") for k in ("n_words", "word_chars", "n_repeat_words")},
+        "n_symbols": F.octet_length("__symbols").cast("long"),
+        "n_dup_lines": F.col("__lines.dup"),
+        "__pipes": F.octet_length("__symbols") - F.octet_length(F.replace("__symbols", F.lit("|"))),
     })
-    out = out.withColumns({k: F.col(f"__counts.{k}") for k in ("n_words", "n_repeat_words")}).drop("__counts")
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return out.withColumns({
         "symbol_ratio": per("n_symbols", "word_chars"),
-        "dup_line_ratio": per("n_dup_lines", "__lines"),
+        "dup_line_ratio": per("n_dup_lines", "__lines.n"),
         "repeat_ratio": per("n_repeat_words", "n_words"),
         "upper_ratio": per("__upper", "word_chars"),
         "pipe_ratio": per("__pipes", "n_words"),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    }).drop("__upper", "__pipes", "__lines")
+    }).drop("__counts", "__lines", "__symbols", "__upper", "__pipes")
 
 
 def adaptive_fences(metrics: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE,
-                    floor: float = FLOOR) -> DataFrame:
+                    floors: dict[str, float] = FLOOR) -> DataFrame:
     """One row per (lang, source) with an upper fence ``hi_<metric>`` each."""
     by_source = metrics.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"),
@@ -112,8 +122,8 @@ def adaptive_fences(metrics: DataFrame, min_group: int = MIN_GROUP, fence: float
         q50, q90 = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.5, 0.9))
         # the spread of the clean half: junk may hold the upper tail, so the lower one is mirrored as well
         q10 = F.kll_sketch_get_quantile_double(s, F.lit(0.1))
-        spread = F.least(q90 - q50, F.greatest(q50 - q10, F.lit(floor / fence)))
-        cols.append((q50 + F.greatest(F.lit(floor), F.lit(fence) * spread)).alias(f"hi_{m}"))
+        spread = F.least(q90 - q50, F.greatest(q50 - q10, F.lit(floors[m] / fence)))
+        cols.append((q50 + F.greatest(F.lit(floors[m]), F.lit(fence) * spread)).alias(f"hi_{m}"))
     return both.select(*cols)
 
 
