@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from reqlens.llm import op5_mixing, op7_quality_rules, op9_token_ids
+from reqlens.llm import (op1_decontamination, op4_minhash, op5_mixing, op7_quality_rules, op8_quality_classifier,
+                         op9_token_ids)
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination.query,
+    "op4_minhash": op4_minhash.query,
     "op5_mixing": op5_mixing.query,
     "op7_quality_rules": op7_quality_rules.query,
+    "op8_quality_classifier": op8_quality_classifier.query,
     "op9_token_ids": op9_token_ids.query,
 }
 ORACLES: dict[str, str] = {}
