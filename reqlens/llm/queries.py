@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from reqlens.llm import (op1_decontamination, op4_minhash, op5_mixing, op7_quality_rules, op8_quality_classifier,
-                         op9_token_ids)
+                         op9_token_ids, op10_pitman_yor)
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules.query,
     "op8_quality_classifier": op8_quality_classifier.query,
     "op9_token_ids": op9_token_ids.query,
+    "op10_pitman_yor": op10_pitman_yor.query,
 }
 ORACLES: dict[str, str] = {}
