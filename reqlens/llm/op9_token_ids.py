@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reqlens.llm.common import land, partitions, read_table, scratch
-from reqlens.llm.tokens import Encoder
+from reqlens.llm.tokens import SLICE, Encoder
 
 MAGIC = b"EFT1"
 #: a frame is closed at this many ids (a longer document has a frame of its own)
@@ -124,7 +124,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
         enc = Encoder.of(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         ids, pieces, n = [], [], 0
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             own = batch.column(0).to_pylist()
             for doc_id, piece in zip(own, enc.encode_bytes(batch.column(1).to_pylist())):
                 ids.append(doc_id)

@@ -11,11 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
 #: chunks remembered per worker; at the bound the memory starts afresh (ids do not depend on it)
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 900_000
+#: texts taken apart at once
+SLICE = 256
+#: marks that follow a word as a pre-token of their own (no apostrophe: contractions), and the end of the Latin letters
+_MARKS, _LATIN = string.punctuation.replace("'", ""), "\u0250"
 _RUN = re.compile(r" (?=\s)|\s ")
 
 
@@ -44,26 +49,64 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of " word" for words of letters: joined by single spaces they
+        are the pre-tokens of one text, which is encoded in one call."""
+        if not words:
+            return []
+        e = self.tok.encode(" " + " ".join(words), add_special_tokens=False)
+        of = np.array(e.word_ids, dtype=np.int64)
+        if of[-1] != len(words) - 1:
+            return self._encode([" " + w for w in words])
+        ends = (np.flatnonzero(np.append(np.diff(of), 1)) + 1) * self.width
+        packed = np.array(e.ids, dtype=self.dtype).tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks; what is a word and its punctuation is
+        put together from both."""
+        known, words, tails, made, other = self.known, {}, {}, [], []
+        for x in chunks:
+            w = x.rstrip(_MARKS)
+            if w.isalpha() and (w.isascii() or max(w) < _LATIN):
+                if w not in known:
+                    words[w] = None
+                if w != x:
+                    tails[x[len(w):]] = None
+                    made.append((x, w))
+            else:
+                other.append(x)
+        known.update(zip(words, self._encode_words(list(words))))
+        tails = dict(zip(tails, self._encode(list(tails))))
+        for x, w in made:
+            known[x] = known[w] + tails[x[len(w):]]
+        known.update(zip(other, self._encode([x[1:] if x[:1] == "\x00" else " " + x for x in other])))
+
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        parts, whole = [], {}
-        missing: set[str] = set()
+        """Packed ids of each text."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), SLICE):
+            out += self._encode_slice(texts[i:i + SLICE])
+        return out
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
+        whole = {i: t for i, t in enumerate(texts) if _RUN.search(t)}
+        parts = []
         for i, t in enumerate(texts):
-            if _RUN.search(t):
-                whole[i] = t
+            if i in whole:
                 parts.append(None)
                 continue
             first, *rest = t.split(" ")
             rest.append("\x00" + first)           # the first chunk has no space before it
             parts.append(rest)
-            missing.update(x for x in rest if x not in known)
+        missing = {x for p in parts if p for x in p if x not in known}
         if missing:
-            todo = list(missing)
-            known.update(zip(todo, self._encode([x[1:] if x[:1] == "\x00" else " " + x for x in todo])))
-        out = []
+            self._learn(list(missing))
         alone = dict(zip(whole, self._encode(list(whole.values()))))
+        out = []
         for i, p in enumerate(parts):
             if p is None:
                 out.append(alone[i])
