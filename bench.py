@@ -39,7 +39,8 @@ def main() -> None:
     # many files, as logs arrive (one gzip file is one split)
     n_files = CPUS * 4
     FX.requests_relation(spark, SF_DIR).repartition(n_files).write.parquet(req_path)
-    FX.lineitem_requests(spark, SF_DIR).repartition(n_files).write.parquet(big_path)
+    # 500 URLs, as the published timing that it is set beside
+    FX.lineitem_requests(spark, SF_DIR, urls=500).repartition(n_files).write.parquet(big_path)
     FX.log_lines(spark, SF_DIR, "alb").repartition(n_files).write.option("compression", "gzip").text(alb_path)
     req = spark.read.parquet(req_path)
     big = spark.read.parquet(big_path)

@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reqlens.functions.urls import UNKNOWN
 
 # ---------------------------------------------------------------------------
-# Interval unit spellings accepted by the time-bucket parser
-# ('m' means minutes in access logs).
+# Interval units and their accepted spellings ('m' means minutes
+# in access logs), with their length in seconds.
 # ---------------------------------------------------------------------------
 INTERVAL_UNITS = {
-    "s": "second", "sec": "second", "secs": "second", "second": "second", "seconds": "second",
-    "m": "minute", "min": "minute", "mins": "minute", "minute": "minute", "minutes": "minute",
-    "h": "hour", "hr": "hour", "hrs": "hour", "hour": "hour", "hours": "hour",
-    "d": "day", "day": "day", "days": "day",
+    "second": (1, "s sec secs second seconds"),
+    "minute": (60, "m min minute minutes"),
+    "hour": (3600, "h hr hrs hour hours"),
+    "day": (86400, "d day days"),
 }
 # Duration units as powers of ten of one second.
 UNIT_EXPONENT = {"s": 0, "ms": -3, "us": -6, "ns": -9}
 SECONDS_PER_UNIT = {u: 10.0 ** e for u, e in UNIT_EXPONENT.items()}
+_SPELLING = {name: unit for unit, (_, names) in INTERVAL_UNITS.items() for name in names.split()}
+
+
+def split_quantity(text: str) -> tuple[str, str]:
+    """``'10m'`` → ``('10', 'm')``: the leading run of digits and points, and
+    the lower-cased rest; blanks around both are dropped."""
+    text = text.strip()
+    cut = next((i for i, ch in enumerate(text) if not (ch.isdecimal() or ch == ".")), len(text))
+    return text[:cut], text[cut:].strip().lower()
 
 
 def parse_interval(interval: str) -> tuple[int, str]:
-    """P10: ``'10m'`` → ``(10, 'minute')``; raises on anything else."""
-    if not isinstance(interval, str):
-        raise ValueError(f"invalid interval: {interval!r}")
-    m = re.fullmatch(r"(\d+)([A-Za-z]+)", interval.strip())
-    if not m:
-        raise ValueError(f"invalid interval format: {interval!r} (expected number + unit, e.g. 10s, 5m, 1h)")
-    unit = INTERVAL_UNITS.get(m.group(2).lower())
-    if unit is None:
-        raise ValueError(f"unknown time unit in {interval!r}; supported: s, min, h, d")
-    n = int(m.group(1))
-    if n <= 0:
-        raise ValueError(f"interval must be positive: {interval!r}")
-    return n, unit
+    """P10: ``'10m'`` → ``(10, 'minute')``.  A whole positive number directly
+    followed by a known unit; anything else is a ``ValueError``."""
+    number, unit = split_quantity(interval) if isinstance(interval, str) else ("", "")
+    if not (number.isdecimal() and unit in _SPELLING and int(number) and " " not in interval.strip()):
+        raise ValueError(f"not an interval such as 10s, 5m, 1h or 2d: {interval!r}")
+    return int(number), _SPELLING[unit]
 
 
 def interval_seconds(interval: str) -> int:
     n, unit = parse_interval(interval)
-    return n * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
+    return n * INTERVAL_UNITS[unit][0]
 
 
 def spark_interval(interval: str) -> str:
@@ -102,16 +102,12 @@ def convert_duration(value: float, from_unit: str, to_unit: str) -> float:
 def parse_duration(text: str, column_unit: str) -> float:
     """``'0.5s'`` / ``'500ms'`` / ``'250'`` → value in ``column_unit``.
 
-    A bare number is already in the column's unit.
+    A bare number is already in the column's unit, as is one with a unit that
+    is not a duration; text without a leading number is a ``ValueError``.
     """
-    m = re.match(r"\s*([\d.]+)\s*([A-Za-z]*)", text)
-    if not m:
-        return float(text)
-    num = float(m.group(1))
-    unit = m.group(2).lower() or column_unit
-    if unit in SECONDS_PER_UNIT and column_unit in SECONDS_PER_UNIT:
-        return convert_duration(num, unit, column_unit)
-    return num
+    number, unit = split_quantity(text)
+    known = UNIT_EXPONENT.keys() >= {unit, column_unit}
+    return convert_duration(float(number), unit, column_unit) if known else float(number or text)
 
 
 def to_millis(rt: Column, unit: str) -> Column:
@@ -122,6 +118,7 @@ def to_millis(rt: Column, unit: str) -> Column:
 
 def status_class(status: Column) -> Column:
     """Success / redirect / client_error / server_error / unknown."""
+    status = status.try_cast("bigint")
     return (F.when(status.isNull(), F.lit("unknown"))
             .when(status < 300, F.lit("success"))
             .when(status < 400, F.lit("redirect"))

@@ -25,8 +25,8 @@ def totals(df: DataFrame, time: str = "time", status: str = "status", bytes_col:
     s = F.col(status).cast("string")
     d = _valid(df, time)
     return d.agg(F.count(F.lit(1)).alias("total_requests"),
-                 F.coalesce(F.sum(F.col(bytes_col)), F.lit(0)).cast("bigint").alias("total_bytes"),
-                 (F.count_if(s.startswith("4") | s.startswith("5")) * 100.0 / F.count(F.lit(1)))
+                 F.coalesce(F.sum(F.col(bytes_col).try_cast("bigint")), F.lit(0)).cast("bigint").alias("total_bytes"),
+                 F.try_divide(F.count_if(s.startswith("4") | s.startswith("5")) * 100.0, F.count(F.lit(1)))
                  .alias("error_rate"),
                  F.count_distinct(F.col(client_ip)).alias("unique_ips"))
 
@@ -36,7 +36,7 @@ def status_donut(df: DataFrame, time: str = "time", status: str = "status", top:
     d = _valid(df, time).select(F.coalesce(F.col(status).cast("string"), F.lit("Unknown")).alias("status"))
     counts = d.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
     lead = counts.orderBy(F.desc("count"), "status").limit(top).select("status", F.lit(True).alias("__lead"))
-    j = counts.join(F.broadcast(lead), "status", "left")
+    j = counts.join(lead, "status", "left")
     lab = F.when(F.col("__lead"), F.col("status")).otherwise(F.lit(OTHER))
     return j.groupBy(lab.alias("status")).agg(F.sum("count").cast("bigint").alias("count"))
 

@@ -5,46 +5,54 @@ final merge of a hot group happens in one task.  ``group_quantiles`` gives the
 same linear-interpolated result (pandas ``quantile``) by sorting instead:
 
 1. count rows per ``(group, value)`` (map-side combined);
-2. range-partition those pairs by ``(group, value)`` — a hot group's values
-   are cut into several partitions — and take a running count inside each
-   ``(partition, group)`` block;
-3. the block totals (at most one per partition per group) give each block's
-   offset within its group;
+2. give every value a *block*: a fixed, non-decreasing function of the value
+   alone (``value_block``), so a hot group's values are spread over many blocks
+   and every branch of the plan sees the same ones, however often it is run;
+3. the block totals give each block's offset within its group;
 4. for every group and probability, the two rank positions around
    ``p * (n - 1)`` are located in their block and the values interpolated.
 
 Every step is a DataFrame aggregation, window or join; the only windows run
-over one ``(partition, group)`` block or over the block table.
+over one ``(group, block)`` or over the block table.  Values that are null or
+NaN are not counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: blocks per factor of e, and the magnitude below which blocks become linear
+BLOCKS_PER_E, FINEST = 64, 1e-6
+
+
+def value_block(v: Column) -> Column:
+    """Block number of a value.  Each step (division, 1 + x, log, product,
+    floor) keeps order, so blocks of ordered values are ordered."""
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v) / FINEST) * BLOCKS_PER_E)).cast("bigint")
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """``(keys..., <name_i>)`` — the ``probs[i]`` quantile of ``value`` per group."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     if not keys:   # one global group: a constant key keeps every join an equi-join
-        out = group_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, names, partitions)
+        out = group_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, names)
         return out.drop("__all")
     keys = list(keys)
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(value).cast("double")
-    counts = (df.filter(v.isNotNull()).groupBy(*keys, v.alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__c")))
-    ranged = counts.repartitionByRange(parts, *keys, "__v").withColumn("__pid", F.spark_partition_id())
-    in_block = Window.partitionBy("__pid", *keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.withColumn("__end", F.sum("__c").over(in_block))           # running count in the block
-    blocks = ranged.groupBy("__pid", *keys).agg(F.sum("__c").alias("__blk"))
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__off", F.coalesce(F.sum("__blk").over(before), F.lit(0)))
-    totals = blocks.groupBy(*keys).agg(F.sum("__blk").alias("__n"))
+    v = F.col(value).try_cast("double")
+    counts = (df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v"))
+              .agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", value_block(F.col("__v"))))
+    in_block = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("__end", F.sum("__c").over(in_block))           # running count in the block
+    group = Window.partitionBy(*keys)
+    blocks = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__blk")).withColumns({
+        "__off": F.coalesce(F.sum("__blk").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__n": F.sum("__blk").over(group)})
+    totals = blocks.filter("__off = 0").select(*keys, "__n")
     # every wanted rank position (lower and upper neighbour of p*(n-1)), with its block
     wanted = F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])).alias("__q")
@@ -53,10 +61,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                      (F.col("__q.p") * (F.col("__n") - 1)).alias("__idx")))
     ranks = ranks.select(*keys, "__qi", "__idx", F.explode(F.array(
         F.floor("__idx").cast("bigint"), F.ceil("__idx").cast("bigint"))).alias("__k")).distinct()
-    targets = (ranks.join(blocks, keys)
+    targets = (ranks.join(blocks.drop("__n"), keys)
                .filter((F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("__blk")))
-               .select("__pid", *keys, "__qi", "__idx", (F.col("__k") - F.col("__off")).alias("__kin"), "__k"))
-    hits = (run.join(targets, ["__pid", *keys])
+               .select("__b", *keys, "__qi", "__idx", (F.col("__k") - F.col("__off")).alias("__kin"), "__k"))
+    hits = (run.join(targets, ["__b", *keys])
             .filter((F.col("__kin") >= F.col("__end") - F.col("__c")) & (F.col("__kin") < F.col("__end")))
             .select(*keys, "__qi", "__idx", "__k", "__v"))
     lo = F.min_by("__v", "__k")
@@ -74,7 +82,7 @@ def stacked_quantiles(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple
     has one row per group and columns ``<prefix>_<metric>``."""
     keys = list(keys)
     long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(prefix).alias("f"), F.col(col).cast("double").alias("x")) for col, prefix in fields]))
+        F.struct(F.lit(prefix).alias("f"), F.col(col).try_cast("double").alias("x")) for col, prefix in fields]))
         .alias("__s")).select(*keys, F.col("__s.f").alias("__f"), F.col("__s.x").alias("__x"))
     names = list(metrics)
     q = group_quantiles(long, keys + ["__f"], "__x", [metrics[m] for m in names], names=names)

@@ -10,8 +10,8 @@ Plan shape, chosen for scale:
   cells first; leaders and the final series are computed from the cells, so
   the raw rows are shuffled once, already combined map-side, and a hot label
   costs one partial buffer per task.
-* Leaders are a top-K (at most ``top_n`` rows) and are joined back with a
-  broadcast hint — their size bound is the ``limit``.
+* Leaders are a top-K (at most ``top_n`` rows) and are joined back without a
+  hint: Spark sees their size at run time and broadcasts them if small.
 * Non-additive metrics (median, p95, p99) are computed from relabelled raw
   rows, because ``Others`` must be recomputed from its rows.
 """
@@ -45,7 +45,7 @@ def leaders(cells: DataFrame, value: str, top_n: int, label: str = LABEL) -> Dat
 
 def relabel(df: DataFrame, lead: DataFrame, label: str = LABEL, keep_unknown: bool = True) -> DataFrame:
     """Labels not among ``lead`` become ``Others`` (``Unknown`` is kept)."""
-    flagged = F.broadcast(lead.select(F.col(label).alias("__lead")).distinct())
+    flagged = lead.select(F.col(label).alias("__lead")).distinct()
     j = df.join(flagged, F.col(label) == F.col("__lead"), "left")
     keep = F.col("__lead").isNotNull()
     if keep_unknown:
@@ -144,7 +144,7 @@ def bytes_per_uri(df: DataFrame, bytes_col: str = "received_bytes", time: str =
     total sum and the unweighted mean of its bucket means, with a rank for each.
     """
     d = df.filter(F.col(time).isNotNull() & F.col(bytes_col).isNotNull())
-    b = F.col(bytes_col).cast("double")
+    b = F.col(bytes_col).try_cast("double")
     # per (bucket, raw URL) first; the URL is generalised on those cells only
     raw = (d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"), b.alias("__b"))
            .groupBy(BUCKET, "__u").agg(F.sum("__b").alias("__s"), F.count(F.lit(1)).alias("__n")))
@@ -154,7 +154,7 @@ def bytes_per_uri(df: DataFrame, bytes_col: str = "received_bytes", time: str =
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules, generalize=False))
     else:
         lead = leaders(cells, "sum_bytes", top_n)
-    kept = cells.join(F.broadcast(lead), LABEL, "left_semi")
+    kept = cells.join(lead, LABEL, "left_semi")
     rank = kept.groupBy(LABEL).agg(F.sum("sum_bytes").alias("total_sum"), F.avg("avg_bytes").alias("mean_avg"))
     rank = (rank.withColumn("rank_sum", F.row_number().over(
                 _w_global(F.desc("total_sum"), F.asc(LABEL))))
@@ -177,14 +177,16 @@ _METRICS = ("avg", "sum", "median", "p95", "p99", "max")
 def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time", metric: str = "avg",
                             time: str = "time", url: str = "request_url", interval: str = "1min",
                             top_n: int = 10, rules: Sequence[Rule] | None = None,
-                            exact: bool | str = True) -> DataFrame:
+                            exact: bool | str = "sort") -> DataFrame:
     """``(time_bucket, label, value)``; leaders by total ``field``,
-    ``Others`` recomputed from its raw rows for every metric."""
+    ``Others`` recomputed from its raw rows for every metric.  Rows are
+    labelled where they are (a native expression, no join on the URL)."""
     if metric not in _METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {_METRICS}")
-    d = df.filter(F.col(time).isNotNull() & F.col(field).isNotNull())
-    rows = label_distinct_urls(d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"),
-                                        F.col(field).cast("double").alias("__v")), "__u", rules)
+    d = df.filter(F.col(time).isNotNull() & F.col(field).try_cast("double").isNotNull())
+    label = F.coalesce(url_pattern_label(F.col(url), list(rules) if rules else None), F.lit(UNKNOWN))
+    rows = d.select(bucket_of(d, time, interval).alias(BUCKET), label.alias(LABEL),
+                    F.col(field).try_cast("double").alias("__v"))
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules))
     else:
@@ -252,7 +254,7 @@ def scatter_points(df: DataFrame, time: str = "time", rt: str = "target_processi
     with a time and a response time.  ``group`` is the status class, the URL
     label (P7) or the target IP (null IPs dropped; if no row has one, the
     status class is used)."""
-    d = df.filter(F.col(time).isNotNull() & F.col(rt).isNotNull())
+    d = df.filter(F.col(time).isNotNull() & F.col(rt).try_cast("double").isNotNull())
     cls = status_class(F.col(status))
     if group_by == "url":
         grp = scatter_label(F.col(url), list(rules) if rules else None)
@@ -266,7 +268,7 @@ def scatter_points(df: DataFrame, time: str = "time", rt: str = "target_processi
     else:
         grp = cls
     return d.select(*keep, F.col(time).alias("time"),
-                    to_millis(F.col(rt).cast("double"), rt_unit).alias("response_ms"),
+                    to_millis(F.col(rt).try_cast("double"), rt_unit).alias("response_ms"),
                     F.col(status).alias("status"), cls.alias("status_class"), grp.alias("group"))
 
 
@@ -275,7 +277,7 @@ def group_sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("group").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "group")
 
 
-def downsample(points: DataFrame, key: Sequence[str], max_points: int = 50000, seed: int = 42,
+def downsample(points: DataFrame, key: Sequence[str], max_points: int, seed: int = 42,
                margin: float = 0.1) -> DataFrame:
     """The ``max_points`` rows with the smallest seeded hash of ``key``.
 

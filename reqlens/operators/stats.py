@@ -2,16 +2,16 @@
 
 Every function is one declarative aggregation: hash aggregate with a partial
 (map-side) and a final stage, so a hot URL or IP costs one partial buffer per
-task, never one task holding its rows.  Quantiles use Spark's exact
-``percentile`` (one call with an array of probabilities; the buffer holds one
-entry per *distinct* value of the group) or, with ``exact=False``, the
-bounded-memory ``percentile_approx`` sketch.
-
-``exact="sort"`` computes the same exact quantiles by range-sorting the
-``(group, value)`` counts (``operators/quantiles.py``), so no task ever holds a
-whole group — the choice when one key may hold a third of all rows.
+task, never one task holding its rows.  Quantiles are exact: by default
+(``exact="sort"``) ``operators/quantiles.py`` ranks ``(group, value)`` counts in
+blocks of values, so no task ever holds a whole group, even if one key has a
+third of all rows.  ``exact=True`` uses Spark's ``percentile`` instead (faster
+on small groups; its buffer holds every *distinct* value of a group) and
+``exact=False`` the bounded ``percentile_approx`` sketch.
 
 Null keys are removed before every grouping, as pandas ``groupby`` drops them.
+Values that are not numbers count as missing.  A field that is ``None`` or not
+in the input leaves its metrics out instead of failing.
 """
 
 from __future__ import annotations
@@ -42,6 +42,15 @@ def quantiles(col: Column, probs: Sequence[float], exact: bool | str = True) ->
     return F.percentile_approx(col, list(probs), APPROX_ACCURACY)
 
 
+def present(df: DataFrame, *fields: str | None) -> list[str]:
+    """Those of ``fields`` that the input has."""
+    return [f for f in fields if f is not None and f in df.columns]
+
+
+def is_error(status: Column) -> Column:
+    return status.try_cast("int") >= 400
+
+
 def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool | str = True
                 ) -> tuple[list[Column], list[Column]]:
     """Aggregates for ``metrics`` of ``col`` plus the projections that name them.
@@ -53,10 +62,10 @@ def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool | str
     """
     if exact == "sort":
         simple = {"avg": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
-        c = F.col(col).cast("double")
+        c = F.col(col).try_cast("double")
         aggs = [simple[m](c).alias(f"{prefix}_{m}") for m in metrics if m in simple]
         return aggs, [F.col(f"{prefix}_{m}") for m in metrics]
-    c = F.col(col).cast("double")
+    c = F.col(col).try_cast("double")
     qs = [m for m in metrics if m in _PROB]
     aggs: list[Column] = []
     finals: list[Column] = []
@@ -136,8 +145,9 @@ def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "cli
     the whole input, so exact quantiles default to the range-sorted method
     (``exact=True`` would merge every distinct value of the input in one task).
     """
-    aggs, finals = metric_aggs(rt, SUMMARY_METRICS, "response_time", exact)
-    for b in byte_fields:
+    timed = present(df, rt)
+    aggs, finals = metric_aggs(rt, SUMMARY_METRICS, "response_time", exact) if timed else ([], [])
+    for b in present(df, *byte_fields):
         a2, f2 = metric_aggs(b, ("avg", "std"), b, exact)
         aggs += a2
         finals += f2
@@ -149,10 +159,10 @@ def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "cli
             .select(F.count(F.lit(1))).scalar()
 
     main = df.agg(F.count(F.lit(1)).alias("total_requests"), *aggs)
-    if exact == "sort":
+    if exact == "sort" and timed:
         main = with_sorted_quantiles(main, df, [], [(rt, "response_time")], SUMMARY_METRICS)
-    return main.select("total_requests", n_distinct(url).alias("unique_urls"),
-                       n_distinct(client_ip).alias("unique_ips"), *finals)
+    unique = [n_distinct(c).alias(n) for c, n in ((url, "unique_urls"), (client_ip, "unique_ips")) if present(df, c)]
+    return main.select("total_requests", *unique, *finals)
 
 
 def status_distribution(df: DataFrame, status: str = "status", by: str | None = None) -> DataFrame:
@@ -179,7 +189,7 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
               rt: str | None = "target_processing_time",
               processing_fields: Sequence[str] = (), byte_fields: Sequence[str] = (),
               sort_by: str | None = None, sort_metric: str = "avg", top_n: int | None = None,
-              exact: bool | str = True, with_status_map: bool = False) -> DataFrame:
+              exact: bool | str = "sort", with_status_map: bool = False) -> DataFrame:
     """Per-URL count, response-time metrics, metrics per processing field.
 
     Columns: ``url, count, response_time_<m>…, <field>_<m>…``.  Sorted by
@@ -187,31 +197,31 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
     URL; ``top_n`` keeps the first N (a top-K, not a global sort).
     """
     d = df.filter(F.col(url).isNotNull())
+    timed = present(df, rt)
+    others = [f for f in present(df, *processing_fields) if f != rt]
     aggs: list[Column] = [F.count(F.lit(1)).alias("count")]
-    finals: list[Column] = [F.col(url).alias("url"), F.col("count")]
-    if rt:
-        a, f = metric_aggs(rt, URL_METRICS, "response_time", exact)
-        aggs += a
-        finals += f
-    for fld in processing_fields:
-        a, f = metric_aggs(fld, URL_METRICS, fld, exact)
+    named: dict[str, list[Column]] = {}
+    for fld, prefix in [(f, "response_time") for f in timed] + [(f, f) for f in others]:
+        a, named[fld] = metric_aggs(fld, URL_METRICS, prefix, exact)
         aggs += a
-        finals += f
-    for b in byte_fields:
+    finals: list[Column] = [F.col(url).alias("url"), F.col("count"), *(named[rt] if timed else [])]
+    for fld in present(df, *processing_fields):
+        # the response time may be a processing field as well: computed once, named twice
+        finals += [c.alias(f"{fld}_{m}") for c, m in zip(named[fld], URL_METRICS)] if fld == rt else named[fld]
+    for b in present(df, *byte_fields):
         a, f = metric_aggs(b, ("avg", "std"), b, exact)
         aggs += a
         finals += f
     out = d.groupBy(url).agg(*aggs)
     if exact == "sort":
-        fields = ([(rt, "response_time")] if rt else []) + [(f, f) for f in processing_fields]
-        out = with_sorted_quantiles(out, d, [url], fields, URL_METRICS)
+        out = with_sorted_quantiles(out, d, [url], [(f, "response_time") for f in timed] + [(f, f) for f in others], URL_METRICS)
     out = out.select(*finals)
-    if with_status_map and status:
+    if with_status_map and present(df, status):
         smap = status_map(d, status, url).withColumnRenamed(url, "url")
         out = out.join(smap, "url", "left")
     if sort_by and sort_by != "count":
         key = f"{sort_by}_{sort_metric}"
-        if sort_by in (rt,) and rt:
+        if timed and sort_by == rt:
             key = f"response_time_{sort_metric}"
         order = F.coalesce(F.col(key), F.lit(0.0)) if key in out.columns else F.lit(0.0)
     else:
@@ -225,51 +235,59 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
 # ---------------------------------------------------------------------------
 # Per-interval statistics
 # ---------------------------------------------------------------------------
-def time_stats(df: DataFrame, time: str = "time", status: str = "status",
-               rt: str = "target_processing_time", interval: str = "10m",
-               exact: bool | str = True) -> DataFrame:
+def time_stats(df: DataFrame, time: str = "time", status: str | None = "status",
+               rt: str | None = "target_processing_time", interval: str = "10m",
+               exact: bool | str = "sort") -> DataFrame:
     """Per bucket — count, errors (status ≥ 400), error rate over all rows,
     average and p95 response time; ascending time."""
-    rows = df.filter(F.col(time).isNotNull()).select(
-        bucket_of(df, time, interval).alias("time_bucket"), F.col(status).alias("__s"),
-        F.col(rt).cast("double").alias("__rt"))
-    aggs = [F.count(F.lit(1)).alias("count"), F.count_if(F.col("__s") >= 400).alias("error_count"),
-            F.avg("__rt").alias("avg_response_time")]
-    if exact != "sort":
-        aggs.append(quantiles(F.col("__rt"), [0.95], exact)[0].alias("p95_response_time"))
+    fields = [F.col(c).alias(n) for c, n in ((status, "__s"), (rt, "__rt")) if present(df, c)]
+    rows = df.filter(F.col(time).isNotNull()).select(bucket_of(df, time, interval).alias("time_bucket"), *fields)
+    coded, timed = present(rows, "__s"), present(rows, "__rt")
+    aggs = [F.count(F.lit(1)).alias("count")]
+    if coded:
+        aggs.append(F.count_if(is_error(F.col("__s"))).alias("error_count"))
+    if timed:
+        rows = rows.withColumn("__rt", F.col("__rt").try_cast("double"))
+        aggs.append(F.avg("__rt").alias("avg_response_time"))
+        if exact != "sort":
+            aggs.append(quantiles(F.col("__rt"), [0.95], exact)[0].alias("p95_response_time"))
     out = rows.groupBy("time_bucket").agg(*aggs)
-    if exact == "sort":
+    if timed and exact == "sort":
         out = with_sorted_quantiles(out, rows, ["time_bucket"], [("__rt", "rt")], ["p95"]) \
             .withColumnRenamed("rt_p95", "p95_response_time")
-    out = out.withColumn("error_rate", F.col("error_count") / F.col("count"))
-    return out.select("time_bucket", "count", "error_count", "error_rate",
-                      "avg_response_time", "p95_response_time").orderBy("time_bucket")
+    if coded:
+        out = out.withColumn("error_rate", F.col("error_count") / F.col("count"))
+    order = ("time_bucket", "count", "error_count", "error_rate", "avg_response_time", "p95_response_time")
+    return out.select(*present(out, *order)).orderBy("time_bucket")
 
 
 # ---------------------------------------------------------------------------
 # Per-client statistics
 # ---------------------------------------------------------------------------
-def ip_stats(df: DataFrame, client_ip: str = "client_ip", status: str = "status",
-             rt: str = "target_processing_time", top: int = 100) -> DataFrame:
-    """Per-IP count, errors, average response time; top ``top`` by count."""
-    out = (df.filter(F.col(client_ip).isNotNull())
-           .groupBy(F.col(client_ip).alias("ip"))
-           .agg(F.count(F.lit(1)).alias("count"),
-                F.count_if(F.col(status) >= 400).alias("error_count"),
-                F.avg(F.col(rt).cast("double")).alias("avg_response_time")))
-    return out.orderBy(F.desc("count"), F.asc("ip")).limit(top)
+def ip_stats(df: DataFrame, client_ip: str = "client_ip", status: str | None = "status",
+             rt: str | None = "target_processing_time", top: int | None = None) -> DataFrame:
+    """Per-IP count, errors, average response time, by count; the ``top``
+    first, or all of them."""
+    aggs = [F.count(F.lit(1)).alias("count")]
+    if present(df, status):
+        aggs.append(F.count_if(is_error(F.col(status))).alias("error_count"))
+    if present(df, rt):
+        aggs.append(F.avg(F.col(rt).try_cast("double")).alias("avg_response_time"))
+    out = df.filter(F.col(client_ip).isNotNull()).groupBy(F.col(client_ip).alias("ip")).agg(*aggs)
+    out = out.orderBy(F.desc("count"), F.asc("ip"))
+    return out if top is None else out.limit(top)
 
 
 # ---------------------------------------------------------------------------
 # Per-minute tables
 # ---------------------------------------------------------------------------
 def minute_table(df: DataFrame, time: str = "time", status: str = "status",
-                 rt: str = "target_processing_time", exact: bool | str = True) -> DataFrame:
+                 rt: str = "target_processing_time", exact: bool | str = "sort") -> DataFrame:
     """A10: per minute — requests, errors, error % of all rows, exact-code
     counts (200/400/500, reference parity) and class counts (2xx/4xx/5xx),
     average / p95 / p99 response time."""
-    s = F.col(status)
-    r = F.col(rt).cast("double")
+    s = F.col(status).try_cast("int")
+    r = F.col(rt).try_cast("double")
     out = (df.filter(F.col(time).isNotNull())
             .groupBy(bucket_of(df, time, "1min").alias("time"))
             .agg(F.count(F.lit(1)).alias("request_count"),
@@ -284,7 +302,7 @@ def minute_table(df: DataFrame, time: str = "time", status: str = "status",
                  *([] if exact == "sort" else [quantiles(r, [0.95, 0.99], exact).alias("__q")])))
     if exact == "sort":
         rows = df.filter(F.col(time).isNotNull()).select(bucket_of(df, time, "1min").alias("time"),
-                                                         F.col(rt).cast("double").alias("__rt"))
+                                                         F.col(rt).try_cast("double").alias("__rt"))
         out = with_sorted_quantiles(out, rows, ["time"], [("__rt", "rt")], ["p95", "p99"])
         q95, q99 = F.col("rt_p95"), F.col("rt_p99")
     else:
@@ -300,11 +318,11 @@ def dashboard_minutes(df: DataFrame, time: str = "time", status: str = "status",
                       rt: str = "target_processing_time", rt_unit: str = "s") -> DataFrame:
     """Per minute — requests, average response time in ms, errors, and
     error % among rows that have a status."""
-    s = F.col(status)
+    s = F.col(status).try_cast("int")
     return (df.filter(F.col(time).isNotNull())
             .groupBy(bucket_of(df, time, "1min").alias("time"))
             .agg(F.count(F.lit(1)).alias("request_count"),
-                 F.avg(to_millis(F.col(rt).cast("double"), rt_unit)).alias("avg_response_time_ms"),
+                 F.avg(to_millis(F.col(rt).try_cast("double"), rt_unit)).alias("avg_response_time_ms"),
                  F.count_if(s >= 400).alias("error_count"),
                  (F.avg((s >= 400).cast("double")) * 100).alias("error_rate"))
             .orderBy("time"))
@@ -314,13 +332,14 @@ def dashboard_minutes(df: DataFrame, time: str = "time", status: str = "status",
 # Several sections over one load
 # ---------------------------------------------------------------------------
 def calculate_stats(df: DataFrame, stats_types: Sequence[str] = ("all",), *, url: str = "request_url",
-                    time: str = "time", status: str = "status", rt: str = "target_processing_time",
-                    client_ip: str = "client_ip", interval: str = "10m",
+                    time: str = "time", status: str = "status", rt: str | None = "target_processing_time",
+                    client_ip: str = "client_ip", interval: str = "10m", top_ips: int | None = None,
+                    exact: bool | str = "sort",
                     processing_fields: Sequence[str] = (), sort_by: str | None = None,
                     sort_metric: str = "avg", top_n: int | None = None,
                     materialize: str | None = None) -> dict[str, DataFrame]:
     """``{'summary', 'status_distribution', 'url_stats', 'time_stats',
-    'ip_stats'}`` over one input.
+    'ip_stats'}`` over one input; a section whose key field is absent is left out.
 
     ``materialize='snapshot'`` lands the input once as Parquet in the shared
     checkpoint folder (cuts lineage, survives executor loss, and every
@@ -341,13 +360,14 @@ def calculate_stats(df: DataFrame, stats_types: Sequence[str] = ("all",), *, url
         src = df.sparkSession.read.parquet(path)
     out: dict[str, DataFrame] = {}
     if "summary" in kinds:
-        out["summary"] = summary_stats(src, url, client_ip, rt)
-        out["status_distribution"] = status_distribution(src, status)
-    if "url" in kinds:
+        out["summary"] = summary_stats(src, url, client_ip, rt, exact=exact)
+        if present(src, status):
+            out["status_distribution"] = status_distribution(src, status)
+    if "url" in kinds and present(src, url):
         out["url_stats"] = url_stats(src, url, status, rt, processing_fields, sort_by=sort_by,
-                                     sort_metric=sort_metric, top_n=top_n)
-    if "time" in kinds:
-        out["time_stats"] = time_stats(src, time, status, rt, interval)
-    if "ip" in kinds:
-        out["ip_stats"] = ip_stats(src, client_ip, status, rt)
+                                     sort_metric=sort_metric, top_n=top_n, exact=exact)
+    if "time" in kinds and present(src, time):
+        out["time_stats"] = time_stats(src, time, status, rt, interval, exact=exact)
+    if "ip" in kinds and present(src, client_ip):
+        out["ip_stats"] = ip_stats(src, client_ip, status, rt, top_ips)
     return out

@@ -3,8 +3,8 @@
 The library never creates its own cluster configuration: it reads what the
 session says.  ``get_spark`` is a convenience for tests, benches and scripts.
 ``shared_dir`` hands out folders under ``spark.checkpoint.dir`` — the shared
-folder a cluster names for checkpoints — and only invents a local one when
-the session has none (local tests).
+folder a cluster names for checkpoints.  A session without one gets a local
+folder only if its master is local (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -52,13 +52,15 @@ def get_spark(master: str | None = None, app: str = "reqlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` as the cluster
     names it (or the context's checkpoint dir); a local folder is created only
-    when neither is set, as in tests."""
+    when neither is set and the master is local, as in tests."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.removeprefix("file:")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"{CHECKPOINT_CONF} is not set: executors need a folder that all of them share")
     local = tempfile.mkdtemp(prefix="reqlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().removeprefix("file:")

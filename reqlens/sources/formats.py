@@ -125,6 +125,10 @@ def preset(name: str) -> LogFormat:
         raise ValueError(f"unknown format preset {name!r}; one of {sorted(PRESETS)}") from None
 
 
+#: a group that is matched but is no column of the result
+UNNAMED = "_unnamed_"
+
+
 def custom_format(pattern: str, columns=(), types=None, pattern_type: str = "GROK",
                   rt_unit: str = "ms", time_format: str | None = None) -> LogFormat:
     """A user regex.  Named groups (``(?P<n>...)``) give the columns
@@ -132,7 +136,9 @@ def custom_format(pattern: str, columns=(), types=None, pattern_type: str = "GRO
     pattern = pattern or ".*"
     named = re.compile(pattern).groupindex
     if not columns and named:
-        columns = tuple(sorted(named, key=named.get))
+        # by group number; the unnamed groups between them are not columns
+        names = {i: n for n, i in named.items()}
+        columns = tuple(names.get(i, f"{UNNAMED}{i}") for i in range(1, max(names) + 1))
     # Java group names allow no underscores, and mapping is positional anyway:
     # named groups become plain groups, named back-references numeric ones.
     java = re.sub(r"\(\?P<[A-Za-z_][A-Za-z0-9_]*>", "(", pattern)
@@ -180,7 +186,7 @@ APACHE_PRESETS = {
     "referer": "%{Referer}i -> %U",
     "agent": "%{User-agent}i",
 }
-_TOKEN = re.compile(r"%%|%\{([^}]*)\}([ioe])|%[<>!][a-zA-Z]|%[a-zA-Z]|%|.", re.S)
+_TOKEN = re.compile(r"%%|%\{([^}]*)\}([a-zA-Z])|%[<>!][a-zA-Z]|%[a-zA-Z]|%|.", re.S)
 
 
 def compile_apache_format(fmt: str) -> LogFormat:
@@ -201,6 +207,8 @@ def compile_apache_format(fmt: str) -> LogFormat:
             parts.append("%")          # a literal percent sign
         elif m.group(1) is not None:
             name, kind = m.group(1), m.group(2)
+            if kind not in "ioe":
+                continue               # notes, time formats and the like are skipped
             col = name.lower().replace("-", "_")
             if kind == "i":
                 col = {"referer": "referer", "referrer": "referer", "user_agent": "user_agent"}.get(col, col)
@@ -225,6 +233,8 @@ def compile_apache_format(fmt: str) -> LogFormat:
             continue
         else:
             parts.append(re.escape(tok) if tok not in ' "' else tok)
+    # of directives with one column the last counts
+    cols = [c if c not in cols[i + 1:] else f"{UNNAMED}{i + 1}" for i, c in enumerate(cols)]
     units = "us" if "response_time_us" in cols else ("s" if "response_time_s" in cols else "ms")
     lf = LogFormat("apache", "".join(parts), tuple(cols), types, "HTTPD", {}, units, "fromLog",
                    HTTPD_TIME_FORMAT)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import trailing_micros_as_seconds
-from reqlens.sources.formats import ALB_FALLBACK_COLUMNS, PRESETS, LogFormat, compile_apache_format, custom_format, preset
+from reqlens.sources.formats import (ALB_FALLBACK_COLUMNS, PRESETS, UNNAMED, LogFormat, compile_apache_format, custom_format,
+                                     preset)
 
 SEP = "\u0001"
 # The characters Python's str.strip() removes (str.isspace()).
@@ -142,14 +143,14 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
     * lines that do not match or are not valid go to ``rejected``
     """
     if fmt.pattern_type == "JSON":
-        return parse_json_lines(lines, fmt)
+        return parse_json_lines(lines, fmt, columns=columns, keep=keep)
     keep = list(keep or [c for c in lines.columns if c != "value"])
     n = fmt.n_groups
     cols = list(fmt.columns)
     if not cols:
         return _parse_fallback(lines, fmt, keep)
     derived = fmt.pattern_type == "HTTPD" and "request" in cols
-    want = list(columns) if columns else list(cols)
+    want = list(columns) if columns else [c for c in cols if not c.startswith(UNNAMED)]
     if derived and any(c in want for c in ("request_method", "request_url", "request_proto")) \
             and "request" not in want:
         want_req = want + ["request"]
@@ -163,16 +164,12 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
     in_regex = [c for c in needed if c in idx]
     value = F.col("value")
     # One regex evaluation per line: a match is rewritten to SEP + the wanted
-    # groups joined by SEP; a line that does not match comes back unchanged
-    # (lines that already contain SEP are rejected).  The rewrite is
-    # materialised once in ``stage``; records and rejects are then selected
+    # groups joined by SEP; a line that does not match comes back unchanged.
+    # A line that holds SEP itself has its groups extracted one by one.  The
+    # rewrite is materialised once in ``stage``; records and rejects are then selected
     # with a generator rather than a Filter, so the optimizer cannot copy the
     # regex into a pushed-down predicate.
-    repl = SEP + SEP.join(f"${idx[c]}" for c in in_regex)
-    out = F.regexp_replace(value, f"(?s)^(?:{fmt.pattern}).*$", repl)
-    stage = (lines.select(*keep, "value", out.alias("__o"))
-             .select(*keep, "value", F.col("__o").startswith(SEP).alias("__hit"),
-                     F.split(F.substring("__o", 2, 1 << 30), SEP, -1).alias("__p")))
+    stage = _one_pass(lines, fmt.pattern, [idx[c] for c in in_regex], keep)
     parts = F.col("__p")
     raw: dict[str, Column] = {}
     for c in needed:
@@ -184,7 +181,7 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
         valid = F.coalesce(*[raw[c] for c in check]).isNotNull()
     else:
         valid = F.lit(True)
-    ok = ~F.col("value").contains(SEP) & F.col("__hit") & valid
+    ok = F.col("__hit") & valid
     out_cols = [c for c in cols if c in want]
     fields = [raw[c].alias(c) for c in out_cols]
     if derived and "request" in needed and "request" not in out_cols:
@@ -200,20 +197,25 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
     return ParseResult(records, rejected, fmt)
 
 
-def _one_pass(lines: DataFrame, pattern: str, n: int, keep: list[str]) -> DataFrame:
-    """``keep, value, __hit, __p``: one regex rewrite per line into its groups."""
-    repl = SEP + SEP.join(f"${i}" for i in range(1, n + 1))
-    out = F.regexp_replace(F.col("value"), f"(?s)^(?:{pattern}).*$", repl)
+def _one_pass(lines: DataFrame, pattern: str, groups: list[int], keep: list[str]) -> DataFrame:
+    """``keep, value, __hit, __p``: one regex rewrite per line into ``groups``
+    (extraction group by group for a line that holds the separator)."""
+    value, whole = F.col("value"), f"(?s)^(?:{pattern}).*$"
+    odd = value.contains(SEP)
+    out = F.when(~odd, F.regexp_replace(value, whole, SEP + SEP.join(f"${i}" for i in groups)))
+    each = F.array(*[F.regexp_extract(value, whole, i) for i in groups]).cast("array<string>")
+    rewritten = F.col("__o")
     return (lines.select(*keep, "value", out.alias("__o"))
-            .select(*keep, "value", (F.col("__o").startswith(SEP) & ~F.col("value").contains(SEP)).alias("__hit"),
-                    F.split(F.substring("__o", 2, 1 << 30), SEP, -1).alias("__p")))
+            .select(*keep, "value",
+                    F.when(rewritten.isNotNull(), rewritten.startswith(SEP)).otherwise(value.rlike(whole)).alias("__hit"),
+                    F.when(rewritten.isNotNull(), F.split(F.substr(rewritten, F.lit(2)), SEP, -1)).otherwise(each).alias("__p")))
 
 
 def _parse_fallback(lines: DataFrame, fmt: LogFormat, keep: list[str]) -> ParseResult:
     """No column list — ALB: first 17 named + ``_extra_groups``; HTTPD with
     ≥ 10 groups: fixed names; otherwise the raw group array."""
     n = fmt.n_groups
-    stage = _one_pass(lines, fmt.pattern, n, keep)
+    stage = _one_pass(lines, fmt.pattern, list(range(1, n + 1)), keep)
     g = F.col("__p") if n else F.array().cast("array<string>")
     if fmt.pattern_type == "ALB" and n:
         k = min(n, 17)
@@ -239,6 +241,12 @@ def _json_object(value: Column) -> Column:
 MAX_JSON_KEYS = 10000
 
 
+def _last_key_wins(df: DataFrame) -> DataFrame:
+    """Objects that repeat a key are parsed, and its last value counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df
+
+
 def _key_path(k: str) -> str:
     return "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
@@ -261,7 +269,7 @@ def infer_json_fields(lines: DataFrame, max_keys: int = MAX_JSON_KEYS) -> list[t
     Keys come in order of first appearance; the key set is a schema, so it is
     small — more than ``max_keys`` distinct keys is an error, not a cut.
     """
-    objs = lines.filter(_json_object(F.col("value"))).select(
+    objs = _last_key_wins(lines).filter(_json_object(F.col("value"))).select(
         F.monotonically_increasing_id().alias("__line"), "value")
     keys = (objs.select("__line", F.posexplode(F.json_object_keys("value")).alias("__pos", "k"))
             .groupBy("k").agg(F.min(F.struct("__line", "__pos")).alias("__first"))
@@ -280,23 +288,25 @@ def infer_json_fields(lines: DataFrame, max_keys: int = MAX_JSON_KEYS) -> list[t
 
 def json_field_map(lines: DataFrame) -> dict[str, str | None]:
     """Role → key of the first valid JSON object (one line to the driver)."""
-    first = lines.filter(_json_object(F.col("value"))).select("value").limit(1).collect()
+    first = _last_key_wins(lines).filter(_json_object(F.col("value"))).select("value").limit(1).collect()
     if not first:
         return {}
     obj = json.loads(first[0]["value"])
     return {role: next((k for k in keys if k in obj), None) for role, keys in JSON_ROLE_KEYS.items()}
 
 
-def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str | None = None) -> ParseResult:
+def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str | None = None,
+                     columns: list[str] | None = None, keep: list[str] | None = None) -> ParseResult:
     """JSON objects → typed columns.  With ``schema`` (DDL) the lines go
     through ``from_json``; otherwise the keys and types of the whole input are
     inferred (``infer_json_fields``) and read from the parsed VARIANT.  The
     field-mapped timestamp becomes a TIMESTAMP; a line that is not a JSON
-    object is rejected."""
+    object is rejected.  ``columns`` prunes the result (and what is read from
+    the objects) to those fields."""
     fmt = fmt or PRESETS["json"]
-    keep = [c for c in lines.columns if c != "value"]
+    keep = [c for c in lines.columns if c != "value"] if keep is None else list(keep)
     ok = _json_object(F.col("value"))
-    stage = lines.select(*keep, "value", ok.alias("__m"))
+    stage = _last_key_wins(lines).select(*keep, "value", ok.alias("__m"))
     good = stage.filter("__m")
     if schema:
         parsed = good.select(*keep, F.from_json("value", schema).alias("__r")).select(*keep, "__r.*")
@@ -308,6 +318,8 @@ def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str
     ts = fmt.field_map.get("timestamp")
     if ts and ts in parsed.columns:
         parsed = parsed.withColumn(ts, F.try_to_timestamp(F.col(ts).cast("string")))
+    if columns:
+        parsed = parsed.select(*keep, *[c for c in columns if c in parsed.columns])
     rejected = stage.filter(~F.col("__m")).select(*keep, "value")
     return ParseResult(parsed, rejected, fmt)
 
@@ -401,7 +413,7 @@ def clf_response_seconds(v: Column) -> Column:
 
 def parse_preview(lines: DataFrame, fmt: LogFormat) -> DataFrame:
     """``(value, matched, groups)`` — what the pattern captures per line."""
-    stage = _one_pass(lines, fmt.pattern, fmt.n_groups, [])
+    stage = _one_pass(lines, fmt.pattern, list(range(1, fmt.n_groups + 1)), [])
     return stage.select("value", F.col("__hit").alias("matched"),
                         F.when(F.col("__hit"), F.col("__p")).alias("groups"))
 
