@@ -8,9 +8,9 @@
    share one of the ``INDEX - index_matches + 1`` rarest (prefix merging).
    Pairs that one node alone holds are never posted; long lists come last in
    every prefix and are mostly skipped.
-3. Lists are merged without expanding them: in each round every list compares
-   its members with one leader, and linked nodes become one component.  What is
-   left - members of different components in one list - is compared in blocks
+3. Lists are merged without expanding them: every list compares its members
+   with a few leaders, and linked nodes become one component.  What is left -
+   members of different components in one list - is compared in blocks
    by counting equal coordinates; only pairs that reach ``signature_matches``
    leave the task.
 4. Every retained pair is confirmed on the full shingle sets.
@@ -46,7 +46,8 @@ NUM, DEN = 75, 100
 SIGNATURE, INDEX = 128, 32
 #: share of true links at the threshold that a signature test may miss
 MISS = 1e-5
-ROUNDS = 2
+#: leaders that every posting list compares its members with
+LEADERS = 3
 #: members of a posting list compared in one task: two blocks
 BLOCK = 256
 #: distinct words whose hashes a worker remembers
@@ -212,26 +213,21 @@ def _oriented(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _with_comp(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return postings.withColumn("comp", F.col("node"))
-    return postings.join(labels, "node", "left").select("pair", "node", F.coalesce("comp", "node").alias("comp"))
-
-
-def _star_pairs(postings: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Each member of a list with the list's leader of this turn, where they
-    are of different components."""
-    p = _with_comp(postings, labels)
-    lead = p.groupBy("pair").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("l"))
-    met = p.join(lead, "pair").where(F.col("comp") != F.col("l.comp")).select("node", F.col("l.node").alias("lead"))
-    return _oriented(met, "node", "lead")
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """Each member of a list with the list's leaders, which are the members
+    with the least of LEADERS seeded hashes."""
+    lead = postings.groupBy("pair").agg(
+        *[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).alias(f"l{i}") for i in range(LEADERS)])
+    met = postings.join(lead, "pair").select(
+        "node", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.node") for i in range(LEADERS)]))).alias("lead"))
+    return _oriented(met.where("node <> lead"), "node", "lead")
 
 
 def _block_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of one list but of different components that agree on enough
     coordinates.  A pair is counted in the first list it shares only."""
     least, n_parts = least_matches(SIGNATURE), partitions(postings.sparkSession)
-    p = _with_comp(postings, labels)
+    p = postings.join(labels, "node", "left").select("pair", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = (p.groupBy("pair").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo < hi and len > 2").select("pair", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")))
     mask = postings.groupBy("node").agg(
@@ -300,22 +296,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = land(_node_sets(docs, nodes.join(postings.select("node").distinct(), "node", "left_semi").select("node", "set_id", "doc_id")),
                  "minhash-shingles")
     edges = land(edges, "minhash-edges")
-    tested = None
-    labels = None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            pairs = _star_pairs(postings, labels, turn)
-        else:
-            pairs = _block_pairs(postings, labels, nodes)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn < ROUNDS:
-            pairs = _enough_matches(pairs, nodes)
-        result = land(_confirmed(pairs, texts), "minhash-links")
-        seen = result.select("a", "b")
-        tested = seen if tested is None else tested.union(seen)
-        edges = edges.union(result.where("linked").select("a", "b"))
-        labels = components(edges)
+    stars = land(_confirmed(_enough_matches(_star_pairs(postings), nodes), texts), "minhash-links")
+    edges = edges.union(stars.where("linked").select("a", "b"))
+    rest = _block_pairs(postings, components(edges), nodes).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = land(_confirmed(rest, texts), "minhash-links")
+    labels = components(edges.union(more.where("linked").select("a", "b")))
     least_doc = (nodes.select("node", "doc_id").join(labels, "node").groupBy("comp")
                  .agg(F.min("doc_id").alias("component")))
     root = labels.join(least_doc, "comp").select("node", "component")
