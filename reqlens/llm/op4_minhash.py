@@ -11,8 +11,7 @@
 3. Lists are merged without expanding them: every list compares its members
    with a few leaders, and linked nodes become one component.  What is left -
    members of different components in one list - is compared in blocks
-   by counting equal coordinates; only pairs that reach ``signature_matches``
-   leave the task.
+   by counting equal coordinates.
 4. Every retained pair is confirmed on the full shingle sets.
 
 Postings and blocks are spread by (pair, block), so one huge group of near
@@ -223,46 +222,16 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
     return _oriented(met.where("node <> lead"), "node", "lead")
 
 
-def _block_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one list but of different components that agree on enough
-    coordinates.  A pair is counted in the first list it shares only."""
-    least, n_parts = least_matches(SIGNATURE), partitions(postings.sparkSession)
-    p = postings.join(labels, "node", "left").select("pair", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = (p.groupBy("pair").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi and len > 2").select("pair", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")))
-    mask = postings.groupBy("node").agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftright(pair, 32) as int))")).alias("mask"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = (p.join(mixed, "pair").withColumn("own", own)
-            .join(mask, "node").join(nodes.select("node", "sig"), "node")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("pair", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                    "own", "node", "comp", "mask", "sig")
-            .repartition(n_parts, "pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi"))
-
-    def compare(pair: int, lo: int, hi: int, own, node, comp, mask, sig) -> list[tuple[int, int]]:
-        coord, found = pair >> 32, []
-        for i in range(len(node)):
-            cand = np.flatnonzero((comp != comp[i]) & ((own != own[i]) if lo < hi else (node > node[i])))
-            if lo < hi and own[i] != lo or not len(cand):
-                continue
-            cand = cand[(sig[cand] == sig[i]).sum(axis=1) >= least]
-            if len(cand):
-                common = mask[cand] & mask[i] & ((1 << coord) - 1)
-                early = ((sig[cand, :INDEX] == sig[i, :INDEX]) & ((common[:, None] >> np.arange(INDEX)) & 1).astype(bool)).any(axis=1)
-                found += [(int(node[i]), int(x)) for x in node[cand[~early]]]
-        return found
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_group(compare, names: list[str], kinds: list[pa.DataType]):
+    """A mapInArrow function over rows sorted by their first three columns:
+    ``compare(group)`` gives the columns of each group's result."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []        # rows of the group that the last batch left open
         key = None
 
-        def close():
-            t = pa.Table.from_batches(held)
-            own, node, comp, mask = (t.column(c).to_numpy() for c in ("own", "node", "comp", "mask"))
-            found = compare(*key, own, node, comp, mask, _matrix(t.column("sig").combine_chunks(), SIGNATURE))
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()),
-                                               pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+        def close() -> pa.RecordBatch:
+            cols = compare(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -277,7 +246,78 @@ def _block_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
                 held.append(b.slice(s, e - s))
         if held:
             yield close()
-    return rows.mapInArrow(merge, "a long, b long").distinct()
+    return run
+
+
+def _partners(table: pa.Table):
+    """For each row of a block that takes part in comparisons: (row, the rows
+    it is compared with).  Rows of one component are not compared."""
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    own, node, comp = (table.column(c).to_numpy() for c in ("own", "node", "comp"))
+    for i in range(len(node)):
+        if lo == hi or own[i] == lo:
+            other = np.flatnonzero((comp != comp[i]) & ((own != own[i]) if lo < hi else (node > node[i])))
+            if len(other):
+                yield i, other
+
+
+def _candidates(table: pa.Table) -> list:
+    """Rows of a block with some partner that agrees on enough coordinates.  A
+    pair is counted in the first list it shares only."""
+    least, coord = least_matches(SIGNATURE), table.column("pair")[0].as_py() >> 32
+    sig, mask = _matrix(table.column("sig").combine_chunks(), SIGNATURE), table.column("mask").to_numpy()
+    hit = np.zeros(table.num_rows, bool)
+    for i, other in _partners(table):
+        other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+        if len(other):
+            common = mask[other] & mask[i] & ((1 << coord) - 1)
+            early = ((sig[other, :INDEX] == sig[i, :INDEX]) & ((common[:, None] >> np.arange(INDEX)) & 1).astype(bool)).any(axis=1)
+            hit[other[~early]] = True
+            hit[i] |= not early.all()
+    rows = table.filter(pa.array(hit))
+    return [rows.column(c).combine_chunks() for c in ("pair", "lo", "hi", "own", "node", "comp")]
+
+
+def _exact_links(table: pa.Table) -> list:
+    """The pairs of a block that are similar enough, by full shingle sets."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    size = np.array([len(s) for s in sets])
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    at, node, found = np.cumsum(size) - size, table.column("node").to_numpy(), []
+    for i, other in _partners(table):
+        mark = np.zeros(len(words), np.int32)
+        mark[flat[at[i]:at[i] + size[i]]] = 1
+        both = np.add.reduceat(mark[flat], at)[other]
+        found += [(int(node[i]), int(x)) for x in node[other[DEN * both >= NUM * (size[i] + size[other] - both)]]]
+    return [[min(x) for x in found], [max(x) for x in found]]
+
+
+def _block_links(postings: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one list but of different components.  Lists
+    are cut into blocks; a pair of blocks is compared in one task, first by
+    signatures, then - nodes with a candidate only - by their shingle sets, so
+    what leaves the tasks is nodes and links, never pairs of candidates."""
+    n_parts = partitions(postings.sparkSession)
+    p = postings.join(labels, "node", "left").select("pair", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = (p.groupBy("pair").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo < hi and len > 2").select("pair", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")))
+    mask = postings.groupBy("node").agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftright(pair, 32) as int))")).alias("mask"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = (p.join(mixed, "pair").withColumn("own", own)
+            .join(mask, "node").join(nodes.select("node", "sig"), "node")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("pair", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                    "own", "node", "comp", "mask", "sig"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(n_parts, "pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
+    key = ["pair", "lo", "hi", "own", "node", "comp"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    near = grouped(rows).mapInArrow(_by_group(_candidates, key, kinds),
+                                    "pair long, lo int, hi int, own int, node long, comp long")
+    return (grouped(near.join(sets, "node").select(*key, "shingles"))
+            .mapInArrow(_by_group(_exact_links, ["a", "b"], [pa.int64()] * 2), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,9 +338,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = land(edges, "minhash-edges")
     stars = land(_confirmed(_enough_matches(_star_pairs(postings), nodes), texts), "minhash-links")
     edges = edges.union(stars.where("linked").select("a", "b"))
-    rest = _block_pairs(postings, components(edges), nodes).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = land(_confirmed(rest, texts), "minhash-links")
-    labels = components(edges.union(more.where("linked").select("a", "b")))
+    more = land(_block_links(postings, components(edges), nodes, texts), "minhash-links")
+    labels = components(edges.union(more))
     least_doc = (nodes.select("node", "doc_id").join(labels, "node").groupBy("comp")
                  .agg(F.min("doc_id").alias("component")))
     root = labels.join(least_doc, "comp").select("node", "component")
