@@ -10,8 +10,8 @@ probabilities are averaged over the samples kept.
 How it is spread:
 
 * Documents are read once, into *blocks* of about ``BLOCK_TOKENS`` tokens.  A
-  block lists its distinct (word, context) pairs and keeps its token sequence
-  as numbers into that list.
+  block numbers its distinct words, keeps its token sequence in those numbers,
+  and lists its distinct (word, context) pairs.
 * Pairs are sent to the *bucket* of their word with their training counts, so
   only a block's distinct pairs are shuffled.  A bucket owns all customers of
   its words in all contexts (at most CONTEXTS of them a word, however frequent
@@ -45,7 +45,7 @@ from reqlens.llm.common import doc_fold, land, mix64, partitions, read_table
 
 FOLDS = 10
 CONTEXTS = 1024
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 #: discount and strength of the context restaurants and of their parent
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
@@ -53,8 +53,10 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES, BETWEEN = 12, 6, 3
 #: pairs with at least MANY customers get MORE moves a sweep
 MANY, MORE = 32, 7
-WORD_CACHE = 500_000
+WORD_CACHE = 250_000
 SEED = 10
+#: documents taken from a batch at once
+SLICE = 256
 #: white space cannot be part of a word, so this is no word's hash but by collision
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
@@ -89,37 +91,56 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(h: np.ndarray) -> np.ndarray:
+    """Ascending hashes as differences, byte by byte: the high bytes of the
+    differences are mostly zero and compress."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplanes(b: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(b.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 # ------------------------------------------------------------------- blocks
+def _pairs(seq: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (word, context) codes of a token sequence in ascending order,
+    and each token's place among them.  ``kind`` is the context class that a
+    word makes, its last entry that of a text's beginning."""
+    context = np.empty(len(seq), np.int64)
+    context[1:] = kind[seq[:-1]]
+    context[np.cumsum(sizes) - sizes] = kind[-1]
+    return np.unique(seq.astype(np.int64) * CONTEXTS + context, return_inverse=True)
+
+
+def _context_class(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) % np.uint64(CONTEXTS)).astype(np.uint16)
+
+
 def _block(doc_ids: list, train: list, hashes: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
     """Rows (block, bucket, payload): requests by bucket, and at bucket -1 the
     documents with their token sequence."""
     block = int.from_bytes(os.urandom(8), "little") >> 1
     sizes = np.array([len(h) for h in hashes], np.int64)
-    h = np.concatenate(hashes)
-    prev = np.empty_like(h)
-    prev[1:] = h[:-1]
-    prev[np.cumsum(sizes) - sizes] = END                 # a text begins after the end of another
-    context = (mix64(prev) % np.uint64(CONTEXTS)).astype(np.int64)
-    words, at = np.unique(h, return_inverse=True)
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
     bucket = (mix64(words ^ END) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    words, bucket = words[order], bucket[order]
-    pairs, seq = np.unique(rank[at] * CONTEXTS + context, return_inverse=True)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    seq, words, bucket = rank[at], words[order], bucket[order]
+    kind = _context_class(np.append(words, END))          # a text begins after the end of another
+    pairs, place = _pairs(seq, kind, sizes)
     learned = np.repeat(np.array(train, bool), sizes)
-    count = np.bincount(seq[learned], minlength=len(pairs)).astype(np.uint32)
+    count = np.bincount(place[learned], minlength=len(pairs)).astype(np.uint32)
     null = np.array([x is None for x in doc_ids], np.uint8)
     ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
-    rows = [(block, -1, pack(ids, null, np.array(train, np.uint8), sizes, seq.astype(np.uint32),
-                             (pairs % CONTEXTS).astype(np.uint16), (pairs // CONTEXTS).astype(np.uint32)))]
+    rows = [(block, -1, pack(ids, null, np.array(train, np.uint8), sizes, seq, kind))]
     word_of = pairs // CONTEXTS
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     pair_cut = np.searchsorted(word_of, cut)
     for b in np.flatnonzero(np.diff(cut)):
         w0, w1, p0, p1 = cut[b], cut[b + 1], pair_cut[b], pair_cut[b + 1]
         per_word = np.bincount(word_of[p0:p1] - w0, minlength=w1 - w0).astype(np.uint16)
-        rows.append((block, int(b), pack(words[w0:w1], per_word, (pairs[p0:p1] % CONTEXTS).astype(np.uint16), count[p0:p1])))
+        rows.append((block, int(b), pack(planes(words[w0:w1]), per_word, (pairs[p0:p1] % CONTEXTS).astype(np.uint16), count[p0:p1])))
     return rows
 
 
@@ -132,7 +153,7 @@ def document_blocks(docs: DataFrame, buckets: int, folds: int = FOLDS) -> DataFr
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
                 ["block", "bucket", "payload"])
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             for doc_id, learn, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()
                 h = np.empty(len(words) + 1, np.uint64)
@@ -260,7 +281,9 @@ def _seat_root(c0: np.ndarray, vocab: float, buckets: int, rng) -> tuple[Seating
 def _answer(table: pa.Table, buckets: int) -> pa.Table:
     """One bucket: merge the blocks' requests, sample, answer each block."""
     block, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    asked = [unpack(x) for x in table.column("payload").to_pylist()]
+    asked = [unpack(x.as_py()) for x in table.column("payload")]
+    for x in asked:
+        x[0] = unplanes(x[0])
     words, of = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
     base, code = 0, []
     for h, per_word, context, _ in asked:
@@ -270,6 +293,7 @@ def _answer(table: pa.Table, buckets: int) -> pa.Table:
     count = np.bincount(at, weights=np.concatenate([x[3] for x in asked]), minlength=len(pairs)).astype(np.int64)
     a, r, sums = sample_bucket(pairs // CONTEXTS, pairs % CONTEXTS, count, len(words), buckets, SEED + bucket)
     c = np.bincount(pairs // CONTEXTS, weights=count, minlength=len(words)).astype(np.uint64)
+    c = c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c
     out, p, q = [], 0, 0
     for b, (h, _, context, _) in zip(block, asked):
         w = of[q:q + len(h)]
@@ -299,7 +323,9 @@ def _score_block(table: pa.Table, sums: np.ndarray) -> pa.Table:
     """Scores of a block's documents from the answers to its pairs."""
     c_k, t_k, (n, v, c0, t0) = sums[:CONTEXTS], sums[CONTEXTS:2 * CONTEXTS], sums[2 * CONTEXTS:]
     rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
-    ids, null, train, sizes, seq, context, word = unpack(rows.pop(-1))
+    ids, null, train, sizes, seq, kind = unpack(rows.pop(-1))
+    pairs, seq = _pairs(seq, kind, sizes)
+    word, context = np.divmod(pairs, CONTEXTS)
     parts = [unpack(rows[b]) for b in sorted(rows)]
     a, c, r = (np.concatenate([p[i] for p in parts]).astype(float) for i in range(3))
     p0 = (r + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
