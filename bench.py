@@ -54,7 +54,7 @@ def main() -> None:
         "url_stats_big_sorted_quantiles": lambda: stats.url_stats(big, processing_fields=PT, exact="sort"),
         "summary": lambda: stats.summary_stats(req, byte_fields=("sent_bytes",)),
         "time_stats_10m": lambda: stats.time_stats(req, interval="10m"),
-        "ip_stats": lambda: stats.ip_stats(big),
+        "ip_stats": lambda: stats.ip_stats(big, top=100),
         "uri_patterns": lambda: stats.uri_patterns(big, max_patterns=100),
         "generalize_all_rows": lambda: big.select(generalize_url(F.col("request_url")).alias("p")),
         "requests_per_uri_1h": lambda: series.requests_per_uri(big, interval="1h", top_n=20),

@@ -12,9 +12,10 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from reqlens.functions.fields import find_field
+from reqlens.functions.fields import find_field, require_field
 from reqlens.operators import filters as FL
 from reqlens.operators import pivot as PV
 from reqlens.operators import series as SE
@@ -80,10 +81,21 @@ def cmd_patterns(spark, a) -> dict:
     res = _read(spark, a)
     f = _fields(res)
     pats = ST.uri_patterns(res.records, f["url"], a.include_params, a.min_count, a.max_count, a.max)
-    rules = SE.update_rule_store(spark, None, pats.withColumnRenamed("pattern", SE.LABEL))
+    # rules that an earlier run left come first; the merge is read from their old folder and so lands beside it
+    old = _stored_rules(spark, f"{a.out}/rules")
+    rules = SE.update_rule_store(spark, old, pats.withColumnRenamed("pattern", SE.LABEL))
+    if old is not None:
+        rules = spark.createDataFrame(rules.collect(), rules.schema)     # a rule list: as small as the leaders it came from
     return {"patterns": _write(pats, f"{a.out}/patterns"), "rules": W.save_rules(rules, f"{a.out}/rules")}
 
 
+def _stored_rules(spark, path: str) -> DataFrame | None:
+    try:
+        return W.load_rules(spark, path)
+    except AnalysisException:            # no earlier run
+        return None
+
+
 def cmd_pivot(spark, a) -> dict:
     res = _read(spark, a)
     f = _fields(res)
@@ -102,11 +114,12 @@ def cmd_series(spark, a) -> dict:
     if a.kind == "uri":
         out = SE.requests_per_uri(df, f["time"], f["url"], a.interval, n)
     elif a.kind == "target":
-        out = SE.requests_per_target(df, f["time"], interval=a.interval, top_n=n)
+        out = SE.requests_per_target(df, f["time"], require_field(df, "target_ip"), require_field(df, "target_port"),
+                                     interval=a.interval, top_n=n)
     elif a.kind == "client":
         out = SE.requests_per_client(df, f["time"], f["ip"], a.interval, n)
     elif a.kind in ("received_bytes", "sent_bytes"):
-        out, _ = SE.bytes_per_uri(df, a.kind, f["time"], f["url"], a.interval, n)
+        out, _ = SE.bytes_per_uri(df, require_field(df, a.kind), f["time"], f["url"], a.interval, n)
     else:
         out = SE.processing_time_per_uri(df, a.field or f["rt"], a.metric, f["time"], f["url"], a.interval, n)
     return {"path": _write(out, a.out)}

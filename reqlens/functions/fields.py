@@ -23,6 +23,16 @@ FIELD_ALTERNATIVES: dict[str, list[str]] = {
                       "elapsed_time", "duration", "processing_time"],
     "client_ip": ["client_ip", "remote_addr", "client", "ip", "clientip", "client:port"],
     "bytes": ["sent_bytes", "bytes_sent", "body_bytes_sent", "bytes", "size"],
+    "sent_bytes": ["sent_bytes", "bytes_sent", "size", "response_size", "body_bytes_sent"],
+    "received_bytes": ["received_bytes", "bytes", "request_size"],
+    "target_ip": ["target_ip", "backend_ip", "upstream_addr"],
+    "target_port": ["target_port", "backend_port"],
+    "request_processing_time": ["request_processing_time", "request_time", "response_time", "response_time_us",
+                                "response_time_ms", "elapsed_time", "duration", "processing_time"],
+    "target_processing_time": ["target_processing_time", "upstream_response_time", "response_time", "response_time_us",
+                               "response_time_ms", "elapsed_time", "duration", "processing_time"],
+    "response_processing_time": ["response_processing_time", "response_time", "response_time_us", "response_time_ms",
+                                 "elapsed_time", "duration", "processing_time"],
     "user_agent": ["user_agent", "http_user_agent", "agent", "useragent"],
     "referer": ["referer", "http_referer", "referrer"],
 }
@@ -91,7 +101,7 @@ FEATURE_FIELDS: dict[str, list[str]] = {
     "request_per_uri": ["timestamp", "url"],
     "xlog": ["timestamp", "response_time"],
     "received_bytes": ["timestamp", "url", "received_bytes"],
-    "sent_bytes": ["timestamp", "url", "bytes"],
+    "sent_bytes": ["timestamp", "url", "sent_bytes"],
     "processing_time": ["timestamp", "url", "response_time"],
     "request_per_target": ["timestamp", "target_ip", "target_port"],
     "request_per_client": ["timestamp", "client_ip"],

@@ -114,9 +114,9 @@ def url_counts(df: DataFrame, url: str = "request_url", include_params: bool = F
 
 
 def uri_patterns(df: DataFrame, url: str = "request_url", include_params: bool = False,
-                 min_count: int = 1, max_count: int | None = None, max_patterns: int | None = 100,
+                 min_count: int = 1, max_count: int | None = None, max_patterns: int | None = None,
                  rules=None) -> DataFrame:
-    """A2: URI patterns with request counts, top ``max_patterns`` by count.
+    """A2: URI patterns with request counts; the ``max_patterns`` largest, or all.
 
     Counts exact URLs first, then generalises each *distinct* URL once and
     re-aggregates — the expensive string work runs per distinct URL, not per row.
@@ -127,10 +127,8 @@ def uri_patterns(df: DataFrame, url: str = "request_url", include_params: bool =
     cond = F.col("count") >= min_count
     if max_count is not None:
         cond = cond & (F.col("count") <= max_count)
-    pat = pat.filter(cond)
-    if max_patterns:
-        pat = pat.orderBy(F.desc("count"), F.asc_nulls_last("pattern")).limit(max_patterns)
-    return pat
+    pat = pat.filter(cond).orderBy(F.desc("count"), F.asc_nulls_last("pattern"))
+    return pat.limit(max_patterns) if max_patterns else pat
 
 
 # ---------------------------------------------------------------------------

@@ -144,7 +144,7 @@ GROUP BY 1, 2"""))
 def l9_streaming_window_counts(spark, sf):
     src = shared_dir(spark, "live-source")
     land_lines(spark, sf, "httpd").select("value").write.text(src)
-    query, out = live_window_counts(spark, src, _HTTPD, window="1s", watermark="1 day")
+    query, out = live_window_counts(spark, src, _HTTPD, window="1s", max_files_per_trigger=4)
     query.awaitTermination()
     return normalized(read_window_counts(spark, out))
 

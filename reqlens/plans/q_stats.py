@@ -123,7 +123,7 @@ SELECT client_ip AS ip, count(*) AS count, count(*) FILTER (WHERE status >= 400)
        {r("avg(target_processing_time)", "avg_response_time")}
 FROM requests WHERE client_ip IS NOT NULL GROUP BY 1 ORDER BY count DESC, ip LIMIT 100"""))
 def a9_ip_stats(spark, sf):
-    return normalized(stats.ip_stats(requests_relation(spark, sf)))
+    return normalized(stats.ip_stats(requests_relation(spark, sf), top=100))
 
 
 _A10_SQL = with_requests(f"""

@@ -33,7 +33,6 @@ HTTPD_FALLBACK_COLUMNS = ("client_ip", "user", "time", "request_method", "reques
 # Detection rules on the head sample.
 ALB_PREFIXES = ("http ", "https ", "h2 ", "ws ", "wss ")
 APACHE_HINT = r'\d+\.\d+\.\d+\.\d+.*\[.*\].*"[A-Z]+.*".*\d{3}'
-DETECT_SAMPLE = 20
 # Line patterns of the single-page edition.
 LINE_ALB = (r'^([^ ]*) ([^ ]*) ([^ ]*) ([^ ]*):([0-9]*) ([^ ]*)[:-]([0-9]*) ([-.0-9]*) ([-.0-9]*) ([-.0-9]*) '
             r'(|[-0-9]*) (-|[-0-9]*) ([-0-9]*) ([-0-9]*) "([^ ]*) (.*?) (- |[^ ]*)" "([^"]*)" (.*)')
@@ -356,9 +355,8 @@ def json_defaults(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Detection and success rates
 # ---------------------------------------------------------------------------
-def detect_format(lines: DataFrame, sample: int | None = DETECT_SAMPLE) -> DataFrame:
-    """Score the first ``sample`` lines (``None``: all lines, one
-    distributed pass) as ALB / JSON / APACHE; the best score wins (ties in
+def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """Score all lines in one distributed pass (or the first ``sample``) as ALB / JSON / APACHE; the best score wins (ties in
     that order); none → GROK with confidence 0.1."""
     v = F.col("value")
     n_tok = F.size(F.split(strip_ws(v), r"\s+"))
@@ -379,9 +377,9 @@ def detect_format(lines: DataFrame, sample: int | None = DETECT_SAMPLE) -> DataF
 
 
 def format_success_rates(lines: DataFrame, formats: dict[str, LogFormat] | None = None,
-                         sample: int | None = 50) -> DataFrame:
-    """Share of (sampled) lines each candidate format matches (JSON: valid
-    JSON); ``sample=None`` scores the whole input in one distributed pass."""
+                         sample: int | None = None) -> DataFrame:
+    """Share of lines each candidate format matches (JSON: valid JSON), of
+    the whole input in one distributed pass, or of the first ``sample``."""
     formats = formats or PRESETS
     src = lines.select("value") if sample is None else lines.select("value").limit(sample)
     v = F.col("value")
@@ -447,7 +445,7 @@ def resolve_format(lines: DataFrame | None = None, log_regex: str | None = None,
     return custom_format(".*")
 
 
-def recommend_format(lines: DataFrame, sample: int | None = 50) -> dict:
+def recommend_format(lines: DataFrame, sample: int | None = None) -> dict:
     """S19 + S20: the chosen format with ``confidence`` (detection score),
     ``success_rate`` (share of sampled lines it parses) and their product."""
     det = detect_format(lines).first()

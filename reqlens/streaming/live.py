@@ -28,35 +28,34 @@ def stream_lines(spark: SparkSession, source_dir: str, max_files_per_trigger: in
 
 
 def live_window_counts(spark: SparkSession, source_dir: str, fmt: LogFormat, time: str = "time",
-                       window: str = "1s", watermark: str = "10 minutes", out_dir: str | None = None,
+                       window: str = "1s", out_dir: str | None = None,
                        checkpoint_dir: str | None = None, available_now: bool = True,
                        max_files_per_trigger: int | None = None):
     """Start the stream; returns ``(query, out_dir)``.
 
     With ``available_now`` the query processes what is in ``source_dir`` and
-    stops; otherwise it keeps running on new files.  Rows later than the
-    watermark are dropped by design (event-time semantics).
+    stops; otherwise it keeps running on new files.  Every micro-batch counts
+    its own rows and lands them under its number (a repeated batch overwrites
+    itself); readers add the batches up.  There is no state and no watermark,
+    so a row counts however late it comes and however batches are cut.
     """
     out_dir = out_dir or shared_dir(spark, "live-counts")
     checkpoint_dir = checkpoint_dir or shared_dir(spark, "live-checkpoint")
     parsed = parse_lines(stream_lines(spark, source_dir, max_files_per_trigger), fmt, columns=[time],
                          keep=[]).records
-    counts = (parsed.filter(F.col(time).isNotNull())
-              .withWatermark(time, watermark)
-              .groupBy(F.window(F.col(time), spark_interval(window)).alias("w"))
-              .agg(F.count(F.lit(1)).alias("count"))
-              .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count"))
-
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        counts = (batch.filter(F.col(time).isNotNull())
+                  .groupBy(F.window(F.col(time), spark_interval(window)).alias("w"))
+                  .agg(F.count(F.lit(1)).alias("count"))
+                  .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count"))
+        counts.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    w = counts.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint_dir)
+    w = parsed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(), out_dir
 
 
 def read_window_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest count per window across the landed micro-batches."""
+    """Counts per window over all landed micro-batches."""
     landed = spark.read.parquet(out_dir)
-    return landed.groupBy("window_start", "window_end").agg(
-        F.max_by("count", "batch_id").alias("count"))
+    return landed.groupBy("window_start", "window_end").agg(F.sum("count").alias("count"))

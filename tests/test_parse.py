@@ -168,3 +168,24 @@ def test_recommend_format(spark):
     assert rec["score"] == pytest.approx(rec["confidence"] * rec["success_rate"])
     rec = TX.recommend_format(_lines(spark, APACHE_LINES))
     assert rec["pattern_type"] == "HTTPD" and rec["success_rate"] > 0
+
+
+def test_groups_separators_and_repeated_keys(spark):
+    mixed = FM.custom_format(r"(\S+) (?P<ident>\S+) (?P<user>\S+)")
+    got = TX.parse_lines(_lines(spark, ["ip1 id1 us1", "a\u0001b id us", "short"]), mixed)
+    assert sorted(map(tuple, got.records.collect())) == [("id", "us"), ("id1", "us1")]
+    assert [r["value"] for r in got.rejected.collect()] == ["short"]
+    both = FM.compile_apache_format("%h %a %s %>s %{User}n%b")
+    row = TX.parse_lines(_lines(spark, ["1.1.1.1 2.2.2.2 301 200 17"]), both).records.first()
+    assert (row["client_ip"], row["status"], row["bytes_sent"]) == ("2.2.2.2", 200, 17)
+    rows = TX.parse_lines(_lines(spark, ['{"a":1,"a":2}', '{"a":3,"b":1}']), FM.preset("json"), columns=["a"])
+    assert rows.records.columns == ["a"] and sorted(r["a"] for r in rows.records.collect()) == [2, 3]
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+    from reqlens.session import ensure_checkpoint_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None,
+                              getConf=lambda: SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context))

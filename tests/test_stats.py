@@ -103,21 +103,49 @@ def test_sorted_quantiles_match_pandas_with_hot_group(spark):
     pdf = pd.concat([pd.DataFrame({"g": g, "v": v}),
                      pd.DataFrame({"g": ["solo", "duo", "duo"], "v": [5.0, 1.0, 2.0]})])
     probs = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
-    got = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, partitions=7).toPandas()
+    got = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).toPandas()
     got = got.set_index("g").sort_index()
     want = pdf.groupby("g")["v"].quantile(probs).unstack().sort_index()
     assert np.allclose(got.values, want.values, rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_quantiles_do_not_depend_on_exchange_reuse(spark, sf, reuse):
+    from pyspark.sql import functions as F
+    from reqlens.operators.quantiles import group_quantiles
+    from reqlens.sources.fixtures import lineitem_requests
+    df = lineitem_requests(spark, sf)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = group_quantiles(df, ["status"], "target_processing_time", [0.5, 0.95]).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = df.groupBy("status").agg(F.percentile("target_processing_time", [0.5, 0.95]).alias("q")).collect()
+    assert {r["status"]: pytest.approx([r["q0"], r["q1"]]) for r in got} == {r["status"]: r["q"] for r in want}
+
+
+def test_missing_and_dirty_fields(spark):
+    rows = [("2024-01-01 00:00:00", "/a", "200", "0.5"), ("2024-01-01 00:00:01", "/a", "oops", "-"), (None, "/b", "500", "1.5")]
+    df = spark.createDataFrame(rows, "time STRING, request_url STRING, status STRING, rt STRING").selectExpr(
+        "cast(time as timestamp_ntz) time", "request_url", "status", "rt")
+    secs = stats.calculate_stats(df, ["all"], rt="rt")
+    assert set(secs) == {"summary", "status_distribution", "url_stats", "time_stats"}       # no client column
+    assert secs["summary"].first()["response_time_avg"] == 1.0
+    assert {r["url"]: r["response_time_max"] for r in secs["url_stats"].collect()} == {"/a": 0.5, "/b": 1.5}
+    assert secs["time_stats"].first()["error_count"] == 0
+    bare = stats.calculate_stats(df, ["all"], rt=None)
+    assert bare["url_stats"].columns == ["url", "count"] and bare["summary"].first()["total_requests"] == 3
+
+
 def test_sort_mode_equals_buffer_mode(table):
     _, df = table
-    a = {r["url"]: r.asDict() for r in stats.url_stats(df, processing_fields=["request_processing_time"]).collect()}
+    a = {r["url"]: r.asDict() for r in stats.url_stats(df, processing_fields=["request_processing_time"], exact=True).collect()}
     b = {r["url"]: r.asDict() for r in stats.url_stats(df, processing_fields=["request_processing_time"],
                                                        exact="sort").collect()}
     for url in a:
         for k, x in a[url].items():
             assert b[url][k] == pytest.approx(x), (url, k)
-    s1, s2 = stats.summary_stats(df).first(), stats.summary_stats(df, exact="sort").first()
+    s1, s2 = stats.summary_stats(df, exact=True).first(), stats.summary_stats(df).first()
     assert s1.asDict() == pytest.approx(s2.asDict())
 
 
