@@ -304,19 +304,16 @@ def _answer(table: pa.Table, buckets: int) -> pa.Table:
                      "payload": pa.array([x[2] for x in out], pa.binary())})
 
 
-def _sums(answers: DataFrame) -> np.ndarray:
-    """Per-context and root sums over all buckets."""
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                v = unpack(x)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], ["slot", "v"])
-    got = (answers.where("block = -1").select("payload").mapInArrow(spread, "slot long, v double")
-           .groupBy("slot").agg(F.sum("v").alias("v")).collect())     # 2 * CONTEXTS + 4 rows
-    out = np.zeros(2 * CONTEXTS + 4)
-    for row in got:
-        out[row["slot"]] = row["v"]
-    return out
+def _sums(answers: DataFrame, buckets: int) -> np.ndarray:
+    """Per-context and root sums over all buckets: one vector per bucket is
+    added up in about sqrt(buckets) groups, and their vectors here."""
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(unpack(x)[0] for x in t.column("payload").to_pylist())
+        return pa.table({"payload": pa.array([pack(total)], pa.binary())})
+    groups = max(1, int(buckets ** 0.5))
+    got = (answers.where("block = -1").select((F.col("bucket") % groups).alias("part"), "payload")
+           .groupBy("part").applyInArrow(add, "payload binary").collect())
+    return sum((unpack(bytes(r["payload"]))[0] for r in got), np.zeros(2 * CONTEXTS + 4))
 
 
 def _score_block(table: pa.Table, sums: np.ndarray) -> pa.Table:
@@ -347,7 +344,7 @@ def score(docs: DataFrame, folds: int = FOLDS, buckets: int | None = None) -> Da
     kind = "block long, bucket int, payload binary"
     blocks = land(document_blocks(docs, buckets, folds), "py-blocks")
     answers = land(blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answer(t, buckets), kind), "py-answers")
-    sums = _sums(answers)
+    sums = _sums(answers, buckets)
     return (blocks.where("bucket = -1").union(answers.where("block >= 0")).groupBy("block")
             .applyInArrow(lambda t: _score_block(t, sums),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
