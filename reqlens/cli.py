@@ -63,6 +63,8 @@ def cmd_filter(spark, a) -> dict:
         df = FL.filter_urls(df, FL.read_url_list(spark, a.urls_file), f["url"])
     if a.uri_patterns:
         df = FL.filter_uri_patterns(df, a.uri_patterns.split(","), f["url"])
+    if a.uri_patterns_file:
+        df = FL.filter_uri_patterns(df, FL.read_uri_patterns(spark, a.uri_patterns_file), f["url"])
     return {"path": _write(df, a.out)}
 
 
@@ -149,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
     add("detect", cmd_detect, out=False)
     s = add("filter", cmd_filter)
     for o in ("--start", "--end", "--status", "--min", "--max", "--client", "--urls-file", "--uri-patterns"):
+    for o in ("--start", "--end", "--status", "--min", "--max", "--client", "--urls-file", "--uri-patterns-file"):
         s.add_argument(o)
     s.add_argument("--min-ms", type=float)
     s.add_argument("--max-ms", type=float)
