@@ -150,8 +150,8 @@ def parser() -> argparse.ArgumentParser:
 
     add("detect", cmd_detect, out=False)
     s = add("filter", cmd_filter)
-    for o in ("--start", "--end", "--status", "--min", "--max", "--client", "--urls-file", "--uri-patterns"):
-    for o in ("--start", "--end", "--status", "--min", "--max", "--client", "--urls-file", "--uri-patterns-file"):
+    for o in ("--start", "--end", "--status", "--min", "--max", "--client", "--urls-file", "--uri-patterns",
+              "--uri-patterns-file"):
         s.add_argument(o)
     s.add_argument("--min-ms", type=float)
     s.add_argument("--max-ms", type=float)
