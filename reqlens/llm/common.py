@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,5 +84,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: distinct words whose hashes a worker remembers; at the bound the memory starts afresh
+WORD_CACHE = 250_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORD_CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _WordHashes()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words.  All operators of a worker share one memory."""
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

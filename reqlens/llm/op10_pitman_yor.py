@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import doc_fold, land, mix64, partitions, read_table
+from reqlens.llm.common import doc_fold, hash_words, land, mix64, partitions, read_table
 
 FOLDS = 10
 CONTEXTS = 1024
@@ -53,7 +53,6 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES, BETWEEN = 12, 6, 3
 #: pairs with at least MANY customers get MORE moves a sweep
 MANY, MORE = 32, 7
-WORD_CACHE = 250_000
 SEED = 10
 #: documents taken from a batch at once
 SLICE = 256
@@ -61,17 +60,6 @@ SLICE = 256
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     parts = []
@@ -157,7 +145,7 @@ def document_blocks(docs: DataFrame, buckets: int, folds: int = FOLDS) -> DataFr
             for doc_id, learn, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()
                 h = np.empty(len(words) + 1, np.uint64)
-                h[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+                h[:-1] = hash_words(words)
                 h[-1] = END
                 ids.append(doc_id)
                 train.append(learn)

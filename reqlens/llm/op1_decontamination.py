@@ -28,41 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reqlens.llm.common import mix64, read_table, word_count
+from reqlens.llm.common import hash_words, mix64, read_table, word_count
 
 EDIT_RATE = 0.15
 REPEATS, STEPS = 4, 16
 #: sampled steps of each walk
 SAMPLED = ((0, 3, 6, 10, 14), (1, 4, 7, 9, 13), (0, 2, 5, 8, 12), (2, 5, 8, 11, 15))
 BLOCK_WORDS = 500_000
-#: positions walked at once (fits a core's cache), and distinct words whose hashes a worker remembers
-CHUNK, WORD_CACHE = 1 << 15, 500_000
+#: positions walked at once (fits a core's cache)
+CHUNK = 1 << 15
 _TABLE = bytes(32 if chr(c) in string.punctuation else c for c in range(128)) + bytes(range(128, 256))
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_TABLE).split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+hashed = hash_words
 
 
 def max_edits(n_words: int) -> int:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import land, mix64, partitions, read_table
+from reqlens.llm.common import hash_words, land, mix64, partitions, read_table
 from reqlens.llm.components import components
 
 WORDS = 5
@@ -49,8 +49,6 @@ MISS = 1e-5
 LEADERS = 3
 #: members of a posting list compared in one task: two blocks
 BLOCK = 256
-#: distinct words whose hashes a worker remembers
-WORD_CACHE = 500_000
 _P = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                              0x8EBC6AF09C88C6E3)]
 
@@ -67,23 +65,12 @@ def least_matches(k: int, miss: float = MISS) -> int:
     return k
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = hash_words(words)
     if len(h) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=1 + len(h))], np.uint64)
     n = len(h) - WORDS + 1
