@@ -53,6 +53,8 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES, BETWEEN = 12, 6, 3
 #: pairs with at least MANY customers get MORE moves a sweep
 MANY, MORE = 32, 7
+#: buckets per shuffle partition; a task holds one bucket at a time
+BUCKETS = 3
 SEED = 10
 #: documents taken from a batch at once
 SLICE = 256
@@ -173,9 +175,10 @@ class Seating:
         # begin with about the expected number of tables, equally filled
         first = np.clip(np.rint(1 + new * np.log1p((self.c - 1) / (new + 1))), 1, self.c).astype(np.int64)
         self.tables = first
-        own = np.repeat(np.arange(len(self.c)), self.c)
-        self.table = self.start[own] + (np.arange(n) - self.start[own]) % first[own]
-        self.size = np.bincount(self.table, minlength=n).astype(np.int64)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        begin = np.repeat(self.start.astype(kind), self.c)
+        self.table = begin + (np.arange(n, dtype=kind) - begin) % np.repeat(first.astype(kind), self.c)
+        self.size = np.bincount(self.table, minlength=n).astype(np.int32)
 
     def move(self, new: np.ndarray, at: np.ndarray) -> None:
         """Reseat one customer of each dish in ``at``; ``new[i]`` is the weight
@@ -278,6 +281,7 @@ def _answer(table: pa.Table, buckets: int) -> pa.Table:
         code.append(np.repeat(of[base:base + len(h)], per_word).astype(np.int64) * CONTEXTS + context)
         base += len(h)
     pairs, at = np.unique(np.concatenate(code), return_inverse=True)
+    del code
     count = np.bincount(at, weights=np.concatenate([x[3] for x in asked]), minlength=len(pairs)).astype(np.int64)
     a, r, sums = sample_bucket(pairs // CONTEXTS, pairs % CONTEXTS, count, len(words), buckets, SEED + bucket)
     c = np.bincount(pairs // CONTEXTS, weights=count, minlength=len(words)).astype(np.uint64)
@@ -328,7 +332,7 @@ def _score_block(table: pa.Table, sums: np.ndarray) -> pa.Table:
 def score(docs: DataFrame, folds: int = FOLDS, buckets: int | None = None) -> DataFrame:
     """Model and baseline log10 probabilities of every document of ``docs``,
     learned from those outside fold 0."""
-    buckets = buckets or partitions(docs.sparkSession)
+    buckets = buckets or BUCKETS * partitions(docs.sparkSession)
     kind = "block long, bucket int, payload binary"
     blocks = land(document_blocks(docs, buckets, folds), "py-blocks")
     answers = land(blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answer(t, buckets), kind), "py-answers")
