@@ -8,6 +8,7 @@ separates on, so Python tasks split UTF-8 bytes and SQL uses ``WORD``.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -28,12 +29,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: rows of an Arrow batch while this library writes; Spark's 10,000 whole texts would be tens of MB, held by both sides
+ARROW_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Spark's Arrow batches are small for the writes inside, and as before after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later
     steps do not compute it again, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._landed = path
     return out

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import land, partitions, read_table, scratch
+from reqlens.llm.common import land, partitions, read_table, scratch, small_batches
 from reqlens.llm.tokens import SLICE, Encoder
 
 MAGIC = b"EFT1"
@@ -136,8 +136,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
         if pieces:
             yield pa.RecordBatch.from_arrays([pa.array([frame(ids, pieces, enc.width)], pa.binary())], ["frame"])
 
-    (ordered.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value"))
-     .write.option("compression", "none").text(path))
+    frames = ordered.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        frames.write.option("compression", "none").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ import string
 import numpy as np
 
 #: chunks remembered per worker; at the bound the memory starts afresh (ids do not depend on it)
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 700_000
 #: texts taken apart at once
 SLICE = 256
 #: marks that follow a word as a pre-token of their own (no apostrophe: contractions), and the end of the Latin letters
