@@ -1,26 +1,34 @@
 """LM scoring with a hierarchical Pitman-Yor model (operator 10).
 
 The model is a two-level hierarchy of Chinese restaurants.  A token's context
-is the class of the word before it (``CONTEXTS`` classes by hash); every
-context is a restaurant, and all share one parent, the unigram restaurant,
-whose base is uniform over the V known tokens and one unknown.  Customers are
-the training tokens; seatings are sampled by Gibbs, and predictive
-probabilities are averaged over the samples kept.
+is the word before it; every previous word is a restaurant of its own, keyed by
+its 64-bit hash, so the restaurants grow with the input.  All share one parent,
+the unigram restaurant, whose base is uniform over the V known tokens and one
+unknown.  Customers are the training tokens.  A prediction needs only the
+number of tables of each dish, so a sweep draws that number anew for every dish
+from its conditional distribution (generalised Stirling numbers, beyond SMALL
+customers by a corrected saddle point, whose weights are within 4 %): all
+customers of a dish are seated again at once, however many there are.  The
+averages over the samples kept give the predictive probabilities.
 
 How it is spread:
 
 * Documents are read once, into *blocks* of about ``BLOCK_TOKENS`` tokens.  A
-  block numbers its distinct words, keeps its token sequence in those numbers,
-  and lists its distinct (word, context) pairs.
-* Pairs are sent to the *bucket* of their word with their training counts, so
-  only a block's distinct pairs are shuffled.  A bucket owns all customers of
-  its words in all contexts (at most CONTEXTS of them a word, however frequent
-  it is), samples seatings, and answers each block's pairs in the same order.
-  Tables of a context in other buckets are extrapolated from its own, words
-  being dealt evenly by hash.
-* Blocks turn the answers into scores per document.
-
-Only sums per context reach the driver.  Words are compared by 64-bit hashes.
+  block lists its distinct (word, context) pairs and keeps each token's place
+  among them.
+* Pairs are dealt to *pair buckets* by the hash of both words, so neither a
+  hot word nor a hot context meets in one bucket, and a dish is whole in one.
+* A sweep is a round: pair buckets draw the tables of their dishes and send
+  partial sums per word and per context to the *key bucket* of that hash; key
+  buckets add them up, draw the parent's tables and answer each pair bucket
+  with the corpus sums of its words and contexts.  Every round is a landed
+  table.  All dishes of a round are drawn given the sums of the round before.
+* A draw's random number comes from the hashes and the round, so results do
+  not depend on the number of buckets or partitions.
+* At the end pair buckets answer each block's pairs in the same order, and
+  blocks turn the answers into scores per document.
+
+Four sums reach the driver.  Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id
 counts as held out; repeated rows are scored each; without training documents
@@ -33,6 +41,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +50,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import doc_fold, hash_words, land, mix64, partitions, read_table
+from reqlens.llm.common import doc_fold, drop_landed, hash_words, land, mix64, partitions, read_table
 
 FOLDS = 10
-CONTEXTS = 1024
 BLOCK_TOKENS = 600_000
 #: discount and strength of the context restaurants and of their parent
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-#: Gibbs sweeps before the first sample, samples kept, and sweeps between them
-BURN_IN, SAMPLES, BETWEEN = 12, 6, 3
-#: pairs with at least MANY customers get MORE moves a sweep
-MANY, MORE = 32, 7
+#: rounds before the first sample, and samples kept; a round draws every dish
+BURN_IN, SAMPLES = 3, 3
+#: up to so many customers a dish's distribution is computed in full
+SMALL = 128
+#: customers at which the saddle point's error is read off the exact numbers
+FULL = 2048
 #: buckets per shuffle partition; a task holds one bucket at a time
 BUCKETS = 3
 SEED = 10
@@ -92,45 +102,39 @@ def unplanes(b: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------- blocks
-def _pairs(seq: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word, context) codes of a token sequence in ascending order,
-    and each token's place among them.  ``kind`` is the context class that a
-    word makes, its last entry that of a text's beginning."""
-    context = np.empty(len(seq), np.int64)
-    context[1:] = kind[seq[:-1]]
-    context[np.cumsum(sizes) - sizes] = kind[-1]
-    return np.unique(seq.astype(np.int64) * CONTEXTS + context, return_inverse=True)
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _context_class(h: np.ndarray) -> np.ndarray:
-    return (mix64(h) % np.uint64(CONTEXTS)).astype(np.uint16)
+def pair_hash(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix64(mix64(word) * _K ^ context)
 
 
 def _block(doc_ids: list, train: list, hashes: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
     """Rows (block, bucket, payload): requests by bucket, and at bucket -1 the
-    documents with their token sequence."""
+    documents with the place of each token's pair in the order of the requests."""
     block = int.from_bytes(os.urandom(8), "little") >> 1
     sizes = np.array([len(h) for h in hashes], np.int64)
-    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    bucket = (mix64(words ^ END) % np.uint64(buckets)).astype(np.int64)
+    words, seq = np.unique(np.concatenate(hashes), return_inverse=True)
+    before = np.empty(len(seq), np.int64)
+    before[1:] = seq[:-1]
+    before[np.cumsum(sizes) - sizes] = np.searchsorted(words, END)      # a text begins after the end of another
+    pairs, place = np.unique(seq * len(words) + before, return_inverse=True)
+    word, context = np.divmod(pairs, len(words))
+    bucket = (pair_hash(words[word], words[context]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    seq, words, bucket = rank[at], words[order], bucket[order]
-    kind = _context_class(np.append(words, END))          # a text begins after the end of another
-    pairs, place = _pairs(seq, kind, sizes)
     learned = np.repeat(np.array(train, bool), sizes)
     count = np.bincount(place[learned], minlength=len(pairs)).astype(np.uint32)
     null = np.array([x is None for x in doc_ids], np.uint8)
     ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
-    rows = [(block, -1, pack(ids, null, np.array(train, np.uint8), sizes, seq, kind))]
-    word_of = pairs // CONTEXTS
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    pair_cut = np.searchsorted(word_of, cut)
+    rows = [(block, -1, pack(ids, null, np.array(train, np.uint8), sizes, rank[place]))]
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
-        w0, w1, p0, p1 = cut[b], cut[b + 1], pair_cut[b], pair_cut[b + 1]
-        per_word = np.bincount(word_of[p0:p1] - w0, minlength=w1 - w0).astype(np.uint16)
-        rows.append((block, int(b), pack(planes(words[w0:w1]), per_word, (pairs[p0:p1] % CONTEXTS).astype(np.uint16), count[p0:p1])))
+        own = order[cut[b]:cut[b + 1]]
+        used, at = np.unique(np.concatenate([word[own], context[own]]), return_inverse=True)
+        at = at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+        rows.append((block, int(b), pack(planes(words[used]), at[:len(own)], at[len(own):], count[own])))
     return rows
 
 
@@ -160,13 +164,14 @@ def document_blocks(docs: DataFrame, buckets: int, folds: int = FOLDS) -> DataFr
             yield close()
     own = docs.select(F.col("doc_id").cast("long"), (doc_fold(F.col("doc_id"), folds) != 0).alias("train"),
                       F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return own.mapInArrow(read, "block long, bucket int, payload binary")
+    return own.mapInArrow(read, ROW)
 
 
 # ------------------------------------------------------------------ seating
 class Seating:
     """Tables of many dishes, each with its own customers, moved by Gibbs: a
-    random customer of every dish leaves and is seated anew."""
+    random customer of every dish leaves and is seated anew.  The plain sampler
+    that :func:`draw_tables` is compared with."""
 
     def __init__(self, customers: np.ndarray, discount: float, new: np.ndarray, rng: np.random.Generator):
         self.c, self.d, self.rng = customers.astype(np.int64), discount, rng
@@ -212,119 +217,328 @@ class Seating:
             slot[todo] = start[todo] + (rng.random(len(todo)) * c[todo]).astype(np.int64)
 
 
-def sample_bucket(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, buckets: int,
-                  seed: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Averaged (c - d t) per pair, averaged (c0 - d0 t0) per word, and sums
-    per context and of the root."""
-    rng = np.random.default_rng(seed)
-    seen = np.flatnonzero(count)
-    w, k, c = word[seen], context[seen], count[seen].astype(np.int64)
-    vocab = max(1.0, len(np.unique(w)) * float(buckets))
-    many = np.flatnonzero(c > 1)                      # one customer always has one table
-    tables = np.ones(len(seen), np.int64)
-    seat = None
-    kept_pair, kept_word = np.zeros(len(seen)), np.zeros(n_words)
-    t_k, root = np.zeros(CONTEXTS), np.zeros(2)
-    for turn in range(BURN_IN + SAMPLES * BETWEEN if len(seen) else 0):
-        c0 = np.bincount(w, weights=tables, minlength=n_words)
-        if turn % BETWEEN == 0:
-            root_seat, dishes = _seat_root(c0, vocab, buckets, rng)
-            t0 = np.zeros(n_words)
-            t0[dishes] = root_seat.tables
-        left = c0 - ROOT_DISCOUNT * t0
-        total, n_tables = c0.sum() * buckets, t0.sum() * buckets
-        p0 = (np.maximum(left, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * n_tables) / (vocab + 1)) / (ROOT_STRENGTH + total)
-        by_k = np.bincount(k, weights=tables, minlength=CONTEXTS) * buckets
-        new = (STRENGTH + DISCOUNT * by_k[k[many]]) * p0[w[many]]
-        if seat is None:
-            seat = Seating(c[many], DISCOUNT, new, rng)
-        everyone = np.arange(len(many))
-        seat.move(new, everyone)
-        often = np.flatnonzero(seat.c >= MANY)
-        for _ in range(MORE):
-            seat.move(new[often], often)
-        tables[many] = seat.tables
-        if turn >= BURN_IN and (turn - BURN_IN) % BETWEEN == BETWEEN - 1:
-            kept_pair += c - DISCOUNT * tables
-            c0 = np.bincount(w, weights=tables, minlength=n_words)
-            kept_word += np.maximum(c0 - ROOT_DISCOUNT * np.minimum(t0, c0), 0)
-            t_k += np.bincount(k, weights=tables, minlength=CONTEXTS)
-            root += (c0.sum(), np.minimum(t0, c0).sum())
-    a = np.zeros(len(count), np.float32)
-    a[seen] = kept_pair / SAMPLES
-    known = np.bincount(w, weights=c, minlength=n_words)
-    sums = {"c_k": np.bincount(k, weights=c, minlength=CONTEXTS), "t_k": t_k / SAMPLES,
-            "rest": np.array([known.sum(), (known > 0).sum(), *(root / SAMPLES)])}
-    return a, (kept_word / SAMPLES).astype(np.float32), sums
-
-
-def _seat_root(c0: np.ndarray, vocab: float, buckets: int, rng) -> tuple[Seating, np.ndarray]:
-    """The parent's seating for the tables its children have now."""
-    dishes = np.flatnonzero(c0)
-    c = c0[dishes].astype(np.int64)
-    weight = np.full(len(dishes), (ROOT_STRENGTH + ROOT_DISCOUNT * len(dishes) * buckets) / (vocab + 1))
-    seat = Seating(c, ROOT_DISCOUNT, weight, rng)
-    for at in (np.flatnonzero(c > 1),) * 3:
-        seat.move(weight[at], at)
-    return seat, dishes
-
-
-def _answer(table: pa.Table, buckets: int) -> pa.Table:
-    """One bucket: merge the blocks' requests, sample, answer each block."""
-    block, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    asked = [unpack(x.as_py()) for x in table.column("payload")]
-    for x in asked:
-        x[0] = unplanes(x[0])
-    words, of = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log gamma for x > 0: eight steps up, then Stirling's series."""
+    x, shift = np.asarray(x, float), 0.0
+    for i in range(8):
+        shift = shift + np.log(x + i)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / 1260 / y**2) / y**2) / y - shift
+
+
+@cache
+def _log_stirling(d: float) -> np.ndarray:
+    """log S_d(c, t) for c, t up to SMALL: the weight of all seatings of c
+    customers at t tables."""
+    out = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, SMALL):
+        t = np.arange(1, c + 2)
+        stay = np.log(np.maximum(c - d * t, 1e-300)) + out[c, 1:c + 2]
+        out[c + 1, 1:c + 2] = np.logaddexp(out[c, :c + 1], stay)
+    return out
+
+
+def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S_d(c, t) / c! for t < c by saddle point: the coefficient of x^c in
+    ((1 - (1 - x)^d) / d)^t / t!."""
+    m = c / t
+    mean = lambda v: d * np.exp(v * (1 - d)) * np.expm1(-v) / np.expm1(-d * v)
+    lo, hi = np.log(np.full(m.shape, 1e-9)), np.log((np.log(m / d) + 2) / (1 - d))
+    for _ in range(44):
+        mid = (lo + hi) / 2
+        above = mean(np.exp(mid)) > m
+        lo, hi = np.where(above, lo, mid), np.where(above, mid, hi)
+    v = np.exp((lo + hi) / 2)
+    x, f = -np.expm1(-v), -np.expm1(-d * v)
+    spread = c * x * np.exp(v) * ((1 - d) + np.exp(-v) / x - d * np.exp(-d * v) / f)
+    return t * np.log(f / d) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread) - _lgamma(t + 1)
+
+
+@cache
+def _saddle_error(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the saddle point misses at FULL customers, by number of tables;
+    first the part up to half the customers, by log t, then by c - t."""
+    row = np.full(FULL + 1, -np.inf)
+    row[1] = 0.0
+    for c in range(1, FULL):
+        t = np.arange(1, c + 2)
+        row[1:c + 2] = np.logaddexp(row[:c + 1], np.log(np.maximum(c - d * t, 1e-300)) + row[1:c + 2])
+    t = np.arange(1.0, FULL)
+    c = np.full(len(t), float(FULL))
+    error = row[1:FULL] - _lgamma(c + 1) - _saddle(c, t, d)
+    return error[:FULL // 2], error[::-1][:FULL // 2]
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S_d(c, t) / c! for c > SMALL.  The saddle point's error depends on
+    t / c^d where t is small (one table holds most customers) and on c - t where
+    that is small."""
+    few, full = _saddle_error(d)
+    at = np.log(np.maximum(t, 1) * (FULL / c) ** d)
+    grid = np.log(np.arange(1.0, len(few) + 1))
+    low = np.interp(at, grid, few) + np.minimum(at, 0) * (few[1] - few[0]) / grid[1]
+    high = np.interp(c - t, np.arange(1.0, len(full) + 1), full)
+    some = _saddle(c, np.minimum(t, c - 1), d) + np.where(t <= c / 2, low, high)
+    return np.where(t < c, some, -_lgamma(c + 1))
+
+
+def draw_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, strength: float, u: np.ndarray) -> np.ndarray:
+    """The number of tables of each dish, drawn from its distribution given
+    the dish's base probability ``p`` and the ``others`` tables of its
+    restaurant; ``u`` are uniform numbers."""
+    out = np.minimum(c, 1).astype(np.int64)
+    low = 1
+    while low < SMALL:
+        high = 2 * low
+        for at in _chunks(np.flatnonzero((c > low) & (c <= high)), 1 << 20, high):
+            seats = np.cumsum(np.log((strength + d * (others[at, None] + np.arange(high))) * p[at, None]), axis=1)
+            weight = _log_stirling(d)[c[at], 1:high + 1] + seats
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[at] = np.minimum(1 + (weight < (u[at] * weight[:, -1])[:, None]).sum(axis=1), c[at])
+        low = high
+    for at in _chunks(np.flatnonzero(c > SMALL), 1 << 18, 129):
+        out[at] = _draw_many(c[at].astype(float), p[at], others[at], d, strength, u[at])
+    return out
+
+
+def _chunks(at: np.ndarray, cells: int, width: int) -> list[np.ndarray]:
+    step = max(1, cells // width)
+    return [at[i:i + step] for i in range(0, len(at), step)]
+
+
+def _draw_many(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, strength: float, u: np.ndarray) -> np.ndarray:
+    """Dishes of more than SMALL customers: the log weight is concave in the
+    number of tables; its top is found by halving, the part around it that
+    holds all mass but e^-30 is laid out on at most 129 points."""
+    start = strength / d + others
+
+    def weight(t):
+        k, s, q = (x[:, None] if t.ndim == 2 else x for x in (c, start, p))
+        k = np.broadcast_to(k, t.shape)
+        return log_seatings(k, t, d) + t * np.log(d * q) + _lgamma(s + t)
+    lo, hi = np.ones(len(c)), c.copy()
+    while (lo < hi).any():
+        mid = np.floor((lo + hi) / 2)
+        up = (weight(np.minimum(mid + 1, c)) > weight(mid)) & (mid < c)
+        lo, hi = np.where(up & (lo < hi), mid + 1, lo), np.where(up | (lo >= hi), hi, mid)
+    top, best = lo, weight(lo)
+    ends = []
+    for side, limit in ((-1, np.ones(len(c))), (1, c)):
+        near, far = top.copy(), limit.copy()              # the last point within reach lies between
+        while (np.abs(far - near) > 1).any():
+            mid = np.floor((near + far) / 2)
+            inside = best - weight(mid) < 30
+            near, far = np.where(inside, mid, near), np.where(inside, far, mid)
+        ends.append(far)
+    step = np.maximum(1.0, (ends[1] - ends[0]) / 128)
+    t = ends[0][:, None] + np.arange(129) * step[:, None]
+    ok = t <= ends[1][:, None] + 0.5
+    w = np.where(ok, np.exp(weight(np.minimum(t, c[:, None])) - best[:, None]), 0.0)
+    total = np.cumsum(w, axis=1)
+    goal = u * total[:, -1]
+    cell = np.minimum((total < goal[:, None]).sum(axis=1), 128)
+    row = np.arange(len(c))
+    inside = (goal - total[row, cell] + w[row, cell]) / np.maximum(w[row, cell], 1e-300)
+    return np.clip(np.rint(t[row, cell] + (inside - 0.5) * (step - 1)), 1, c).astype(np.int64)
+
+
+def _uniform(h: np.ndarray, turn: int) -> np.ndarray:
+    """One number in (0, 1) for each hash and round."""
+    key = int(mix64(np.array([SEED * 1000 + turn], np.uint64))[0])
+    return ((mix64(mix64(h ^ np.uint64(key)) * _K) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _draw_root(c0: np.ndarray, t0: np.ndarray, root: tuple, h: np.ndarray, turn: int) -> np.ndarray:
+    """The parent's tables for the tables its children have now."""
+    _, tables, v = root
+    return draw_tables(c0, np.full(len(c0), 1 / (v + 1)), np.maximum(tables - t0, 0), ROOT_DISCOUNT, ROOT_STRENGTH,
+                       _uniform(h ^ END, turn))
+
+
+def _draw_pairs(count: np.ndarray, tables: np.ndarray, left: np.ndarray, of_context: np.ndarray, root: tuple,
+                h: np.ndarray, turn: int) -> np.ndarray:
+    """Tables of pairs: ``left`` is c0 - d0 t0 of the pair's word, ``of_context``
+    the tables of its context, ``root`` (customers, tables, V) of the parent."""
+    c0, t0, v = root
+    p0 = (left + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
+    return draw_tables(count, p0, np.maximum(of_context - tables, 0), DISCOUNT, STRENGTH, _uniform(h, turn))
+
+
+def sample_bucket(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, buckets: int = 1,
+                  seed: int = SEED, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """The whole model in one process, as the rounds compute it in any number
+    of ``buckets``: averaged (c - d t) per pair, averaged (c0 - d0 t0) per word,
+    and sums per context and of the root.  ``names`` are the hashes of the
+    numbers that stand for words and contexts."""
+    if names is None:
+        names = mix64(np.arange(max(n_words, int(context.max(initial=0)) + 1), dtype=np.uint64) + np.uint64(seed))
+    h, c = pair_hash(names[word], names[context]), count.astype(np.int64)
+    tables, t0, n = np.minimum(c, 1), np.zeros(n_words, np.int64), len(names)
+    known = np.bincount(word, weights=c, minlength=n_words)
+    v = float((known > 0).sum())
+    root, kept = (0.0, v, v), [np.zeros(len(c)), np.zeros(n_words), np.zeros(n), np.zeros(2)]
+    for turn in range(BURN_IN + SAMPLES):
+        c0 = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
+        t_k = np.bincount(context, weights=tables, minlength=n)
+        t0 = _draw_root(c0, t0, root, names[:n_words], turn)
+        root = (float(c0.sum()), float(t0.sum()), v)
+        tables = _draw_pairs(c, tables, (c0 - ROOT_DISCOUNT * t0)[word], t_k[context], root, h, turn)
+        if turn >= BURN_IN:
+            c0 = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
+            drawn = _draw_root(c0, t0, root, names[:n_words], turn + 1)
+            for x, y in zip(kept, (c - DISCOUNT * tables, c0 - ROOT_DISCOUNT * drawn,
+                                   np.bincount(context, weights=tables, minlength=n), np.array([c0.sum(), drawn.sum()]))):
+                x += y / SAMPLES
+    return kept[0], kept[1], {"c_k": np.bincount(context, weights=c, minlength=n), "t_k": kept[2],
+                              "rest": np.array([known.sum(), v, *kept[3]])}
+
+
+# ------------------------------------------------------------------- rounds
+ROW = "block long, bucket int, payload binary"
+#: step 0: pair bucket to key bucket, 1: key bucket to pair bucket, 2: state of a pair bucket, 3: state of a key bucket
+STEP = "step int, sender int, bucket int, payload binary, c0 double, t0 double, n double, v double"
+PAIRS, TABLES = -1, -2
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(),) * 3 + (pa.binary(),) + (pa.float64(),) * 4
+    rows = [(*r, *[None] * (8 - len(r))) for r in rows]
+    return pa.table({c.split()[0]: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(STEP.split(", "), kinds))})
+
+
+def _merged(asked: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(hashes, word, context, count, place of every asked pair) of a bucket."""
+    hashes, of = np.unique(np.concatenate([unplanes(x[0]) for x in asked]), return_inverse=True)
     base, code = 0, []
-    for h, per_word, context, _ in asked:
-        code.append(np.repeat(of[base:base + len(h)], per_word).astype(np.int64) * CONTEXTS + context)
-        base += len(h)
+    for own, word, context, _ in asked:
+        own = of[base:base + len(own) // 8]
+        code.append(own[word] * len(hashes) + own[context])
+        base += len(own)
     pairs, at = np.unique(np.concatenate(code), return_inverse=True)
-    del code
     count = np.bincount(at, weights=np.concatenate([x[3] for x in asked]), minlength=len(pairs)).astype(np.int64)
-    a, r, sums = sample_bucket(pairs // CONTEXTS, pairs % CONTEXTS, count, len(words), buckets, SEED + bucket)
-    c = np.bincount(pairs // CONTEXTS, weights=count, minlength=len(words)).astype(np.uint64)
-    c = c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c
-    out, p, q = [], 0, 0
-    for b, (h, _, context, _) in zip(block, asked):
-        w = of[q:q + len(h)]
-        out.append((b, bucket, pack(a[at[p:p + len(context)]], c[w], r[w])))
-        p, q = p + len(context), q + len(h)
-    out.append((-1, bucket, pack(np.concatenate([sums["c_k"], sums["t_k"], sums["rest"]]))))
+    return hashes, *np.divmod(pairs, len(hashes)), count, at
+
+
+def _by_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the hashes by key bucket, and where each bucket's begin."""
+    key = (mix64(hashes ^ END) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return order, np.searchsorted(key[order], np.arange(buckets + 1))
+
+
+def _send(b: int, hashes: np.ndarray, word: np.ndarray, context: np.ndarray, buckets: int, values: list) -> list[tuple]:
+    """Partial sums of ``values`` per word and per context for the key buckets."""
+    sums = [np.bincount(of, weights=x, minlength=len(hashes)).astype(np.uint64) for x in values for of in (word, context)]
+    sums = [x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x for x in sums]
+    order, cut = _by_key(hashes, buckets)
+    return [(0, b, int(v), pack(planes(hashes[o]), *(x[o] for x in sums)))
+            for v in np.flatnonzero(np.diff(cut)) for o in (order[cut[v]:cut[v + 1]],)]
+
+
+def _payloads(table: pa.Table) -> list[tuple[int, int, list[np.ndarray]]]:
+    return [(s, k, unpack(x.as_py())) for s, k, x in
+            zip(table.column("step").to_pylist(), table.column("sender").to_pylist(), table.column("payload"))]
+
+
+def _begin(table: pa.Table, buckets: int) -> pa.Table:
+    """One pair bucket: merge the blocks' requests; one table for each dish."""
+    b = table.column("bucket")[0].as_py()
+    hashes, word, context, count, _ = _merged([unpack(x.as_py()) for x in table.column("payload")])
+    small = lambda x: x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
+    tables = np.minimum(count, 1)
+    return _rows([(2, PAIRS, b, pack(planes(hashes), small(word), small(context), small(count))),
+                  (2, TABLES, b, pack(tables.astype(np.uint8), np.zeros(0, np.uint8))),
+                  *_send(b, hashes, word, context, buckets, [tables, count])])
+
+
+def _state(rows: list, buckets: int) -> tuple:
+    """(hashes, word, context, count, tables, kept, answers by hash) of a pair bucket."""
+    by = {k: x for s, k, x in rows if s == 2}
+    hashes, word, context, count = by[PAIRS]
+    hashes = unplanes(hashes)
+    order, cut = _by_key(hashes, buckets)
+    told = {k: x for s, k, x in rows if s == 1}
+    answers = []
+    for i in range(len(next(iter(told.values())))):
+        x = np.empty(len(hashes))
+        for v, parts in told.items():
+            x[order[cut[v]:cut[v + 1]]] = parts[i]
+        answers.append(x)
+    tables, kept = (x.astype(np.int64) for x in by[TABLES])
+    return hashes, word.astype(np.int64), context.astype(np.int64), count.astype(np.int64), tables, kept, answers
+
+
+def _sweep(table: pa.Table, buckets: int, turn: int, root: tuple) -> pa.Table:
+    """One pair bucket: draw all its dishes given the corpus sums."""
+    b = table.column("bucket")[0].as_py()
+    hashes, word, context, count, tables, kept, (left, t_k) = _state(_payloads(table), buckets)
+    tables = _draw_pairs(count, tables, left[word], t_k[context], root, pair_hash(hashes[word], hashes[context]), turn)
+    if turn >= BURN_IN:
+        kept = tables + (kept if len(kept) else 0)
+    small = lambda x: x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint64)
+    last = turn == BURN_IN + SAMPLES - 1
+    return _rows([(2, TABLES, b, pack(small(tables), small(kept))),
+                  *_send(b, hashes, word, context, buckets, [tables, count] if last else [tables])])
+
+
+def _add_up(table: pa.Table, turn: int, root: tuple) -> pa.Table:
+    """One key bucket: corpus sums of its words and contexts, the parent's
+    tables, and an answer to each pair bucket.  After the last round the
+    answers are averages over the samples, with the counts."""
+    v, rows = table.column("bucket")[0].as_py(), _payloads(table)
+    asked = [(k, unplanes(x[0]), x[1:]) for s, k, x in rows if s == 0]
+    hashes, of = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
+    sums = [np.bincount(of, weights=np.concatenate([x[i] for _, _, x in asked]), minlength=len(hashes))
+            for i in range(len(asked[0][2]))]
+    c0, t_k = sums[0].astype(np.int64), sums[1]
+    t0, kept_left, kept_t = next((x for s, _, x in rows if s == 3), (np.zeros(len(hashes)),) * 3)
+    t0 = _draw_root(c0, t0, root, hashes, turn)
+    left = c0 - ROOT_DISCOUNT * t0
+    if turn > BURN_IN:
+        kept_left, kept_t = kept_left + left / SAMPLES, kept_t + t_k / SAMPLES
+    last = turn == BURN_IN + SAMPLES
+    told = [kept_left, kept_t, sums[2], sums[3]] if last else [left.astype(np.float32), t_k.astype(np.float32)]
+    out, at = [(3, v, v, pack(t0.astype(np.uint32), kept_left, kept_t), float(c0.sum()), float(t0.sum()),
+                *((float(sums[2].sum()), float((sums[2] > 0).sum())) if len(sums) > 2 else ()))], 0
+    for b, h, _ in asked:
+        out.append((1, v, b, pack(*(x[of[at:at + len(h)]] for x in told))))
+        at += len(h)
+    return _rows(out)
+
+
+def _answer(asked: pa.Table, state: pa.Table, buckets: int, root: tuple) -> pa.Table:
+    """One pair bucket: probability and word count of each block's pairs."""
+    b, blocks = asked.column("bucket")[0].as_py(), asked.column("block").to_pylist()
+    requests = [unpack(x.as_py()) for x in asked.column("payload")]
+    at = _merged(requests)[-1]
+    _, word, context, count, _, kept, (left, t_k, c_w, c_k) = _state(_payloads(state), buckets)
+    c0, t0, v = root
+    p0 = (left + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
+    p = ((count - DISCOUNT * kept / SAMPLES + (STRENGTH + DISCOUNT * t_k[context]) * p0[word]) / (STRENGTH + c_k[context]))
+    known = c_w[word].astype(np.uint64)
+    known = known.astype(np.uint32) if known.max(initial=0) < 1 << 32 else known
+    out, i = [], 0
+    for k, x in zip(blocks, requests):
+        own = at[i:i + len(x[1])]
+        out.append((k, b, pack(p[own].astype(np.float32), known[own])))
+        i += len(own)
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()),
                      "payload": pa.array([x[2] for x in out], pa.binary())})
 
 
-def _sums(answers: DataFrame, buckets: int) -> np.ndarray:
-    """Per-context and root sums over all buckets: one vector per bucket is
-    added up in about sqrt(buckets) groups, and their vectors here."""
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(unpack(x)[0] for x in t.column("payload").to_pylist())
-        return pa.table({"payload": pa.array([pack(total)], pa.binary())})
-    groups = max(1, int(buckets ** 0.5))
-    got = (answers.where("block = -1").select((F.col("bucket") % groups).alias("part"), "payload")
-           .groupBy("part").applyInArrow(add, "payload binary").collect())
-    return sum((unpack(bytes(r["payload"]))[0] for r in got), np.zeros(2 * CONTEXTS + 4))
-
-
-def _score_block(table: pa.Table, sums: np.ndarray) -> pa.Table:
+def _score_block(table: pa.Table, n: float, v: float) -> pa.Table:
     """Scores of a block's documents from the answers to its pairs."""
-    c_k, t_k, (n, v, c0, t0) = sums[:CONTEXTS], sums[CONTEXTS:2 * CONTEXTS], sums[2 * CONTEXTS:]
     rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
-    ids, null, train, sizes, seq, kind = unpack(rows.pop(-1))
-    pairs, seq = _pairs(seq, kind, sizes)
-    word, context = np.divmod(pairs, CONTEXTS)
+    ids, null, train, sizes, place = unpack(rows.pop(-1))
     parts = [unpack(rows[b]) for b in sorted(rows)]
-    a, c, r = (np.concatenate([p[i] for p in parts]).astype(float) for i in range(3))
-    p0 = (r + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
-    p = (a + (STRENGTH + DISCOUNT * t_k[context]) * p0[word]) / (STRENGTH + c_k[context])
-    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[word]
+    p, c = (np.concatenate([x[i] for x in parts]).astype(float) for i in range(2))
+    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     ends = np.cumsum(sizes)
-    total = lambda x: np.add.reduceat(x[seq], ends - sizes)  # noqa: E731  every document has its end token
+    total = lambda x: np.add.reduceat(x[place], ends - sizes)  # noqa: E731  every document has its end token
     return pa.table({
         "doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(train == 0),
-        "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0)[word].astype(np.int64))),
+        "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0).astype(np.int64))),
         "train_tokens": pa.array(np.full(len(ids), int(n))), "base_score": pa.array(total(base)),
         "score": pa.array(total(np.log10(p)))})
 
@@ -333,15 +547,52 @@ def score(docs: DataFrame, folds: int = FOLDS, buckets: int | None = None) -> Da
     """Model and baseline log10 probabilities of every document of ``docs``,
     learned from those outside fold 0."""
     buckets = buckets or BUCKETS * partitions(docs.sparkSession)
-    kind = "block long, bucket int, payload binary"
     blocks = land(document_blocks(docs, buckets, folds), "py-blocks")
-    answers = land(blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answer(t, buckets), kind), "py-answers")
-    sums = _sums(answers, buckets)
-    return (blocks.where("bucket = -1").union(answers.where("block >= 0")).groupBy("block")
-            .applyInArrow(lambda t: _score_block(t, sums),
+    asked = blocks.where("bucket >= 0")
+    sent = begun = land(asked.groupBy("bucket").applyInArrow(lambda t: _begin(t, buckets), STEP), "py-begin")
+    fixed = begun.where(f"step = 2 and sender = {PAIRS}")
+    n, v = sums = _known(begun)
+    root, kept, told = (0.0, v, v), [], None
+    for turn in range(BURN_IN + SAMPLES + 1):
+        to_keys = sent.where("step = 0")
+        heard = to_keys if told is None else to_keys.union(told.where("step = 3"))
+        before, told = told, land(heard.groupBy("bucket").applyInArrow(_bound(_add_up, turn, root), STEP), "py-keys")
+        if before is not None:
+            drop_landed(before)
+        got = told.where("step = 3").agg(F.sum("c0"), F.sum("t0")).first()
+        root = (got[0] or 0.0, got[1] or 0.0, v)
+        if turn > BURN_IN:
+            kept.append(root)
+        state = fixed.union(sent.where(f"step = 2 and sender = {TABLES}")).union(told.where("step = 1"))
+        if turn < BURN_IN + SAMPLES:
+            before, sent = sent, land(state.groupBy("bucket").applyInArrow(_bound(_sweep, buckets, turn, root), STEP), "py-tables")
+            if before is not begun:
+                drop_landed(before)
+    root = (*(sum(x[i] for x in kept) / SAMPLES for i in range(2)), v)
+    answers = land(asked.groupBy("bucket").cogroup(state.groupBy("bucket"))
+                   .applyInArrow(lambda a, s: _answer(a, s, buckets, root), ROW), "py-answers")
+    n, v = sums
+    return (blocks.where("bucket = -1").union(answers).groupBy("block")
+            .applyInArrow(lambda t: _score_block(t, n, v),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                           "base_score double, score double"))
 
 
+def _bound(step, *values):
+    """``step`` of a table, with the ``values`` of now."""
+    return lambda t: step(t, *values)
+
+
+def _known(begun: DataFrame) -> tuple[float, float]:
+    """N and V: training tokens and distinct known words."""
+    def count(t: pa.Table) -> pa.Table:
+        rows = [unpack(x.as_py()) for x in t.column("payload")]
+        hashes, of = np.unique(np.concatenate([unplanes(x[0]) for x in rows]), return_inverse=True)
+        c = np.bincount(of, weights=np.concatenate([x[3] for x in rows]), minlength=len(hashes))
+        return pa.table({"n": pa.array([float(c.sum())]), "v": pa.array([float((c > 0).sum())])})
+    got = begun.where("step = 0").groupBy("bucket").applyInArrow(count, "n double, v double").agg(F.sum("n"), F.sum("v")).first()
+    return got[0] or 0.0, got[1] or 0.0
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

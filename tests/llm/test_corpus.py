@@ -268,6 +268,14 @@ def test_seating_matches_a_plain_sampler():
     assert seat.tables.mean() == pytest.approx(total / 50_000, rel=0.05)
 
 
+def test_every_previous_word_is_a_context_of_its_own(spark):
+    """5000 contexts, each with its own next word: what follows stays likely."""
+    rows = [(d, " ".join(f"a{i} b{i}" for i in range(k, 5000, 20))) for d in range(200) for k in (d % 20,)]
+    got = [r for r in py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    # a pair is the likely word after its context and an unlikely context after the pair before
+    assert got and all(r["score"] / r["n_tokens"] > -0.35 for r in got)
+
+
 def test_language_model_odd_rows(odd, none):
     rows = py.score(odd).collect()
     assert len(rows) == odd.count()
