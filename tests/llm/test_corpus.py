@@ -276,6 +276,28 @@ def test_every_previous_word_is_a_context_of_its_own(spark):
     assert got and all(r["score"] / r["n_tokens"] > -0.35 for r in got)
 
 
+def log_stirling(c, d, most):
+    row = np.full(most + 1, -np.inf)
+    row[1] = 0.0
+    for k in range(1, c):
+        t = np.arange(1, most + 1)
+        row[1:] = np.logaddexp(row[:-1], np.where(t <= k, np.log(np.maximum(k - d * t, 1e-300)), -np.inf) + row[1:])
+    return row[1:]
+
+
+@pytest.mark.parametrize("c, p, others", [(40, 0.02, 30.0), (500, 0.3, 300.0), (20_000, 0.02, 2000.0)])
+def test_tables_of_hot_dishes_follow_their_distribution(c, p, others):
+    """One draw at production settings against the exact distribution."""
+    most, n = min(c, 800), 4000
+    t = np.arange(1, most + 1)
+    w = log_stirling(c, py.DISCOUNT, most) + np.cumsum(np.log((py.STRENGTH + py.DISCOUNT * (others + t - 1)) * p))
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    got = py.draw_tables(np.full(n, c), np.full(n, p), np.full(n, others), py.DISCOUNT, py.STRENGTH,
+                         np.random.default_rng(12).random(n))
+    mean = (w * t).sum()
+    assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx((w * (t - mean) ** 2).sum() ** 0.5, rel=0.06)
+
+
 def test_language_model_odd_rows(odd, none):
     rows = py.score(odd).collect()
     assert len(rows) == odd.count()
