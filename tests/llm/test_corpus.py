@@ -298,6 +298,24 @@ def test_tables_of_hot_dishes_follow_their_distribution(c, p, others):
     assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx((w * (t - mean) ** 2).sum() ** 0.5, rel=0.06)
 
 
+def test_scores_do_not_depend_on_the_buckets(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in py.score(docs, buckets=b).collect()} for b in (1, 23))
+    assert one == pytest.approx(many, rel=1e-6)
+    # and are those of the model over the whole corpus in one process
+    texts = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" end "] for r in docs.collect()}
+    names = {w: i for i, w in enumerate(sorted({w for t in texts.values() for w in t}))}
+    pairs = {d: [(names[w], names[v]) for w, v in zip(t, [b" end ", *t])] for d, t in texts.items()}
+    count = Counter(x for d, t in pairs.items() if zlib.crc32(str(d).encode()) % 10 for x in t)
+    keys = sorted({x for t in pairs.values() for x in t})
+    a, r, sums = py.sample_bucket(*np.array(keys).T, np.array([count[x] for x in keys]), len(names), names=py.hash_words(list(names)))
+    n, v, c0, t0 = sums["rest"]
+    p0 = (r + (py.ROOT_STRENGTH + py.ROOT_DISCOUNT * t0) / (v + 1)) / (py.ROOT_STRENGTH + c0)
+    p = {(w, k): (x + (py.STRENGTH + py.DISCOUNT * sums["t_k"][k]) * p0[w]) / (py.STRENGTH + sums["c_k"][k])
+         for (w, k), x in zip(keys, a)}
+    assert one == pytest.approx({d: sum(math.log10(p[x]) for x in t) for d, t in pairs.items()}, rel=1e-4)
+
+
 def test_language_model_odd_rows(odd, none):
     rows = py.score(odd).collect()
     assert len(rows) == odd.count()
