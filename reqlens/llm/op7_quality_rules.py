@@ -21,9 +21,14 @@ from reqlens.llm.common import SPACES, land, word_list
 
 #: ratio metrics that get an adaptive upper fence
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "pipe_ratio")
-#: a fence is the median plus FENCE times the spread (q90 - q50), and at least the median plus its FLOOR
+#: a fence is the median plus FENCE times the spread (q90 - q50)
 FENCE = 8.0
-FLOOR = {"symbol_ratio": 0.1, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "upper_ratio": 0.15, "pipe_ratio": 0.15}
+#: what a ratio counts, what it is a share of, and how many of them beyond the fence are too few to judge by
+COUNTED = {"symbol_ratio": ("n_symbols", "word_chars", 4), "dup_line_ratio": ("n_dup_lines", "n_lines", 3),
+           "repeat_ratio": ("n_repeat_words", "n_words", 12), "upper_ratio": ("n_upper", "word_chars", 8),
+           "pipe_ratio": ("n_pipes", "n_words", 3)}
+#: q90 is held to be junk where q90 - q50 is more than JUNK times q75 - q50, more than q50 - q10 and more than a few
+JUNK = 3.0
 #: a (lang, source) group with fewer documents uses its language's sketch
 MIN_GROUP = 200
 SKETCH_K = 400
@@ -79,8 +84,8 @@ def _word_counts(words: Column) -> Column:
 
 
 def document_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus word_chars, n_words, n_symbols, n_dup_lines,
-    n_repeat_words and the ratio metrics."""
+    """``docs`` plus word_chars, n_words, n_lines, n_symbols, n_dup_lines,
+    n_repeat_words, n_upper, n_pipes and the ratio metrics."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     out = docs.withColumns({
@@ -94,47 +99,49 @@ def document_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         **{k: F.col(f"__counts.{k}") for k in ("n_words", "word_chars", "n_repeat_words")},
         "n_symbols": F.octet_length("__symbols").cast("long"),
         "n_dup_lines": F.col("__lines.dup"),
-        "__pipes": F.octet_length("__symbols") - F.octet_length(F.replace("__symbols", F.lit("|"))),
+        "n_lines": F.col("__lines.n").cast("long"),
+        "n_upper": F.col("__upper").cast("long"),
+        "n_pipes": (F.octet_length("__symbols") - F.octet_length(F.replace("__symbols", F.lit("|")))).cast("long"),
     })
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return out.withColumns({
-        "symbol_ratio": per("n_symbols", "word_chars"),
-        "dup_line_ratio": per("n_dup_lines", "__lines.n"),
-        "repeat_ratio": per("n_repeat_words", "n_words"),
-        "upper_ratio": per("__upper", "word_chars"),
-        "pipe_ratio": per("__pipes", "n_words"),
+        **{m: per(*COUNTED[m][:2]) for m in RATIOS},
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    }).drop("__counts", "__lines", "__symbols", "__upper", "__pipes")
+    }).drop("__counts", "__lines", "__symbols", "__upper")
 
 
-def adaptive_fences(metrics: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE,
-                    floors: dict[str, float] = FLOOR) -> DataFrame:
+def adaptive_fences(metrics: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE, junk: float = JUNK) -> DataFrame:
     """One row per (lang, source) with an upper fence ``hi_<metric>`` each."""
+    sizes = sorted({of for _, of, _ in COUNTED.values()})
     by_source = metrics.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"n_{c}") for c in sizes],
         *[F.kll_sketch_agg_double(m, SKETCH_K).alias(f"s_{m}") for m in RATIOS])
     by_lang = by_source.groupBy("lang").agg(
-        F.sum("n").alias("n_lang"), *[F.kll_merge_agg_double(f"s_{m}", SKETCH_K).alias(f"l_{m}") for m in RATIOS])
+        F.sum("n").alias("n_lang"), *[F.sum(f"n_{c}").alias(f"l_{c}") for c in sizes],
+        *[F.kll_merge_agg_double(f"s_{m}", SKETCH_K).alias(f"l_{m}") for m in RATIOS])
     both = by_source.alias("a").join(by_lang.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")))
     cols = [F.col("a.lang").alias("lang"), F.col("a.source").alias("source")]
     for m in RATIOS:
-        s = F.when(F.col("n") >= min_group, F.col(f"s_{m}")).otherwise(F.col(f"l_{m}"))
-        q50, q90 = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.5, 0.9))
-        # the spread of the clean half: junk may hold the upper tail, so the lower one is mirrored as well
-        q10 = F.kll_sketch_get_quantile_double(s, F.lit(0.1))
-        spread = F.least(q90 - q50, F.greatest(q50 - q10, F.lit(floors[m] / fence)))
-        cols.append((q50 + F.greatest(F.lit(floors[m]), F.lit(fence) * spread)).alias(f"hi_{m}"))
+        _, of, few = COUNTED[m]
+        own = F.col("n") >= min_group
+        s = F.when(own, F.col(f"s_{m}")).otherwise(F.col(f"l_{m}"))
+        size = F.when(own, F.try_divide(F.col(f"n_{of}"), F.col("n"))).otherwise(F.try_divide(F.col(f"l_{of}"), F.col("n_lang")))
+        q10, q50, q75, q90 = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.1, 0.5, 0.75, 0.9))
+        # junk may hold the upper tail: q90 counts as far as the quartile, the lower tail or a few in a mean text bear it out
+        borne = F.greatest(F.lit(junk) * (q75 - q50), q50 - q10, F.coalesce(F.try_divide(F.lit(float(few)), size), F.lit(0.0)))
+        cols.append((q50 + F.lit(fence) * F.least(q90 - q50, borne)).alias(f"hi_{m}"))
     return both.select(*cols)
 
 
 def apply_fences(metrics: DataFrame, fences: DataFrame) -> DataFrame:
     """``metrics`` plus ``kept``: neither failed by the base rule nor beyond a
-    fence of its group."""
+    fence of its group by more than a few symbols, lines or words."""
     f = fences.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
     joined = metrics.join(f, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     within = F.lit(True)
     for m in RATIOS:
-        within = within & F.coalesce(F.col(m) <= F.col(f"hi_{m}"), F.lit(True))
+        count, of, few = COUNTED[m]
+        within = within & F.coalesce(F.col(count) - F.col(f"hi_{m}") * F.col(of) <= few, F.lit(True))
     return (joined.withColumn("kept", ~F.col("base_failed") & within)
             .drop("__lang", "__source", *[f"hi_{m}" for m in RATIOS]))
 

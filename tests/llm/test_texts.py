@@ -244,6 +244,23 @@ def test_quality_rules_keep_clean_documents(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Two sources of one language: in "b" a fifth of the lines repeats as a
+    rule, in "a" none does, so only "a" loses a document for it."""
+    rnd = random.Random(9)
+
+    def text(repeats):
+        lines = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(8)) for _ in range(20 - repeats)]
+        return "\n".join(lines + lines[:1] * repeats)
+    rows = [(i, text(0), "en", "a") for i in range(300)] + [(1000 + i, text(rnd.randrange(9)), "en", "b") for i in range(300)]
+    rows += [(2000, text(7), "en", "a"), (2001, text(7), "en", "b")]
+    m = rules.document_metrics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    hi = {r["source"]: r["hi_dup_line_ratio"] for r in rules.adaptive_fences(m).collect()}
+    assert hi["a"] == 0 and hi["b"] > 0.5
+    kept = {r["doc_id"]: r["kept"] for r in rules.apply_fences(m, rules.adaptive_fences(m)).collect()}
+    assert not kept[2000] and kept[2001] and all(kept[i] for i in range(300))
+
+
 def test_quality_rules_odd_rows(odd, none):
     kept = rules.filter_quality(odd)
     assert kept.columns == odd.columns and kept.count() == 0
