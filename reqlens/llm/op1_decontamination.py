@@ -11,8 +11,11 @@ equal keys propose an item-sized window, which the exact word edit distance
 then confirms: at most ``EDIT_RATE`` of the item's words may be inserted,
 deleted or replaced.
 
-Items of so few words that no edit is allowed are found by hashes of all their
-words.  The benchmark is read in blocks of about ``BLOCK_WORDS`` words, each of
+Walks miss some copies, of short items above all, so every item is also split
+into one more piece than it may have edits: a copy within the limit holds some
+piece unchanged, and the piece's hash proposes the window.  Recall at the edit
+limit is thus 1 for items of any length; an item without edits is one piece.
+The benchmark is read in blocks of about ``BLOCK_WORDS`` words, each of
 which becomes a bounded broadcast; documents are never shuffled.
 
 Defined cases: null and wordless documents and items match nothing; repeated
@@ -77,14 +80,22 @@ def walk_keys(h: np.ndarray, repeat: int, starts: slice) -> tuple[np.ndarray, np
     return key, at
 
 
-def phrase_keys(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words."""
-    key = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for j in range(n):
-        key = mix64(key * _K + h[j:j + len(key)])
+def phrase_keys(h: np.ndarray, n: int, key: np.ndarray | None = None, done: int = 0) -> np.ndarray:
+    """Hash of each run of n words, from the ``key`` of each run of the first
+    ``done`` words if given."""
+    size = max(0, len(h) - n + 1)
+    key = np.zeros(size, np.uint64) if key is None else key[:size]
+    for j in range(done, n):
+        key = mix64(key * _K + h[j:j + size])
     return key
 
 
+def pieces(n_words: int) -> list[tuple[int, int]]:
+    """An item's ranges of words, one more than it may have edits."""
+    n = max_edits(n_words) + 1
+    return [(n_words * i // n, n_words * (i + 1) // n) for i in range(n)]
+
+
 def nearest(item: list, text: list, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of ``text`` with the least edit distance
     to ``item``, the leftmost of equals; None beyond ``most``."""
@@ -112,11 +123,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, h) for i, h in ((i, hashed(words_of(t))) for i, t in items) if len(h)]
-        exact = sorted({len(h) for _, h in self.items if not max_edits(len(h))})
         self.walks = [self._table([(k, n, o) for n, (_, h) in enumerate(self.items) if max_edits(len(h))
                                    for k, o in self._item_keys(h, r)]) for r in range(REPEATS)]
-        self.phrases = {m: self._table([(int(phrase_keys(h, m)[0]), n, 0)
-                                        for n, (_, h) in enumerate(self.items) if len(h) == m]) for m in exact}
+        rows: dict[int, list] = {}
+        for n, (_, h) in enumerate(self.items):
+            for a, b in pieces(len(h)):
+                rows.setdefault(b - a, []).append((int(phrase_keys(h[a:b], b - a)[0]), n, a))
+        self.phrases = {m: self._table(rows[m]) for m in sorted(rows)}
 
     @staticmethod
     def _item_keys(h: np.ndarray, r: int) -> list[tuple[int, int]]:
@@ -149,8 +162,11 @@ class Index:
                 for s in range(0, len(h), CHUNK):
                     key, _ = walk_keys(g, r, slice(s, min(s + CHUNK, len(h))))
                     found += self._hits(table, key, s)
-        for m, table in self.phrases.items():
-            found += self._hits(table, phrase_keys(h, m), 0)
+        done, key = 0, np.zeros(len(h), np.uint64)
+        for m, table in self.phrases.items():           # ascending: a run's hash goes on from that of the shorter one
+            key = phrase_keys(h, m, key, done)
+            found += self._hits(table, key, 0)
+            done = m
         return found
 
     def search(self, docs: list[np.ndarray]) -> list[list[tuple[int | None, int, int, int, int]]]:

@@ -41,6 +41,19 @@ def test_decontamination_recall_under_edits(spark, sf):
         assert hit >= least * len(items)
 
 
+def test_decontamination_finds_every_short_item_at_its_edit_limit():
+    rnd = random.Random(21)
+    items = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(7 + i % 24))) for i in range(960)]
+    index = dec.Index(items)
+    for item, text in items:
+        for edits in (0, dec.max_edits(len(text.split()))):
+            w = dec.words_of(text)
+            for k in sorted(rnd.sample(range(len(w)), edits), reverse=True):
+                w[k:k + 1] = rnd.choice(([], [b"new"], [w[k], b"new"]))
+            doc = [b"before"] * 30 + w + [b"after"] * 30
+            assert item in {h[0] for h in index.search([dec.hashed(doc)])[0]}
+
+
 def test_decontamination_finds_verbatim_items_only(spark, sf, docs):
     got = {(r["doc_id"], r["item_id"]) for r in dec.query(spark, sf).where("edits = 0").collect()}
     items = [(r["item_id"], " ".join(w.decode() for w in dec.words_of(r["text"]))) for r in read_table(spark, sf, "benchmark").collect()]
