@@ -76,8 +76,8 @@ def per_second_rebucket(df: DataFrame, time: str = "time", interval: str = "10s"
     return per_sec.groupBy(b).agg(F.sum("count").cast("bigint").alias("count"))
 
 
-def scatter_sample(df: DataFrame, key: list[str], time: str = "time", rt: str = "target_processing_time",
-                   max_points: int = 1_000_000, seed: int = 42) -> DataFrame:
+def scatter_sample(df: DataFrame, key: list[str], max_points: int, time: str = "time",
+                   rt: str = "target_processing_time", seed: int = 42) -> DataFrame:
     """Up to ``max_points`` rows with a positive response time."""
     d = _valid(df, time).filter(F.col(rt) > 0)
     return downsample(d, key, max_points, seed)

@@ -89,3 +89,10 @@ def test_pivot_long_and_wide(spark):
     p = V.pivot_long(df, "request_url", "time", value="target_processing_time", agg="p50", interval="1h",
                      row_filter="top:1:count").collect()
     assert len(p) == 1 and p[0]["row"] == "/b/7"
+
+
+def test_scatter_sample_has_no_cut_of_its_own():
+    from inspect import Parameter, signature
+
+    from reqlens.operators.overview import scatter_sample
+    assert signature(scatter_sample).parameters["max_points"].default is Parameter.empty
