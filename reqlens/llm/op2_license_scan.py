@@ -3,10 +3,12 @@
 Candidate blocks are the lines of a text that use license vocabulary, runs of
 such lines taken together.  A block is compressed alone and with each template
 as zstandard raw dictionary; templates are ranked by how many bytes they save.
-The best ``RANKED`` are then compared word by word: the winner is the one with
+The best ``RANKED`` and all others that save bytes are then compared word by
+word: the winner is the one with
 the fewest word edits to some part of the block, and it is confirmed if the
 edits are few and touch none of the words that tell licenses apart (names and
-version numbers).  The differing words are reported.
+version numbers).  The differing words are reported.  A confirmed part is taken
+out and the rest of the block judged again, so a block may give several rows.
 
 Defined cases: null, empty and cue-free texts give no row; a block without a
 confirmed template is reported with a null license; repeated rows are reported
@@ -97,12 +99,12 @@ def blocks(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
+    first = last = -1                       # the cue's line
     for m in CUE.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        b = len(text) if b < 0 else b
+        if m.end() > last:
+            first, last = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            last = len(text) if last < 0 else last
+        a, b = first, last
         if b - a > LONG_LINE:
             a, b = max(a, m.start() - AROUND), min(b, m.end() + AROUND)
         if out and a <= out[-1][1] + 1:
@@ -122,10 +124,32 @@ def ranking(block: str) -> list[tuple[int, int]]:
 
 def judge(block: str) -> tuple:
     """(license, bytes saved, share saved, edits, differences, confirmed)."""
+    return _judge(block)[0]
+
+
+def judge_all(block: str) -> list[tuple]:
+    """:func:`judge` for every license of a block: a confirmed part is taken
+    out and what is left on its sides is judged again.  Without any, the block
+    as a whole."""
+    out, todo, whole = [], [block], None
+    while todo:
+        part = todo.pop()
+        found, a, b = _judge(part)
+        whole = whole or found
+        if found[-1]:
+            out.append(found)
+            todo += [x for x in (part[b:], part[:a]) if CUE.search(x)]
+    return out or [whole]
+
+
+def _judge(block: str) -> tuple[tuple, int, int]:
+    """:func:`judge`, and the part of the block that was compared."""
     own, best = words(block), None
     ranks = ranking(block)
     alone = len(_compressors()[1].compress(block.encode()))
-    for saved, i in ranks[:RANKED]:
+    for rank, (saved, i) in enumerate(ranks):
+        if rank >= RANKED and saved <= 0:
+            break
         name, keys, text = TEMPLATES[i]
         want = words(text)
         edits, a, b = nearest(want, own, len(want) + len(own))
@@ -134,12 +158,14 @@ def judge(block: str) -> tuple:
         foreign = [w for w in part if w in _KEYS and w not in want]
         key = (bool(lost or foreign), edits, -saved, i)
         if best is None or key < best[0]:
-            best = (key, name, saved, edits, want, part)
-    (bad, *_), name, saved, edits, want, part = best
+            best = (key, name, saved, edits, want, part, a, b)
+    (bad, *_), name, saved, edits, want, part, start, end = best
     ok = not bad and edits <= MAX_EDIT_SHARE * len(want) and saved > 0
     diff = "; ".join(f"{' '.join(want[a:b])} -> {' '.join(part[c:d])}"
                      for op, a, b, c, d in SequenceMatcher(None, want, part, autojunk=False).get_opcodes() if op != "equal")
-    return (name if ok else None, saved, saved / max(1, alone), edits, diff, ok)
+    place = [m.span() for m in _WORD.finditer(block)][start:end]
+    return ((name if ok else None, saved, saved / max(1, alone), edits, diff, ok),
+            place[0][0] if place else 0, place[-1][1] if place else len(block))
 
 
 #: every word that tells some license apart
@@ -147,7 +173,7 @@ _KEYS = frozenset(k for _, keys, _ in TEMPLATES for k in keys.split())
 
 
 def license_blocks(docs: DataFrame) -> DataFrame:
-    """One row per candidate block of every document."""
+    """One row per confirmed license of a candidate block, or one for a block without any."""
     schema = ("doc_id long, start long, end long, license string, bytes_saved long, share_saved double, "
               "edits long, differences string, confirmed boolean")
     names = [c.split()[0] for c in schema.split(", ")]
@@ -157,7 +183,7 @@ def license_blocks(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += [(doc_id, s, e, *judge(text[s:e])) for s, e in blocks(text or "")]
+                rows += [(doc_id, s, e, *found) for s, e in blocks(text or "") for found in judge_all(text[s:e])]
             cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)

@@ -104,6 +104,14 @@ def test_license_of_a_line(text, license):
     assert body[a:b] == text and lic.judge(text)[0] == license
 
 
+def test_every_license_of_a_block_is_reported():
+    text = "Licensed under the MIT license.\nLicensed under the Apache License, Version 2.0.\nReleased under CC0 1.0 Universal."
+    (a, b), = lic.blocks(text)
+    assert sorted(x[0] for x in lic.judge_all(text[a:b])) == ["Apache-2.0", "CC0-1.0", "MIT"]
+    long = "x " * 2000 + "license " + "y " * 185 + "Licensed under the Apache License, Version 2.0. " + "z " * 2000
+    assert any(x[0] == "Apache-2.0" for a, b in lic.blocks(long) for x in lic.judge_all(long[a:b]))
+
+
 def test_license_scan_finds_every_planted_line(spark, sf, docs):
     got = Counter((r["doc_id"], r["license"]) for r in lic.query(spark, sf).where("confirmed").collect())
     plant = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
