@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from reqlens.llm import (op1_decontamination, op2_license_scan, op3_token_counts, op4_minhash, op5_mixing, op6_pii,
-                         op7_quality_rules, op8_quality_classifier, op9_token_ids, op10_pitman_yor)
+                         op7_quality_rules, op8_quality_classifier, op9_token_ids, op10_pitman_yor,
+                         op11_substring_dedup)
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -16,6 +17,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier.query,
     "op9_token_ids": op9_token_ids.query,
     "op10_pitman_yor": op10_pitman_yor.query,
+    "op11_substring_dedup": op11_substring_dedup.query,
+}
+#: none of the first ten: each rests on compression, sampling, sketches, hashes of Spark's own or a tokenizer, which SQL lacks
+ORACLES: dict[str, str] = {
+    "op11_substring_dedup": op11_substring_dedup.ORACLE,
 }
-#: none: each of the ten rests on compression, sampling, sketches, hashes of Spark's own or a tokenizer, which SQL lacks
-ORACLES: dict[str, str] = {}
