@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from reqlens.llm import (op1_decontamination, op2_license_scan, op3_token_counts, op4_minhash, op5_mixing, op6_pii,
                          op7_quality_rules, op8_quality_classifier, op9_token_ids, op10_pitman_yor,
-                         op11_substring_dedup, op12_hard_negatives)
+                         op11_substring_dedup, op12_hard_negatives, op13_prefix_trie)
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
@@ -19,9 +19,11 @@ QUERIES = {
     "op10_pitman_yor": op10_pitman_yor.query,
     "op11_substring_dedup": op11_substring_dedup.query,
     "op12_hard_negatives": op12_hard_negatives.query,
+    "op13_prefix_trie": op13_prefix_trie.query,
 }
 #: none of the first ten: each rests on compression, sampling, sketches, hashes of Spark's own or a tokenizer, which SQL lacks
 ORACLES: dict[str, str] = {
     "op11_substring_dedup": op11_substring_dedup.ORACLE,
     "op12_hard_negatives": op12_hard_negatives.ORACLE,
+    "op13_prefix_trie": op13_prefix_trie.ORACLE,
 }
