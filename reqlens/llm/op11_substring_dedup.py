@@ -39,12 +39,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import hash_words, land, mix64, read_table
+from reqlens.llm.common import land, mix64, read_table
 
 WINDOW = 13
 #: bytes of words in a block
@@ -56,7 +57,9 @@ RANGE_BITS = 21
 #: log2 of the windows whose hashes meet in one exact group, were all repeated
 PART_BITS = 20
 _M = mix64(np.arange(1, 2 * WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SALT = np.uint64(0xD6E8FEB86659FD93)
+_SALT, _ALL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: bytes of a word that is hashed by itself
+LONG_WORD = 256
 BLOCK = "block long, ids array<long>, windows long, words binary"
 
 
@@ -90,35 +93,51 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .mapInArrow(blocks, BLOCK))
 
 
+def hash_lanes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at ``start`` of ``size`` bytes, eight bytes
+    of all words at a time."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(text), "<u8", padded, strides=(1,))
+    h = mix64(size.astype(np.uint64) * _M[0])
+    live = np.flatnonzero(size <= LONG_WORD)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(text[start[k]:start[k] + size[k]].tobytes())
+    at, left = start[live], size[live]
+    while len(live):
+        lane = lanes[at] & (_ALL >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64))
+        h[live] = mix64((h[live] ^ lane) * _M[1])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
 class Windows:
     """The windows of a block, sorted by hash.
 
     ``hashes``: distinct 64-bit hashes, ascending; ``least``: the least doc_id of
-    each; ``several``: whether two doc_ids hold it; ``at`` and ``doc``: first
-    word and document of every window, ``entry`` its place in ``hashes``.
+    each; ``several``: whether two doc_ids hold it; ``at``: first word of every
+    window, ``entry`` its place in ``hashes``, ``id`` its doc_id; ``doc``: document of every word.
     """
 
     def __init__(self, ids: list, payload: bytes):
-        self.lines = zstandard.decompress(payload).split(b"\n")
-        hashed, docs, self.first, n = [], [], {}, 0
-        for d, (doc_id, line) in enumerate(zip(ids, self.lines)):
-            if doc_id is not None and line.count(b" ") >= WINDOW - 1:
-                hashed.append(hash_words(line.split(b" ")))
-                docs.append(d)
-                self.first[d] = n
-                n += len(hashed[-1])
-        self.words = np.concatenate(hashed) if hashed else np.empty(0, np.uint64)
-        counts = [len(h) - WINDOW + 1 for h in hashed]
-        at = np.concatenate([np.arange(f, f + k) for f, k in zip(self.first.values(), counts)]) if hashed else np.empty(0, np.int64)
-        doc = np.repeat(np.array(docs, np.int64), counts)
+        self.text = zstandard.decompress(payload)
+        raw = np.frombuffer(self.text, np.uint8)
+        gaps = np.flatnonzero((raw == ord(" ")) | (raw == ord("\n")))
+        start, end = np.append(0, gaps + 1), np.append(gaps, len(raw))
+        full = end > start                       # an empty document is an empty line
+        start, end = start[full], end[full]
+        self.doc = np.searchsorted(np.flatnonzero(raw == ord("\n")), start)
+        self.words = hash_lanes(raw, start, end - start)
+        known = np.array([i is not None for i in ids], bool)
+        first = self.doc[:max(0, len(start) - WINDOW + 1)]
+        at = np.flatnonzero((first == self.doc[WINDOW - 1:]) & known[first])
         h = self._hash(at, _M[:WINDOW])
         order = np.argsort(h, kind="stable")     # documents come by ascending id, so ids ascend within a hash
-        h, self.at, self.doc = h[order], at[order], doc[order]
+        h, self.at = h[order], at[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         self.entry = np.cumsum(new) - 1
-        own = np.array([i or 0 for i in ids], np.int64)
-        self.id = own[self.doc]
+        self.id = np.array([i or 0 for i in ids], np.int64)[self.doc[self.at]]
         self.hashes, self.least, self._lead = h[new], self.id[new], self.at[new]
         last = np.ones(len(h), bool)
         last[:-1] = new[1:]
@@ -303,14 +322,12 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bits:
                 for a, b, reply in zip(ends[:-1], ends[1:], exact or []):
                     smaller[chosen[a:b]] = _flags(reply["bits"], b - a)
                 gone = _cut(w, smaller[w.entry] | (w.id > w.least[w.entry]))
-                n, lost, kept = [], [], []
-                for d, line in enumerate(w.lines):
-                    n.append(line.count(b" ") + 1 if line else 0)
-                    own = gone[w.first[d]:w.first[d] + n[-1]] if d in w.first else gone[:0]
-                    lost.append(int(own.sum()))
-                    kept.append(b" ".join(compress(line.split(b" "), (~own).tolist())) if lost[-1] else line)
+                n, lost = (np.bincount(w.doc, x, len(ids)).astype(np.int64) for x in (None, gone))
+                kept, ends = w.text.split(b"\n"), np.cumsum(n)
+                for d in np.flatnonzero(lost).tolist():
+                    kept[d] = b" ".join(compress(kept[d].split(b" "), (~gone[ends[d] - n[d]:ends[d]]).tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary())],
+                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(lost), pa.array(kept, pa.binary())],
                     ["doc_id", "n_words", "n_removed", "kept_text"])
     return (judged.select("ids", "words", "sketch", "exact")
             .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text binary")

@@ -84,6 +84,16 @@ def test_cells_survive_packing():
     assert (sub._unpack_cells(sub._pack_cells(cells)) == cells.astype(np.int64)).all()
 
 
+def test_word_hashes_tell_words_apart():
+    """Equal words hash alike wherever they stand, others (prefixes, long
+    words, zero bytes) apart."""
+    words = [b"a" * k for k in range(1, 40)] + [b"abcdefgh", b"abcdefgh\0", b"x" * 300, b"x" * 301, "é".encode() * 9]
+    text = b" ".join(words * 2)
+    size = np.array([len(w) for w in words] * 2)
+    h = sub.hash_lanes(np.frombuffer(text, np.uint8), np.cumsum(size + 1) - size - 1, size)
+    assert (h[:len(words)] == h[len(words):]).all() and len(set(h.tolist())) == len(words)
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(odd) == brute(rows)
