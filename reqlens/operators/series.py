@@ -179,19 +179,22 @@ def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time"
                             top_n: int = 10, rules: Sequence[Rule] | None = None,
                             exact: bool | str = "sort") -> DataFrame:
     """``(time_bucket, label, value)``; leaders by total ``field``,
-    ``Others`` recomputed from its raw rows for every metric.  Rows are
-    labelled where they are (a native expression, no join on the URL)."""
+    ``Others`` recomputed from its raw rows for every metric.  Every distinct
+    URL is labelled once, with its total; rows get the final label
+    through that map."""
     if metric not in _METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {_METRICS}")
     d = df.filter(F.col(time).isNotNull() & F.col(field).try_cast("double").isNotNull())
-    label = F.coalesce(url_pattern_label(F.col(url), list(rules) if rules else None), F.lit(UNKNOWN))
-    rows = d.select(bucket_of(d, time, interval).alias(BUCKET), label.alias(LABEL),
-                    F.col(field).try_cast("double").alias("__v"))
+    rows = d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"), F.col(field).try_cast("double").alias("__v"))
+    urls = (rows.groupBy(F.col("__u").alias("__url")).agg(F.sum("__v").alias("__s"))
+            .withColumn(LABEL, url_pattern_label(F.col("__url"), list(rules) if rules else None)))
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules))
     else:
-        lead = leaders(rows.groupBy(LABEL).agg(F.sum("__v").alias("__s")), "__s", top_n)
-    rel = relabel(rows, lead)
+        lead = leaders(urls, "__s", top_n)
+    final = relabel(urls.where("__url IS NOT NULL"), lead).select("__url", LABEL)
+    rel = (rows.join(final, F.col("__u") == F.col("__url"), "left")
+           .select(BUCKET, F.coalesce(F.col(LABEL), F.lit(UNKNOWN)).alias(LABEL), "__v"))
     prob = {"median": 0.5, "p95": 0.95, "p99": 0.99}
     if metric in prob and exact == "sort":
         return group_quantiles(rel, [BUCKET, LABEL], "__v", [prob[metric]], names=["value"])

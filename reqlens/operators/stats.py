@@ -3,8 +3,9 @@
 Every function is one declarative aggregation: hash aggregate with a partial
 (map-side) and a final stage, so a hot URL or IP costs one partial buffer per
 task, never one task holding its rows.  Quantiles are exact: by default
-(``exact="sort"``) ``operators/quantiles.py`` ranks ``(group, value)`` counts in
-blocks of values, so no task ever holds a whole group, even if one key has a
+(``exact="sort"``) a sketch computed beside the other aggregates bounds every
+wanted rank and a second scan counts what lies between the bounds
+(``operators/quantiles.py``), so a task holds a small share of a group, even if one key has a
 third of all rows.  ``exact=True`` uses Spark's ``percentile`` instead (faster
 on small groups; its buffer holds every *distinct* value of a group) and
 ``exact=False`` the bounded ``percentile_approx`` sketch.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import bucket_of, to_millis
 from reqlens.functions.urls import generalize_with_rules, strip_query
-from reqlens.operators.quantiles import stacked_quantiles
+from reqlens.operators.quantiles import quantiles_between, rank_bounds
 
 # Metric set of the per-URL statistics and the summary.
 URL_METRICS = ("avg", "sum", "median", "std", "min", "max", "p90", "p95", "p99")
@@ -84,14 +85,22 @@ def metric_aggs(col: str, metrics: Sequence[str], prefix: str, exact: bool | str
     return aggs, finals
 
 
+def _sorted_probs(metrics: Sequence[str]) -> dict[str, float]:
+    return {m: _PROB[m] for m in metrics if m in _PROB}
+
+
+def bound_aggs(fields: Sequence[tuple[str, str]], metrics: Sequence[str], exact: bool | str) -> list[Column]:
+    """The sketch aggregates that ``with_sorted_quantiles`` needs beside the others."""
+    return rank_bounds(fields, list(_sorted_probs(metrics).values())) if exact == "sort" and fields else []
+
+
 def with_sorted_quantiles(agg: DataFrame, rows: DataFrame, keys: Sequence[str],
                           fields: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
-    """Join range-sorted exact quantiles (``<prefix>_<metric>``) onto an
-    aggregate that has one row per ``keys`` (both sides are per-group tables)."""
-    qm = {m: _PROB[m] for m in metrics if m in _PROB}
-    if not qm or not fields:
+    """Join exact quantiles (``<prefix>_<metric>``) onto an aggregate of
+    ``rows`` by ``keys`` that has the columns of ``bound_aggs``."""
+    if not fields:
         return agg
-    q = stacked_quantiles(rows, keys, fields, qm)
+    q = quantiles_between(rows, agg, keys, fields, _sorted_probs(metrics))
     if not keys:
         # a single global row: one scalar subquery returning all quantiles as a struct
         packed = q.select(F.struct(*q.columns).alias("s")).scalar()
@@ -156,9 +165,10 @@ def summary_stats(df: DataFrame, url: str = "request_url", client_ip: str = "cli
         return df.select(F.col(c).alias("k")).filter(F.col("k").isNotNull()).distinct() \
             .select(F.count(F.lit(1))).scalar()
 
-    main = df.agg(F.count(F.lit(1)).alias("total_requests"), *aggs)
-    if exact == "sort" and timed:
-        main = with_sorted_quantiles(main, df, [], [(rt, "response_time")], SUMMARY_METRICS)
+    quantiled = [(f, "response_time") for f in timed]
+    main = df.agg(F.count(F.lit(1)).alias("total_requests"), *aggs, *bound_aggs(quantiled, SUMMARY_METRICS, exact))
+    if exact == "sort":
+        main = with_sorted_quantiles(main, df, [], quantiled, SUMMARY_METRICS)
     unique = [n_distinct(c).alias(n) for c, n in ((url, "unique_urls"), (client_ip, "unique_ips")) if present(df, c)]
     return main.select("total_requests", *unique, *finals)
 
@@ -210,9 +220,10 @@ def url_stats(df: DataFrame, url: str = "request_url", status: str | None = "sta
         a, f = metric_aggs(b, ("avg", "std"), b, exact)
         aggs += a
         finals += f
-    out = d.groupBy(url).agg(*aggs)
+    quantiled = [(f, "response_time") for f in timed] + [(f, f) for f in others]
+    out = d.groupBy(url).agg(*aggs, *bound_aggs(quantiled, URL_METRICS, exact))
     if exact == "sort":
-        out = with_sorted_quantiles(out, d, [url], [(f, "response_time") for f in timed] + [(f, f) for f in others], URL_METRICS)
+        out = with_sorted_quantiles(out, d, [url], quantiled, URL_METRICS)
     out = out.select(*finals)
     if with_status_map and present(df, status):
         smap = status_map(d, status, url).withColumnRenamed(url, "url")
@@ -249,9 +260,10 @@ def time_stats(df: DataFrame, time: str = "time", status: str | None = "status",
         aggs.append(F.avg("__rt").alias("avg_response_time"))
         if exact != "sort":
             aggs.append(quantiles(F.col("__rt"), [0.95], exact)[0].alias("p95_response_time"))
-    out = rows.groupBy("time_bucket").agg(*aggs)
-    if timed and exact == "sort":
-        out = with_sorted_quantiles(out, rows, ["time_bucket"], [("__rt", "rt")], ["p95"]) \
+    quantiled = [(f, "rt") for f in timed]
+    out = rows.groupBy("time_bucket").agg(*aggs, *bound_aggs(quantiled, ["p95"], exact))
+    if exact == "sort":
+        out = with_sorted_quantiles(out, rows, ["time_bucket"], quantiled, ["p95"]) \
             .withColumnRenamed("rt_p95", "p95_response_time")
     if coded:
         out = out.withColumn("error_rate", F.col("error_count") / F.col("count"))
@@ -284,10 +296,10 @@ def minute_table(df: DataFrame, time: str = "time", status: str = "status",
     """A10: per minute — requests, errors, error % of all rows, exact-code
     counts (200/400/500, reference parity) and class counts (2xx/4xx/5xx),
     average / p95 / p99 response time."""
-    s = F.col(status).try_cast("int")
-    r = F.col(rt).try_cast("double")
-    out = (df.filter(F.col(time).isNotNull())
-            .groupBy(bucket_of(df, time, "1min").alias("time"))
+    s, r = F.col("__s"), F.col("__rt")
+    rows = df.filter(F.col(time).isNotNull()).select(
+        bucket_of(df, time, "1min").alias("time"), F.col(status).try_cast("int").alias("__s"), F.col(rt).try_cast("double").alias("__rt"))
+    out = (rows.groupBy("time")
             .agg(F.count(F.lit(1)).alias("request_count"),
                  F.count_if(s >= 400).alias("error_count"),
                  F.count_if(s == 200).alias("status_2xx"),
@@ -297,10 +309,8 @@ def minute_table(df: DataFrame, time: str = "time", status: str = "status",
                  F.count_if((s >= 400) & (s < 500)).alias("class_4xx"),
                  F.count_if(s >= 500).alias("class_5xx"),
                  F.avg(r).alias("avg_response_time"),
-                 *([] if exact == "sort" else [quantiles(r, [0.95, 0.99], exact).alias("__q")])))
+                 *(bound_aggs([("__rt", "rt")], ["p95", "p99"], exact) or [quantiles(r, [0.95, 0.99], exact).alias("__q")])))
     if exact == "sort":
-        rows = df.filter(F.col(time).isNotNull()).select(bucket_of(df, time, "1min").alias("time"),
-                                                         F.col(rt).try_cast("double").alias("__rt"))
         out = with_sorted_quantiles(out, rows, ["time"], [("__rt", "rt")], ["p95", "p99"])
         q95, q99 = F.col("rt_p95"), F.col("rt_p99")
     else:

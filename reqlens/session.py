@@ -37,6 +37,8 @@ def get_spark(master: str | None = None, app: str = "reqlens",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # sketches of up to so many groups stay in a task's hash map before it sorts instead (128 by default)
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

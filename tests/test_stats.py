@@ -154,3 +154,67 @@ def test_calculate_stats_snapshot(table):
     secs = stats.calculate_stats(df, ["summary", "ip"], status="elb_status_code", materialize="snapshot")
     assert secs["summary"].first()["total_requests"] == 100
     assert secs["ip_stats"].count() == 2
+
+
+# --------------------------------------------------------------- quantiles
+PROBS = [0.0, 0.1, 0.5, 0.9, 0.95, 0.99, 1.0]
+
+
+def _equal_percentile(df):
+    """group_quantiles equals Spark's percentile."""
+    from pyspark.sql import functions as F
+    from reqlens.operators.quantiles import group_quantiles
+    got = {r["g"]: list(r)[1:] for r in group_quantiles(df, ["g"], "v", PROBS).collect()}
+    want = {r["g"]: r["q"] for r in df.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(F.percentile("v", PROBS).alias("q")).collect()}
+    assert set(got) == set(want)
+    for g in want:
+        assert all(a == b or (a != a and b != b) or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+
+
+def _shapes(spark):
+    """Ranges of every kind: one hot key of distinct epoch seconds, a narrow
+    band, clusters far apart, ties, infinities, tiny groups."""
+    from pyspark.sql import functions as F
+    i = F.col("id")
+    v = {"epochs": 1.7e9 + (i * 7919) % 100003, "band": 20000 + (i % 50000) / 250, "far": F.exp((i % 1400) - 700.0),
+         "ties": F.pmod(i, F.lit(3)) * 1.0, "skew": F.when(i % 1000 == 0, i * 1e6).otherwise(i % 17 / 16),
+         "edges": F.when(i % 3 == 0, F.lit(float("inf"))).when(i % 3 == 1, F.lit(float("-inf"))).otherwise(i * 1.0)}
+    out = None
+    for g, x in v.items():
+        part = spark.range(100003).select(F.lit(g).alias("g"), x.cast("double").alias("v"))
+        out = part if out is None else out.union(part)
+    few = [("one", 5.0), ("two", 1.0), ("two", 2.0), ("inf", float("inf")), ("inf", float("inf")), ("pair", float("-inf")), ("pair", 4.0),
+           ("gone", None), ("gone", float("nan")), ("some", None), ("some", 3.0), (None, 1.0)]
+    return out.union(spark.createDataFrame(few, "g string, v double")).where("g IS NOT NULL")
+
+
+def test_quantiles_equal_percentile_for_any_range(spark):
+    _equal_percentile(_shapes(spark))
+
+
+def test_large_groups_are_split_again(spark, monkeypatch):
+    """Groups beyond LARGE count parts of their intervals first; the part of a
+    wanted rank is split into its values."""
+    from reqlens.operators import quantiles
+    for name, value in (("LARGE", 500), ("PARTS", 4), ("ACCURACY", 50)):
+        monkeypatch.setattr(quantiles, name, value)
+    _equal_percentile(_shapes(spark))
+
+
+def test_a_task_holds_a_small_share_of_a_hot_group(spark):
+    """200,000 distinct epoch seconds in one key make few cells, spread by value."""
+    from pyspark.sql import functions as F
+    from reqlens.operators import quantiles as Q
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), (F.col("id") + 1_700_000_000).cast("double").alias("v"))
+    bounds = df.groupBy("g").agg(*Q.rank_bounds([("v", "v")], [0.5, 0.95])).first()
+    low, high = bounds["__b_v"][:2], bounds["__b_v"][2:]
+    assert all(a <= 1_700_000_000 + p * 199_999 <= b for a, b, p in zip(low, high, (0.5, 0.95)))
+    assert sum(b - a + 1 for a, b in zip(low, high)) < 0.02 * 200_000
+
+
+def test_number_text_and_empty_input(spark):
+    from reqlens.operators.quantiles import group_quantiles
+    df = spark.createDataFrame([("a", "1"), ("a", "x"), ("a", "2.5"), ("b", "-")], "g string, v string")
+    assert [tuple(r) for r in group_quantiles(df, ["g"], "v", [0.5]).collect()] == [("a", 1.75)]
+    assert group_quantiles(df.limit(0), ["g"], "v", [0.5]).collect() == []
+    assert group_quantiles(df, [], "v", [1.0, 0.0], names=["hi", "lo"]).first().asDict() == {"hi": 2.5, "lo": 1.0}
