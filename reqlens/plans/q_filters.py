@@ -96,7 +96,7 @@ def f9_top_groups(spark, sf):
 _PATTERNS_SQL = f"""
 SELECT {duck.generalize_url('url')} AS pattern, CAST(sum(n) AS BIGINT) AS count
 FROM (SELECT split_part(request_url, '?', 1) AS url, count(*) AS n FROM requests GROUP BY 1)
-GROUP BY 1 ORDER BY count DESC, pattern LIMIT 50"""
+GROUP BY 1"""
 
 
 @register("f10_pattern_include_exclude", with_requests(f"""
@@ -104,7 +104,7 @@ SELECT pattern, count FROM ({_PATTERNS_SQL})
 WHERE NOT (contains(lower(pattern), 'spam') OR contains(lower(pattern), 'pills'))
   AND (contains(lower(pattern), 'blog') OR contains(lower(pattern), '/en/'))"""))
 def f10_pattern_include_exclude(spark, sf):
-    pats = stats.uri_patterns(requests_relation(spark, sf), max_patterns=50)
+    pats = stats.uri_patterns(requests_relation(spark, sf))
     return FL.filter_pattern_table(pats, include=F10_INCLUDE, exclude=F10_EXCLUDE)
 
 
@@ -112,7 +112,7 @@ def f10_pattern_include_exclude(spark, sf):
 SELECT pattern, count FROM ({_PATTERNS_SQL})
 WHERE NOT regexp_matches(pattern, '^https') AND regexp_matches(pattern, 'example[.](org|net)')"""))
 def f10b_pattern_regex(spark, sf):
-    pats = stats.uri_patterns(requests_relation(spark, sf), max_patterns=50)
+    pats = stats.uri_patterns(requests_relation(spark, sf))
     return FL.filter_pattern_table(pats, include=[r"example[.](org|net)"], exclude=["^https"],
                                    case_sensitive=True, use_regex=True)
 

@@ -103,6 +103,10 @@ def k7_pivot_json(spark, sf):
     return W.read_json_lines(spark, path, "row STRING, col TIMESTAMP_NTZ, value BIGINT")
 
 
+# the characters that a literal part of a rule escapes
+_ESC = r"([()\[\]{}?+|^$\\.&~# \t\n\r" + "\x0b\x0c" + r"-])"
+
+
 def _top_pattern_rules_sql() -> str:
     return f"""
 SELECT pattern AS replacement, CAST(row_number() OVER (ORDER BY count DESC, pattern) - 1 AS INTEGER) AS o FROM (
@@ -112,11 +116,13 @@ SELECT pattern AS replacement, CAST(row_number() OVER (ORDER BY count DESC, patt
 
 
 @register("k8_rule_file_roundtrip", with_requests(f"""
-SELECT CAST(row_number() OVER (ORDER BY src, o, replacement) - 1 AS INTEGER) AS ord, replacement FROM (
-  SELECT replacement, min(src * 1000000 + o) // 1000000 AS src, min(src * 1000000 + o) % 1000000 AS o FROM (
-    SELECT 0 AS src, o, replacement FROM (VALUES {", ".join(f"({i}, {duck.sql_str(x.replacement)})"
-                                                        for i, x in enumerate(P5_RULES))}) t(o, replacement)
-    UNION ALL SELECT 1 AS src, o, replacement FROM ({_top_pattern_rules_sql()}))
+SELECT CAST(row_number() OVER (ORDER BY src, o, replacement) - 1 AS INTEGER) AS ord, pattern, replacement FROM (
+  SELECT replacement, arg_min(pattern, src * 1000000 + o) AS pattern,
+         min(src * 1000000 + o) // 1000000 AS src, min(src * 1000000 + o) % 1000000 AS o FROM (
+    SELECT 0 AS src, o, pattern, replacement FROM (VALUES {", ".join(
+        f"({i}, {duck.sql_str(x.pattern)}, {duck.sql_str(x.replacement)})" for i, x in enumerate(P5_RULES))}) t(o, pattern, replacement)
+    UNION ALL SELECT 1 AS src, o, '^' || replace(regexp_replace(replacement, {duck.sql_str(_ESC)}, '\\\\\\1', 'g'), '*', '.*') || '$' AS pattern,
+                     replacement FROM ({_top_pattern_rules_sql()}))
   GROUP BY replacement)"""))
 def k8_rule_file_roundtrip(spark, sf):
     # the stored rule document (as the reference writes it) ...
@@ -130,7 +136,7 @@ def k8_rule_file_roundtrip(spark, sf):
     new_df = spark.createDataFrame([(i, x.pattern, x.replacement) for i, x in enumerate(new)],
                                    "ord INT, pattern STRING, replacement STRING")
     path = W.save_rules(merge_rules(stored, new_df), shared_dir(spark, "rules"))
-    return W.load_rules(spark, path).select("ord", "replacement")
+    return W.load_rules(spark, path).select("ord", "pattern", "replacement")
 
 
 _HTTPD = PRESETS["httpd"]

@@ -299,13 +299,12 @@ def s20_success_rates(spark, sf):
 
 
 @register("s25_parse_preview", _sql("nginx", f"""
-SELECT value, m AS matched, CASE WHEN m THEN 11 END AS n_groups FROM (
-  SELECT value, regexp_matches(value, {duck.sql_str('^(?:' + _NGX.pattern + ')')}) AND NOT contains(value, chr(1))
-         AS m FROM lines)"""))
+SELECT value, m AS matched, CASE WHEN m THEN concat_ws('|', {", ".join(f"g['{c}']" for c in _NGX.columns)}) END AS groups FROM (
+  SELECT value, regexp_matches(value, {duck.sql_str('^(?:' + _NGX.pattern + ')')}) AS m,
+         regexp_extract(value, {duck.sql_str('^(?:' + _NGX.pattern + ')')}, [{", ".join(duck.sql_str(c) for c in _NGX.columns)}]) AS g FROM lines)"""))
 def s25_parse_preview(spark, sf):
     p = TX.parse_preview(land_lines(spark, sf, "nginx"), _NGX)
-    return p.select("value", "matched", F.size("groups").alias("n_groups")).withColumn(
-        "n_groups", F.when(F.col("matched"), F.col("n_groups")))
+    return p.select("value", "matched", F.array_join("groups", "|").alias("groups"))
 
 
 def _line_type_sql() -> str:

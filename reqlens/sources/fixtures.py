@@ -26,7 +26,7 @@ broadcast by the size-checked ``autoBroadcastJoinThreshold``, never by hint).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUEST_COLUMNS = [
@@ -139,7 +139,7 @@ def _clf_time(c, eid):
     return _dash(F.when(eid % 4 == 1, east).otherwise(utc))
 
 
-def render_lines(req: DataFrame, fmt: str) -> DataFrame:
+def render_lines(req: DataFrame, fmt: str, *keep: Column) -> DataFrame:
     """``(value)`` lines of ``fmt`` for every request row."""
     eid = F.col("event_id")
     s = lambda x: x.cast("string")
@@ -193,7 +193,7 @@ def render_lines(req: DataFrame, fmt: str) -> DataFrame:
             {"ignoreNullFields": "false"})
     else:
         raise ValueError(f"unknown line format {fmt!r}")
-    return req.select(line.alias("value"))
+    return req.select(*keep, line.alias("value"))
 
 
 def junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

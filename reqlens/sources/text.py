@@ -355,17 +355,21 @@ def json_defaults(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Detection and success rates
 # ---------------------------------------------------------------------------
-def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:
-    """Score all lines in one distributed pass (or the first ``sample``) as ALB / JSON / APACHE; the best score wins (ties in
-    that order); none → GROK with confidence 0.1."""
-    v = F.col("value")
+def line_scores(v: Column) -> tuple[Column, Column, Column]:
+    """Whether a line looks like ALB, JSON, APACHE."""
     n_tok = F.size(F.split(strip_ws(v), r"\s+"))
     alb = F.lit(False)
     for p in ALB_PREFIXES:
         alb = alb | v.startswith(p)
     alb = alb & (n_tok > 10) & v.contains("app/")
     js = (v.startswith("{") | v.startswith("[")) & F.try_parse_json(v).isNotNull()
-    ap = v.contains('"') & v.contains("[") & v.rlike(APACHE_HINT)
+    return alb, js, v.contains('"') & v.contains("[") & v.rlike(APACHE_HINT)
+
+
+def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """Score all lines in one distributed pass (or the first ``sample``) as ALB / JSON / APACHE; the best score wins (ties in
+    that order); none → GROK with confidence 0.1.  ``mixed.file_formats`` decides file by file."""
+    alb, js, ap = line_scores(F.col("value"))
     head = lines.select("value") if sample is None else lines.select("value").limit(sample)
     s = head.agg(F.count_if(alb).alias("alb"), F.count_if(js).alias("json"), F.count_if(ap).alias("apache"),
                  F.count(F.lit(1)).alias("n"))
