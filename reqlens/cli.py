@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from reqlens.functions.fields import find_field, require_field
+from reqlens.functions.urls import Rule, rules_from_patterns
 from reqlens.operators import filters as FL
 from reqlens.operators import pivot as PV
 from reqlens.operators import series as SE
@@ -24,9 +25,9 @@ from reqlens.sinks import writers as W
 from reqlens.sources import text as TX
 
 
-def _fields(res: TX.ParseResult) -> dict[str, str | None]:
+def _fields(res: TX.ParseResult, a) -> dict[str, str | None]:
     cols, fm = res.records.columns, res.format.field_map
-    return {"time": find_field(cols, "timestamp", fm), "url": find_field(cols, "url", fm),
+    return {"time": a.time or find_field(cols, "timestamp", fm), "url": find_field(cols, "url", fm),
             "status": find_field(cols, "status", fm), "rt": find_field(cols, "responseTime", fm),
             "ip": find_field(cols, "clientIp", fm)}
 
@@ -36,6 +37,11 @@ def _read(spark, a) -> TX.ParseResult:
                             log_regex=a.log_regex, partitions=a.partitions)
 
 
+def _rules(spark, a) -> list[Rule] | None:
+    """The rules of ``--rules``, a file of URI patterns in order of precedence."""
+    return rules_from_patterns(FL.read_uri_patterns(spark, a.rules)) if a.rules else None
+
+
 def _write(df: DataFrame, out: str, csv: bool = False, sep: str = ",") -> str:
     return W.write_csv(df, out, sep=sep) if csv else W.write_json_lines(df, out)
 
@@ -49,7 +55,7 @@ def cmd_detect(spark, a) -> dict:
 
 def cmd_filter(spark, a) -> dict:
     res = _read(spark, a)
-    f = _fields(res)
+    f = _fields(res, a)
     df = res.records
     if a.start or a.end:
         df = FL.filter_time(df, a.start, a.end, time=f["time"], log_tz=a.log_tz)
@@ -70,7 +76,7 @@ def cmd_filter(spark, a) -> dict:
 
 def cmd_stats(spark, a) -> dict:
     res = _read(spark, a)
-    f = _fields(res)
+    f = _fields(res, a)
     secs = ST.calculate_stats(res.records, a.types.split(","), url=f["url"], time=f["time"], status=f["status"],
                               rt=f["rt"], client_ip=f["ip"], interval=a.interval,
                               processing_fields=[x for x in (a.fields or "").split(",") if x],
@@ -81,8 +87,8 @@ def cmd_stats(spark, a) -> dict:
 
 def cmd_patterns(spark, a) -> dict:
     res = _read(spark, a)
-    f = _fields(res)
-    pats = ST.uri_patterns(res.records, f["url"], a.include_params, a.min_count, a.max_count, a.max)
+    f = _fields(res, a)
+    pats = ST.uri_patterns(res.records, f["url"], a.include_params, a.min_count, a.max_count, a.max, _rules(spark, a))
     # rules that an earlier run left come first; the merge is read from their old folder and so lands beside it
     old = _stored_rules(spark, f"{a.out}/rules")
     rules = SE.update_rule_store(spark, old, pats.withColumnRenamed("pattern", SE.LABEL))
@@ -100,7 +106,7 @@ def _stored_rules(spark, path: str) -> DataFrame | None:
 
 def cmd_pivot(spark, a) -> dict:
     res = _read(spark, a)
-    f = _fields(res)
+    f = _fields(res, a)
     alias = {"url": f["url"], "time": f["time"], "status": f["status"], "client_ip": f["ip"]}
     row, col = alias.get(a.row, a.row), alias.get(a.col, a.col)
     long = PV.pivot_long(res.records, row, col, a.value, a.agg, interval=a.interval if col == f["time"] else None,
@@ -111,19 +117,19 @@ def cmd_pivot(spark, a) -> dict:
 
 def cmd_series(spark, a) -> dict:
     res = _read(spark, a)
-    f = _fields(res)
-    df, n = res.records, a.top or 20
+    f = _fields(res, a)
+    df, n, rules = res.records, a.top or 20, _rules(spark, a)
     if a.kind == "uri":
-        out = SE.requests_per_uri(df, f["time"], f["url"], a.interval, n)
+        out = SE.requests_per_uri(df, f["time"], f["url"], a.interval, n, rules)
     elif a.kind == "target":
         out = SE.requests_per_target(df, f["time"], require_field(df, "target_ip"), require_field(df, "target_port"),
                                      interval=a.interval, top_n=n)
     elif a.kind == "client":
         out = SE.requests_per_client(df, f["time"], f["ip"], a.interval, n)
     elif a.kind in ("received_bytes", "sent_bytes"):
-        out, _ = SE.bytes_per_uri(df, require_field(df, a.kind), f["time"], f["url"], a.interval, n)
+        out, _ = SE.bytes_per_uri(df, require_field(df, a.kind), f["time"], f["url"], a.interval, n, rules)
     else:
-        out = SE.processing_time_per_uri(df, a.field or f["rt"], a.metric, f["time"], f["url"], a.interval, n)
+        out = SE.processing_time_per_uri(df, a.field or f["rt"], a.metric, f["time"], f["url"], a.interval, n, rules)
     return {"path": _write(out, a.out)}
 
 
@@ -143,6 +149,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--apache-format")
         s.add_argument("--log-regex")
         s.add_argument("--partitions", type=int)
+        s.add_argument("--time", help="time field, e.g. request_creation_time; by default the format's")
         if out:
             s.add_argument("--out", required=True)
         s.set_defaults(fn=fn)
@@ -168,6 +175,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--min-count", type=int, default=1)
     s.add_argument("--max-count", type=int)
     s.add_argument("--max", type=int, default=100)
+    s.add_argument("--rules")
     s = add("pivot", cmd_pivot)
     s.add_argument("--row", required=True)
     s.add_argument("--col", required=True)
@@ -184,6 +192,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--top", type=int)
     s.add_argument("--field")
     s.add_argument("--metric", default="avg")
+    s.add_argument("--rules")
     s = add("export", cmd_export)
     s.add_argument("--sep", default=",")
     return p

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import bucket_of, client_label, status_class, target_key, to_millis
-from reqlens.functions.urls import (OTHERS, UNKNOWN, Rule, generalize_with_rules, rules_from_patterns,
-                                    scatter_label, url_pattern_label)
+from reqlens.functions.rule_index import with_pattern
+from reqlens.functions.urls import (OTHERS, UNKNOWN, Rule, rules_from_patterns, scatter_label, url_pattern_label)
 from reqlens.operators.rules import merge_rules
 from reqlens.operators.quantiles import group_quantiles
 from reqlens.operators.stats import quantiles
@@ -65,9 +65,9 @@ def rule_leaders(spark, rules: Sequence[Rule], generalize: bool = True) -> list[
         return list(dict.fromkeys(reps))
     if not reps:
         return []
-    df = spark.createDataFrame([(x,) for x in reps], "p STRING")
-    out = df.select(generalize_with_rules(F.col("p"), list(rules)).alias("p")).distinct().collect()
-    return sorted(r["p"] for r in out)
+    df = spark.createDataFrame([(x,) for x in dict.fromkeys(reps)], "p STRING")
+    out = with_pattern(df, "p", rules, "label").select("label").distinct().collect()
+    return sorted(r["label"] for r in out)
 
 
 def _top_series(cells: DataFrame, value: str, top_n: int, lead: DataFrame | None,
@@ -84,7 +84,7 @@ def label_distinct_urls(df: DataFrame, url: str, rules: Sequence[Rule] | None =
     a small map is broadcast, a large one joins by shuffle with skew
     splitting — no hint, so nothing unbounded is broadcast."""
     urls = df.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
-    lab = urls.select("__url", url_pattern_label(F.col("__url"), list(rules) if rules else None).alias(label))
+    lab = with_pattern(urls, "__url", rules, label)
     j = df.join(lab, F.col(url) == F.col("__url"), "left")
     return j.withColumn(label, F.coalesce(F.col(label), F.lit(UNKNOWN))).drop("__url", url)
 
@@ -187,12 +187,15 @@ def processing_time_per_uri(df: DataFrame, field: str = "target_processing_time"
     d = df.filter(F.col(time).isNotNull() & F.col(field).try_cast("double").isNotNull())
     rows = d.select(bucket_of(d, time, interval).alias(BUCKET), F.col(url).alias("__u"), F.col(field).try_cast("double").alias("__v"))
     urls = (rows.groupBy(F.col("__u").alias("__url")).agg(F.sum("__v").alias("__s"))
-            .withColumn(LABEL, url_pattern_label(F.col("__url"), list(rules) if rules else None)))
+            .where("__url IS NOT NULL"))
+    urls = with_pattern(urls, "__url", rules, LABEL)
     if rules:
         lead = _lead_from_labels(df.sparkSession, rule_leaders(df.sparkSession, rules))
     else:
-        lead = leaders(urls, "__s", top_n)
-    final = relabel(urls.where("__url IS NOT NULL"), lead).select("__url", LABEL)
+        # rows without a URL are Unknown, and may be a leader
+        unknown = rows.where("__u IS NULL").groupBy(F.lit(UNKNOWN).alias(LABEL)).agg(F.sum("__v").alias("__s"))
+        lead = leaders(urls.select(LABEL, "__s").union(unknown), "__s", top_n)
+    final = relabel(urls, lead).select("__url", LABEL)
     rel = (rows.join(final, F.col("__u") == F.col("__url"), "left")
            .select(BUCKET, F.coalesce(F.col(LABEL), F.lit(UNKNOWN)).alias(LABEL), "__v"))
     prob = {"median": 0.5, "p95": 0.95, "p99": 0.99}

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.functions.exprs import bucket_of, to_millis
-from reqlens.functions.urls import generalize_with_rules, strip_query
+from reqlens.functions.rule_index import with_pattern
+from reqlens.functions.urls import strip_query
 from reqlens.operators.quantiles import quantiles_between, rank_bounds
 
 # Metric set of the per-URL statistics and the summary.
@@ -131,8 +132,7 @@ def uri_patterns(df: DataFrame, url: str = "request_url", include_params: bool =
     re-aggregates — the expensive string work runs per distinct URL, not per row.
     """
     per_url = url_counts(df, url, include_params)
-    pat = per_url.groupBy(generalize_with_rules(F.col("url"), rules).alias("pattern")) \
-        .agg(F.sum("count").alias("count"))
+    pat = with_pattern(per_url, "url", rules, "pattern").groupBy("pattern").agg(F.sum("count").alias("count"))
     cond = F.col("count") >= min_count
     if max_count is not None:
         cond = cond & (F.col("count") <= max_count)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions import exprs as X
 from reqlens.functions import urls as U
+from reqlens.functions.rule_index import with_pattern
 from reqlens.operators import stats
 from reqlens.plans import duck
 from reqlens.plans.registry import normalized, r, register
@@ -126,6 +127,22 @@ def p6_wildcard_rules(spark, sf):
     return urls.select("url", U.rule_label(F.col("url"), rules).alias("rule_pattern"))
 
 
+# rules made by count: the longest number first, three languages
+MANY_RULES = U.rules_from_patterns([f"*/{lang}/{n}*" for lang in ("en", "de", "es") for n in range(799, -1, -1)])
+
+
+@register("p5c_many_rules", with_requests(f"""
+SELECT u.url, u.n, coalesce(min_by(r.pattern, r.ord), {duck.generalize_url('u.url')}) AS label
+FROM (SELECT request_url AS url, count(*) AS n FROM requests GROUP BY 1) u
+LEFT JOIN (SELECT l.ord * 800 + 799 - n AS ord, '*/' || l.lang || '/' || n || '*' AS pattern
+           FROM (VALUES (0, 'en'), (1, 'de'), (2, 'es')) l(ord, lang), range(800) t(n)) r ON u.url LIKE replace(r.pattern, '*', '%')
+GROUP BY 1, 2"""))
+def p5c_many_rules(spark, sf):
+    """2,400 rules through the rule index, per distinct URL."""
+    urls = requests_relation(spark, sf).groupBy(F.col("request_url").alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    return with_pattern(urls, "url", MANY_RULES, "label")
+
+
 @register("p7_scatter_label", with_requests("""
 SELECT DISTINCT request_url AS url,
        CASE WHEN request_url IS NULL THEN 'Unknown'

@@ -34,3 +34,8 @@ def test_cli_commands(spark, tmp_path):
         "https://ex.com:443/api/users/*", "https://ex.com:443/api/users/*?*"]
     cli.main(["export", str(log), "--format", "alb", "--sep", ";", "--out", str(tmp_path / "e")], spark=spark)
     assert spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "e")).count() == 2
+    rules = tmp_path / "rules.txt"
+    rules.write_text("https://ex.com:443/api/*\n")
+    cli.main(["series", str(log), "--format", "alb", "--rules", str(rules), "--interval", "1min", "--time", "request_creation_time",
+              "--out", str(tmp_path / "u")], spark=spark)
+    assert {r["label"] for r in spark.read.json(str(tmp_path / "u")).collect()} <= {"https://ex.com:443/api/*"}
