@@ -170,3 +170,19 @@ def s24_feature_availability(spark, sf):
             F.lit(name).alias("line_set"), "f.feature", "f.available", "n_records")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register("s5b_open_json_keys", _sql("json", """
+SELECT key, n, CASE key WHEN 'status' THEN 'bigint' WHEN 'bytes_sent' THEN 'bigint' WHEN 'response_time' THEN 'double' ELSE 'string' END AS type,
+       s5xx FROM (
+  SELECT key, count(*) AS n, CAST(sum(CASE WHEN st >= 500 THEN 1 ELSE 0 END) AS BIGINT) AS s5xx FROM (
+    SELECT unnest(json_keys(value)) AS key, TRY_CAST(json_extract(value, '$.status') AS BIGINT) AS st
+    FROM lines WHERE starts_with(value, '{') AND json_valid(value)) GROUP BY 1)"""))
+def s5b_open_json_keys(spark, sf):
+    """Keys of landed VARIANT records, and how often each comes with a server error."""
+    res = TX.open_records(land_lines(spark, sf, "json"), keep=[])
+    path = shared_dir(spark, "open-json")
+    res.records.write.parquet(path)
+    landed = spark.read.parquet(path)
+    failed = TX.open_keys(TX.shred(landed, {"status": "bigint"}).where("status >= 500")).select("key", F.col("n").alias("s5xx"))
+    return TX.open_keys(landed).join(failed, "key", "left").select("key", "n", "type", F.coalesce("s5xx", F.lit(0)).alias("s5xx"))

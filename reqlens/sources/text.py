@@ -250,39 +250,55 @@ def _key_path(k: str) -> str:
     return "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _variant_type(t: str | None) -> str:
-    t = (t or "").upper()
-    if t.startswith(("BIGINT", "INT", "SMALLINT", "TINYINT")):
-        return "bigint"
-    if t.startswith(("DECIMAL", "DOUBLE", "FLOAT")):
-        return "double"
-    if t.startswith("BOOLEAN"):
-        return "boolean"
-    return "string"
-
-
-def infer_json_fields(lines: DataFrame, max_keys: int = MAX_JSON_KEYS) -> list[tuple[str, str]]:
-    """Top-level keys of every JSON object in the input with one merged type
-    each (two distributed aggregations: the key set, then the types).
+def _objects(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, value, __v``: each line parsed once; null where it is no object."""
+    v = F.when(F.col("value").startswith("{"), F.try_parse_json("value"))
+    return _last_key_wins(lines).select(*keep, "value", v.alias("__v"))
+
+
+def open_records(lines: DataFrame, keep: list[str] | None = None, column: str = "record") -> ParseResult:
+    """S5 without a schema: every JSON object as one VARIANT, whatever keys
+    there are; one parse per line.  Land it once (``writers.save_snapshot``
+    keeps VARIANT columns), then ``open_keys`` and ``shred`` read no text."""
+    keep = [c for c in lines.columns if c != "value"] if keep is None else list(keep)
+    stage = _objects(lines, keep)
+    # outer generators and a filter on what they make: any other filter would be pushed down and parse the line again
+    v = F.col("__v")
+    records = stage.select(*keep, F.explode_outer(F.when(v.isNotNull(), F.array(v))).alias(column)).where(F.col(column).isNotNull())
+    rejected = stage.select(*keep, F.explode_outer(F.when(v.isNull(), F.array("value"))).alias("value")).where("value IS NOT NULL")
+    return ParseResult(records, rejected, PRESETS["json"])
+
+
+def open_keys(records: DataFrame, column: str = "record") -> DataFrame:
+    """``(key, type, n)`` of every top-level key: the merged type and the
+    number of objects that have it.  A grouped table, so keys may be many."""
+    each = records.select(column).lateralJoin(records.sparkSession.tvf.variant_explode(F.col(column).outer()))
+    return each.groupBy("key").agg(F.schema_of_variant_agg("value").alias("__t"), F.count(F.lit(1)).alias("n")).select(
+        "key", variant_type(F.col("__t")).alias("type"), "n")
 
-    Keys come in order of first appearance; the key set is a schema, so it is
-    small — more than ``max_keys`` distinct keys is an error, not a cut.
-    """
-    objs = _last_key_wins(lines).filter(_json_object(F.col("value"))).select(
-        F.monotonically_increasing_id().alias("__line"), "value")
-    keys = (objs.select("__line", F.posexplode(F.json_object_keys("value")).alias("__pos", "k"))
-            .groupBy("k").agg(F.min(F.struct("__line", "__pos")).alias("__first"))
-            .orderBy("__first").limit(max_keys + 1).select("k").collect())
-    if len(keys) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct JSON keys; pass a schema")
-    names = [r["k"] for r in keys]
-    if not names:
-        return []
-    v = F.try_parse_json(F.col("value"))
-    types = objs.select(v.alias("v")).agg(*[
-        F.schema_of_variant_agg(F.try_variant_get(F.col("v"), _key_path(k), "variant")).alias(f"t{i}")
-        for i, k in enumerate(names)]).first()
-    return [(k, _variant_type(types[f"t{i}"])) for i, k in enumerate(names)]
+
+def shred(records: DataFrame, fields: dict[str, str], column: str = "record") -> DataFrame:
+    """Add chosen keys (name -> type) as columns."""
+    return records.select("*", *(F.try_variant_get(column, _key_path(k), t).alias(k) for k, t in fields.items()))
+
+
+def variant_type(t: Column) -> Column:
+    """The column type that holds all values of a merged VARIANT type."""
+    return (F.when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT)"), F.lit("bigint")).when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit("double"))
+            .when(t.startswith("BOOLEAN"), F.lit("boolean")).otherwise(F.lit("string")))
+
+
+def infer_json_fields(lines: DataFrame, max_keys: int = MAX_JSON_KEYS) -> list[tuple[str, str]] | None:
+    """Top-level keys of every JSON object in the input with one merged type
+    each, in order of first appearance, from one pass; None for more than
+    ``max_keys``: too many for columns (``open_records`` takes them)."""
+    objs = _objects(lines, []).where("__v IS NOT NULL").select(
+        F.monotonically_increasing_id().alias("__line"), F.json_object_keys("value").alias("__keys"), "__v")
+    each = objs.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    keys = (each.groupBy("key").agg(F.min(F.struct("__line", F.array_position("__keys", F.col("key")))).alias("__first"),
+                                    F.schema_of_variant_agg("value").alias("__t"))
+            .orderBy("__first").limit(max_keys + 1).select("key", variant_type(F.col("__t")).alias("type")).collect())
+    return None if len(keys) > max_keys else [(r["key"], r["type"]) for r in keys]
 
 
 def json_field_map(lines: DataFrame) -> dict[str, str | None]:
@@ -298,28 +314,31 @@ def parse_json_lines(lines: DataFrame, fmt: LogFormat | None = None, schema: str
                      columns: list[str] | None = None, keep: list[str] | None = None) -> ParseResult:
     """JSON objects → typed columns.  With ``schema`` (DDL) the lines go
     through ``from_json``; otherwise the keys and types of the whole input are
-    inferred (``infer_json_fields``) and read from the parsed VARIANT.  The
+    inferred (``infer_json_fields``) and read from the parsed VARIANT.  An input of more
+    keys than columns can be keeps its objects whole in a VARIANT column ``record``.  The
     field-mapped timestamp becomes a TIMESTAMP; a line that is not a JSON
     object is rejected.  ``columns`` prunes the result (and what is read from
     the objects) to those fields."""
     fmt = fmt or PRESETS["json"]
     keep = [c for c in lines.columns if c != "value"] if keep is None else list(keep)
-    ok = _json_object(F.col("value"))
-    stage = _last_key_wins(lines).select(*keep, "value", ok.alias("__m"))
-    good = stage.filter("__m")
+    opened = open_records(lines, keep, "__v")
+    rejected = opened.rejected
     if schema:
+        good = _last_key_wins(lines).select(*keep, "value", _json_object(F.col("value")).alias("__m")).filter("__m")
         parsed = good.select(*keep, F.from_json("value", schema).alias("__r")).select(*keep, "__r.*")
     else:
         fields = infer_json_fields(lines)
-        v = F.try_parse_json(F.col("value"))
-        parsed = good.select(*keep, v.alias("__v")).select(
-            *keep, *[F.try_variant_get(F.col("__v"), _key_path(k), t).alias(k) for k, t in fields])
+        if fields is None:
+            mapped = {k: "string" for k in dict.fromkeys([*(columns or ()), *fmt.field_map.values()])}
+            parsed = shred(opened.records, mapped, "__v").withColumnRenamed("__v", "record")
+            columns = [*columns, "record"] if columns else None
+        else:
+            parsed = shred(opened.records, {k: t for k, t in fields if not columns or k in columns}, "__v").drop("__v")
     ts = fmt.field_map.get("timestamp")
     if ts and ts in parsed.columns:
         parsed = parsed.withColumn(ts, F.try_to_timestamp(F.col(ts).cast("string")))
     if columns:
         parsed = parsed.select(*keep, *[c for c in columns if c in parsed.columns])
-    rejected = stage.filter(~F.col("__m")).select(*keep, "value")
     return ParseResult(parsed, rejected, fmt)
 
 

@@ -189,3 +189,29 @@ def test_a_cluster_without_shared_folder_is_refused():
                               getConf=lambda: SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_a_hundred_thousand_json_keys(spark, tmp_path):
+    """Objects of any keys parse, one parse per line, and keep every value."""
+    lines = spark.range(1000).selectExpr(
+        "concat('{\"timestamp\": \"2024-01-01T00:00:00Z\", \"status\": ', id, ', ', array_join(transform(sequence(0, 99), "
+        "i -> concat('\"k', id * 100 + i, '\": ', i)), ', '), '}') value").union(spark.createDataFrame([("{broken",), ("text",)], "value string"))
+    lines.write.text(str(tmp_path / "lines"))
+    res = TX.parse_json_lines(TX.read_lines(spark, str(tmp_path / "lines")), keep=[])
+    assert res.rejected.count() == 2 and "record" in res.records.columns
+    res.records.write.parquet(str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    keys = TX.open_keys(landed)
+    assert keys.count() == 100_002
+    assert {tuple(r) for r in keys.where("key IN ('status', 'k77')").collect()} == {("status", "bigint", 1000), ("k77", "bigint", 1)}
+    got = TX.shred(landed.select("timestamp", "record"), {"k12345": "bigint", "status": "int"}).where("k12345 IS NOT NULL").collect()
+    assert [(r["k12345"], r["status"], r["timestamp"].year) for r in got] == [(45, 123, 2024)]
+    plan = res.records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_json_keys_in_order_with_merged_types(spark):
+    lines = spark.createDataFrame([('{"z": 1, "a": 2.5, "m": true}',), ('{"a": 1, "z": "x", "n": null}',), ("[1]",)], "value string").coalesce(1)
+    assert TX.infer_json_fields(lines) == [("z", "string"), ("a", "double"), ("m", "boolean"), ("n", "string")]
+    assert TX.parse_json_lines(lines, columns=["a"]).records.columns == ["a"]
+    assert TX.infer_json_fields(lines.limit(0)) == []
