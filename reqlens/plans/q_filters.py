@@ -8,7 +8,7 @@ from reqlens.operators import filters as FL
 from reqlens.operators import stats
 from reqlens.plans import duck
 from reqlens.plans.registry import register
-from reqlens.sources.fixtures import requests_relation, with_requests
+from reqlens.sources.fixtures import requests_relation, with_requests, table
 
 # Fixed test parameters for the filter queries.
 F1_START, F1_END = "2024-01-03T00:00:00", "2024-01-05T21:00:00+09:00"
@@ -54,6 +54,29 @@ def f4_client_cidr(spark, sf):
     return FL.filter_client(requests_relation(spark, sf), F4_SPECS).select("event_id", "client_ip")
 
 
+# 2,000 IPv4 blocks (every third /26), 25 IPv6 /48 and one /47, single addresses
+LONG_LIST = ([f"10.{n >> 10 & 255}.{n >> 2 & 255}.{(n & 3) << 6}/26" for n in range(0, 6000, 3)]
+             + [f"2001:db8:{i:x}::/48" for i in range(25)] + ["2001:db8:31::1/47", "10.0.0.1", "10.0.0.0/99", "nonsense/8"])
+
+
+def _clients(spark, sf):
+    """Requests, every second one from an IPv6 client."""
+    user = table(spark, sf, "events").select("event_id", "user_id")
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("user_id") % 50)), F.lit("::"), F.lower(F.hex(F.col("user_id") % 65536)))
+    return (requests_relation(spark, sf).join(user, "event_id")
+            .select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("client_ip")).otherwise(v6).alias("client_ip")))
+
+
+@register("f4b_client_networks", with_requests("""
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN client_ip
+                      ELSE '2001:db8:' || printf('%x', user_id % 50) || '::' || printf('%x', user_id % 65536) END AS client_ip
+FROM requests JOIN (SELECT event_id, user_id FROM events) USING (event_id)
+WHERE CASE WHEN event_id % 2 = 0 THEN ((user_id % 16777216) // 64 < 6000 AND (user_id % 16777216) // 64 % 3 = 0) OR client_ip = '10.0.0.1'
+           ELSE user_id % 50 < 25 OR user_id % 50 IN (48, 49) END"""))
+def f4b_client_networks(spark, sf):
+    return FL.filter_client(_clients(spark, sf), LONG_LIST)
+
+
 @register("f5_url_list", with_requests("""
 SELECT event_id, request_url FROM requests WHERE request_url IN (
   SELECT request_url FROM requests GROUP BY 1 ORDER BY count(*) DESC, request_url LIMIT 10)"""))
