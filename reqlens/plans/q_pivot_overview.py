@@ -133,12 +133,7 @@ def l5_rebucket(spark, sf):
 
 
 @register("l6_scatter_sample", with_requests("""
-SELECT count(*) AS n_input, least(1000000, count(*)) AS n_points
-FROM requests WHERE time IS NOT NULL AND target_processing_time > 0"""))
+SELECT event_id, status FROM requests WHERE time IS NOT NULL AND target_processing_time > 0
+ORDER BY md5('42|' || event_id), event_id LIMIT 400"""))
 def l6_scatter_sample(spark, sf):
-    req = requests_relation(spark, sf)
-    eligible = req.filter(F.col("time").isNotNull() & (F.col("target_processing_time") > 0))
-    sample = O.scatter_sample(req, ["event_id"], max_points=1_000_000)
-    tagged = (eligible.select(F.lit(1).alias("i"), F.lit(0).alias("p"))
-              .unionByName(sample.select(F.lit(0).alias("i"), F.lit(1).alias("p"))))
-    return tagged.agg(F.sum("i").cast("bigint").alias("n_input"), F.sum("p").cast("bigint").alias("n_points"))
+    return O.scatter_sample(requests_relation(spark, sf), ["event_id"], max_points=400).select("event_id", "status")

@@ -203,35 +203,30 @@ def t11_scatter_target_ip(spark, sf):
     return pts.select("event_id", "group")
 
 
-_CAP = 5000
+_CAP = 300       # under the row count at every scale
+
+
+_SAMPLE_SQL = "ORDER BY md5('42|' || event_id), event_id LIMIT"
 
 
 @register("t12_downsample", with_requests(f"""
-SELECT count(*) AS n_input, least({_CAP}, count(*)) AS n_points, least({_CAP}, count(*)) AS n_members
-FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL"""))
+SELECT event_id, status FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL {_SAMPLE_SQL} {_CAP}"""))
 def t12_downsample(spark, sf):
-    req = requests_relation(spark, sf)
-    pts = S.scatter_points(req, keep=["event_id"])
-    sample = S.downsample(pts, ["event_id"], max_points=_CAP)
-    members = sample.join(pts.select("event_id"), "event_id", "left_semi")
-    tagged = (pts.select(F.lit(1).alias("i"), F.lit(0).alias("p"), F.lit(0).alias("m"))
-              .unionByName(sample.select(F.lit(0).alias("i"), F.lit(1).alias("p"), F.lit(0).alias("m")))
-              .unionByName(members.select(F.lit(0).alias("i"), F.lit(0).alias("p"), F.lit(1).alias("m"))))
-    return tagged.agg(F.sum("i").cast("bigint").alias("n_input"), F.sum("p").cast("bigint").alias("n_points"),
-                      F.sum("m").cast("bigint").alias("n_members"))
+    pts = S.scatter_points(requests_relation(spark, sf), keep=["event_id"])
+    return S.downsample(pts, ["event_id"], max_points=_CAP).select("event_id", "status")
 
 
-@register("t13_scatter_counters", with_requests("""
-SELECT (SELECT count(*) FROM requests) AS original_rows, least(50000, count(*)) AS plotted_rows,
+@register("t13_scatter_counters", with_requests(f"""
+SELECT (SELECT count(*) FROM requests) AS original_rows, count(*) AS plotted_rows,
        count(DISTINCT CASE WHEN status IS NULL THEN 'unknown' WHEN status < 300 THEN 'success'
                            WHEN status < 400 THEN 'redirect' WHEN status < 500 THEN 'client_error'
                            ELSE 'server_error' END) AS distinct_groups,
        0 AS patterns_applied
-FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL"""))
+FROM (SELECT status FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL {_SAMPLE_SQL} {_CAP})"""))
 def t13_scatter_counters(spark, sf):
     req = requests_relation(spark, sf)
-    pts = S.scatter_points(req)
-    return S.scatter_counters(req, S.downsample(pts, ["time", "response_ms", "status"], 50000))
+    pts = S.scatter_points(req, keep=["event_id"])
+    return S.scatter_counters(req, S.downsample(pts, ["event_id"], _CAP))
 
 
 @register("t14_display_ranking", with_requests("""
