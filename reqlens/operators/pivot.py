@@ -2,7 +2,8 @@
 
 The scalable result is the long form ``(row, col, value)`` — one hash
 aggregate over ``(row, col)``.  The wide, zero-filled grid (V8) is Spark's
-``pivot`` over an explicit, size-checked list of column values.
+``pivot`` over an explicit, size-checked list of column values; ``dense_grid``
+is the same grid in long form, with no limit on its buckets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.functions.exprs import bucket_of, status_group
+from reqlens.functions.exprs import bucket_of, interval_seconds, status_group
 from reqlens.operators.filters import apply_row_filter
 from reqlens.operators.quantiles import group_quantiles
 from reqlens.operators.stats import quantiles
@@ -83,3 +84,16 @@ def pivot_wide(long: DataFrame, values: Sequence | None = None, fill: float = 0)
         vals = list(values)
     wide = long.groupBy("row").pivot("col", vals).agg(F.first("value"))
     return wide.na.fill(fill)
+
+
+def dense_grid(long: DataFrame, interval: str, fill: float = 0) -> DataFrame:
+    """V8 in long form, for any number of columns: every row has all buckets
+    of its own span, absent cells ``fill``.
+
+    The spine is generated, ``sequence`` over each row's first and last
+    bucket, and joined with the cells; nothing is fetched and no list of
+    columns exists, so there is no limit on buckets."""
+    span = long.groupBy("row").agg(F.min("col").alias("__lo"), F.max("col").alias("__hi"))
+    step = F.expr(f"INTERVAL '{interval_seconds(interval)}' SECOND")
+    spine = span.select("row", F.explode(F.sequence("__lo", "__hi", step)).alias("col"))
+    return spine.join(long, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(fill).cast(long.schema["value"].dataType)))

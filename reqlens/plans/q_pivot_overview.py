@@ -90,6 +90,17 @@ def v8_pivot_wide(spark, sf):
     return V.pivot_wide(long, values=["2xx", "3xx", "4xx", "5xx"])
 
 
+@register("v8b_dense_grid", with_requests(f"""
+SELECT s.row, s.col, coalesce(c.value, 0) AS value
+FROM (SELECT "row", unnest(range(min(col), max(col) + INTERVAL 10 MINUTE, INTERVAL 10 MINUTE)) AS col FROM cells GROUP BY 1) s
+LEFT JOIN cells c ON c.row = s.row AND c.col = s.col""", extra_ctes=f"""cells AS (
+  SELECT request_verb AS "row", {duck.bucket('time', "INTERVAL '10 minutes'")} AS col, count(*) AS value
+  FROM requests WHERE request_verb IS NOT NULL AND time IS NOT NULL GROUP BY 1, 2)"""))
+def v8b_dense_grid(spark, sf):
+    long = V.pivot_long(requests_relation(spark, sf), "request_verb", "time", interval="10m")
+    return V.dense_grid(long, "10m")
+
+
 @register("l1_totals", with_requests(f"""
 SELECT count(*) AS total_requests, CAST(coalesce(sum(sent_bytes), 0) AS BIGINT) AS total_bytes,
        {r("count(*) FILTER (WHERE CAST(status AS VARCHAR) LIKE '4%' OR CAST(status AS VARCHAR) LIKE '5%') "

@@ -4,6 +4,7 @@ from reqlens.operators import stats
 from reqlens.session import shared_dir
 from reqlens.sinks import writers as W
 from reqlens.sources import formats as FM
+from reqlens.streaming import live
 from reqlens.streaming.live import live_window_counts, read_window_counts
 
 LINES = [
@@ -74,3 +75,46 @@ def test_streaming_count_across_batches(spark):
     landed = spark.read.parquet(out)
     assert landed.select("batch").distinct().count() == 2
     assert [r["count"] for r in read_window_counts(spark, out).collect()] == [2]
+
+
+def test_hundred_batches_are_compacted(spark):
+    """Merged every ten batches, 100 batches leave few folders; every reading
+    between equals the sum of all rows landed so far."""
+    from pyspark.sql import functions as F
+    out, total = shared_dir(spark, "t-live-compact"), 0
+    all_rows = spark.range(100).select(
+        F.col("id").alias("batch"), F.timestamp_seconds(F.col("id") % 7).alias("window_start"),
+        F.timestamp_seconds(F.col("id") % 7 + 1).alias("window_end"), (F.col("id") + 1).alias("count"))
+    staged = shared_dir(spark, "t-live-staged")
+    all_rows.write.partitionBy("batch").parquet(staged)
+    rows = spark.read.parquet(staged).cache()
+    for tens in range(10):
+        for b in range(10 * tens, 10 * tens + 10):
+            if b in (0, 9, 95, 99) or b % 10 == 5:          # batches without rows are folders too
+                rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.parquet(f"{out}/batch={b}")
+                total += b + 1
+        live.compact_window_counts(spark, out)
+        assert read_window_counts(spark, out).agg(F.sum("count")).first()[0] == total
+    assert len(live._children(spark, out, "batch=")) <= 4 and len(live._children(spark, f"{out}/_manifest", "v=")) <= 2
+    # a repeated newest batch overwrites itself and is not counted twice
+    rows.where("batch = 99").drop("batch").write.mode("overwrite").parquet(f"{out}/batch=99")
+    assert read_window_counts(spark, out).agg(F.sum("count")).first()[0] == total
+
+
+def test_stream_compacts_as_it_runs(spark):
+    src = shared_dir(spark, "t-live-run")
+    for i in range(6):
+        spark.createDataFrame([(x,) for x in LINES[i % 3:i % 3 + 1]], "value STRING").coalesce(1).write.text(f"{src}/f{i}")
+    q, out = live_window_counts(spark, f"{src}/*", FM.preset("httpd"), max_files_per_trigger=1, compact_every=2)
+    q.awaitTermination()
+    assert live._children(spark, f"{out}/_manifest", "v=")
+    assert sorted(r["count"] for r in read_window_counts(spark, out).collect()) == [2, 4]
+
+
+def test_dense_grid_has_every_bucket(spark):
+    """20,000 ten-second buckets between two cells."""
+    from reqlens.operators.pivot import dense_grid
+    long = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 00:00:00', 5L), ('a', TIMESTAMP_NTZ '2024-01-03 07:33:10', 7L), "
+                     "('b', TIMESTAMP_NTZ '2024-01-01 00:00:00', 1L) AS t(row, col, value)")
+    got = dense_grid(long, "10s").groupBy("row").agg({"value": "sum", "*": "count"}).collect()
+    assert sorted(tuple(r) for r in got) in ([("a", 12, 20_000), ("b", 1, 1)], [("a", 20_000, 12), ("b", 1, 1)])
