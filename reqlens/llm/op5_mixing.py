@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -39,15 +40,18 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     seats = min(seats, sum(m for m, v in zip(most, votes) if v > 0))
     if total <= 0 or seats <= 0:
         return [0] * len(votes)
-    # start a little below the exact shares, then hand out the rest one by one
-    got = [min(m, max(0, int(v / total * seats) - 1)) if v > 0 else 0 for v, m in zip(votes, most)]
-    heap = [(-Fraction(v) / (2 * s + 1), i) for i, (v, s, m) in enumerate(zip(votes, got, most)) if v > 0 and s < m]
+    # quotients v/(s + 1/2) above 2 * total / (2 * seats - parties) are fewer than the seats, so all of them win, however
+    # large or small a party is; the rest is handed out one by one
+    votes = [Fraction(v) for v in votes]
+    total, left = sum(votes), 2 * seats - sum(v > 0 for v in votes)
+    got = [min(m, max(0, ceil((v * left - total) / (2 * total)))) if v > 0 and left > 0 else 0 for v, m in zip(votes, most)]
+    heap = [(-v / (2 * s + 1), i) for i, (v, s, m) in enumerate(zip(votes, got, most)) if v > 0 and s < m]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):
         _, i = heapq.heappop(heap)
         got[i] += 1
         if got[i] < most[i]:
-            heapq.heappush(heap, (-Fraction(votes[i]) / (2 * got[i] + 1), i))
+            heapq.heappush(heap, (-votes[i] / (2 * got[i] + 1), i))
     return got
 
 

@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -111,6 +112,21 @@ def test_sainte_lague_gives_the_highest_quotients():
         assert mixing.sainte_lague(votes, seats) == [want[i] if any(votes) else 0 for i in range(len(votes))]
 
 
+def test_sainte_lague_of_one_large_and_many_small():
+    """Highest quotients may give the large one less than its exact share."""
+    def brute(votes, seats):
+        top = sorted((-Fraction(v, 2 * s + 1), i) for i, v in enumerate(votes) if v for s in range(seats))[:seats]
+        won = Counter(i for _, i in top)
+        return [won[i] for i in range(len(votes))]
+    assert mixing.sainte_lague([10000] + [100] * 51, 151)[0] == brute([10000] + [100] * 51, 151)[0] == 98
+    rnd = random.Random(4)
+    for _ in range(60):
+        votes = [rnd.randrange(2000, 9000)] + [rnd.randrange(0, 120) for _ in range(rnd.randrange(20, 60))]
+        seats = rnd.randrange(1, 160)
+        assert mixing.sainte_lague(votes, seats) == brute(votes, seats)
+    assert mixing.sainte_lague([900, 50, 50], 20, [3, 20, 20]) == [3, 9, 8]
+
+
 def test_capped_targets():
     assert mixing.capped_targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     # the last source is capped at 30, the rest goes to the others by weight
