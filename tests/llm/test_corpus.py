@@ -118,7 +118,7 @@ def test_sainte_lague_of_one_large_and_many_small():
         top = sorted((-Fraction(v, 2 * s + 1), i) for i, v in enumerate(votes) if v for s in range(seats))[:seats]
         won = Counter(i for _, i in top)
         return [won[i] for i in range(len(votes))]
-    assert mixing.sainte_lague([10000] + [100] * 51, 151)[0] == brute([10000] + [100] * 51, 151)[0] == 98
+    assert mixing.sainte_lague([10000] + [100] * 51, 151) == brute([10000] + [100] * 51, 151)
     rnd = random.Random(4)
     for _ in range(60):
         votes = [rnd.randrange(2000, 9000)] + [rnd.randrange(0, 120) for _ in range(rnd.randrange(20, 60))]
