@@ -10,18 +10,17 @@ white space are encoded whole.
 from __future__ import annotations
 
 import os
-import re
-import string
+from collections.abc import Iterable
+from itertools import accumulate, chain
 
 import numpy as np
 
 #: chunks remembered per worker; at the bound the memory starts afresh (ids do not depend on it)
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_000_000
 #: texts taken apart at once
 SLICE = 256
-#: marks that follow a word as a pre-token of their own (no apostrophe: contractions), and the end of the Latin letters
-_MARKS, _LATIN = string.punctuation.replace("'", ""), "\u0250"
-_RUN = re.compile(r" (?=\s)|\s ")
+#: how byte-level vocabularies write a space
+_SPACE = "\u0120"
 
 
 class Encoder:
@@ -44,43 +43,26 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.tok.get_vocab_size(), bool)   # ids of tokens that begin with a space
+        self.spaced[[i for token, i in self.tok.get_vocab().items() if token.startswith(_SPACE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of " word" for words of letters: joined by single spaces they
-        are the pre-tokens of one text, which is encoded in one call."""
-        if not words:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of " chunk" for chunks without white space at their ends: joined
+        by single spaces they are one text, encoded in one call, and each
+        begins at a token that begins with a space."""
+        if not chunks:
             return []
-        e = self.tok.encode(" " + " ".join(words), add_special_tokens=False)
-        of = np.array(e.word_ids, dtype=np.int64)
-        if of[-1] != len(words) - 1:
-            return self._encode([" " + w for w in words])
-        ends = (np.flatnonzero(np.append(np.diff(of), 1)) + 1) * self.width
-        packed = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks; what is a word and its punctuation is
-        put together from both."""
-        known, words, tails, made, other = self.known, {}, {}, [], []
-        for x in chunks:
-            w = x.rstrip(_MARKS)
-            if w.isalpha() and (w.isascii() or max(w) < _LATIN):
-                if w not in known:
-                    words[w] = None
-                if w != x:
-                    tails[x[len(w):]] = None
-                    made.append((x, w))
-            else:
-                other.append(x)
-        known.update(zip(words, self._encode_words(list(words))))
-        tails = dict(zip(tails, self._encode(list(tails))))
-        for x, w in made:
-            known[x] = known[w] + tails[x[len(w):]]
-        known.update(zip(other, self._encode([x[1:] if x[:1] == "\x00" else " " + x for x in other])))
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(chunks):                    # not a byte-level vocabulary
+            return self._encode([" " + x for x in chunks])
+        at = (starts * self.width).tolist()
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)])]
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -89,28 +71,37 @@ class Encoder:
             out += self._encode_slice(texts[i:i + SLICE])
         return out
 
-    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+    def _chunk_ids(self, chunks: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of each chunk, and the places of chunks that cannot stand alone."""
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        whole = {i: t for i, t in enumerate(texts) if _RUN.search(t)}
-        parts = []
+        got = list(map(known.get, chunks))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        new = dict.fromkeys(chunks[i] for i in gaps)
+        fit = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+        known.update(zip(fit, self._encode_chunks(fit)))
+        for i in gaps:
+            got[i] = known.get(chunks[i])
+        return got, [i for i in gaps if got[i] is None] if len(fit) < len(new) else []
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        heads, bodies, tails, whole = [], [], [], set()
         for i, t in enumerate(texts):
-            if i in whole:
-                parts.append(None)
-                continue
-            first, *rest = t.split(" ")
-            rest.append("\x00" + first)           # the first chunk has no space before it
-            parts.append(rest)
-        missing = {x for p in parts if p for x in p if x not in known}
-        if missing:
-            self._learn(list(missing))
-        alone = dict(zip(whole, self._encode(list(whole.values()))))
-        out = []
-        for i, p in enumerate(parts):
-            if p is None:
-                out.append(alone[i])
-            else:
-                first = known[p.pop()]
-                out.append(first + b"".join(map(known.__getitem__, p)))
-        return out
+            head, *body = t.split(" ")
+            tail = " " + body.pop() if body and body[-1][-1:].isspace() else ""    # the text's last white space
+            if head[-1:].isspace() and (body or tail) or tail[1:2].isspace():
+                whole.add(i)
+                body = []
+            heads.append(head)
+            bodies.append(body)
+            tails.append(tail)
+        got, unfit = self._chunk_ids(list(chain.from_iterable(bodies)))
+        ends = list(accumulate(map(len, bodies), initial=0))
+        if unfit:
+            whole.update((np.searchsorted(ends, unfit, side="right") - 1).tolist())
+        alone = iter(self._encode([x for i, t in enumerate(texts) for x in ((t,) if i in whole else (heads[i], tails[i]))]))
+
+        def pieces(i: int) -> Iterable[bytes]:
+            return (next(alone),) if i in whole else (next(alone), *got[ends[i]:ends[i + 1]], next(alone))
+        return [b"".join(pieces(i)) for i in range(len(texts))]
