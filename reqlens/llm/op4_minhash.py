@@ -11,7 +11,8 @@
 3. Lists are merged without expanding them: every list compares its members
    with a few leaders, and linked nodes become one component.  What is left -
    members of different components in one list - is compared in blocks
-   by counting equal coordinates.
+   by counting equal coordinates.  Members of a list's largest component are
+   never compared with each other: their blocks meet only those of the others.
 4. Every retained pair is confirmed on the full shingle sets.
 
 Postings and blocks are spread by (pair, block), so one huge group of near
@@ -33,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.llm.common import hash_words, land, mix64, partitions, read_table
@@ -47,8 +48,8 @@ SIGNATURE, INDEX = 128, 32
 MISS = 1e-5
 #: leaders that every posting list compares its members with
 LEADERS = 3
-#: members of a posting list compared in one task: two blocks
-BLOCK = 256
+#: a block of a posting list: at most about so many members and shingles (two blocks are compared in one task)
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 _P = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                              0x8EBC6AF09C88C6E3)]
 
@@ -285,15 +286,29 @@ def _block_links(postings: DataFrame, labels: DataFrame, nodes: DataFrame, sets:
     signatures, then - nodes with a candidate only - by their shingle sets, so
     what leaves the tasks is nodes and links, never pairs of candidates."""
     n_parts = partitions(postings.sparkSession)
-    p = postings.join(labels, "node", "left").select("pair", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = (p.groupBy("pair").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi and len > 2").select("pair", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")))
+    known = nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    p = postings.join(known, "node")
+    size = (p.groupBy("pair", "comp").agg(F.count(F.lit(1)).alias("len"), F.sum("n").alias("n")).groupBy("pair")
+            .agg(F.count(F.lit(1)).alias("comps"), F.sum("len").alias("len"), F.sum("n").alias("n"),
+                 F.max(F.struct("len", "n", "comp")).alias("big")).where("comps > 1 and len > 2"))
+
+    def blocks(rows: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    split = blocks(F.col("len"), F.col("n")) > 1
+    mixed = size.select(
+        "pair", F.col("big.comp").alias("big"),
+        F.when(split, blocks(F.col("len") - F.col("big.len"), F.col("n") - F.col("big.n"))).otherwise(1).alias("loose"),
+        F.when(split, blocks(F.col("big.len"), F.col("big.n"))).otherwise(0).alias("settled"))
     mask = postings.groupBy("node").agg(
         F.bit_or(F.expr("shiftleft(1L, cast(shiftright(pair, 32) as int))")).alias("mask"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = (p.join(mixed, "pair").withColumn("own", own)
+    # blocks 0 .. loose - 1 hold the members outside the largest component, the next ones that component
+    inner = (F.col("comp") == F.col("big")) & (F.col("settled") > 0)
+    h = F.xxhash64("node")
+    own = F.when(inner, F.col("loose") + F.pmod(h, F.col("settled"))).otherwise(F.pmod(h, F.col("loose"))).cast("int")
+    last = F.when(inner, F.col("loose") - 1).otherwise(F.col("loose") + F.col("settled") - 1)
+    rows = (p.join(mixed, "pair").withColumn("own", own).withColumn("last", last)
             .join(mask, "node").join(nodes.select("node", "sig"), "node")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
             .select("pair", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                     "own", "node", "comp", "mask", "sig"))
 
@@ -311,7 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     sets = land(document_sets(docs), "minhash-sets")
     nodes = land(sets.where("set_id is not null and doc_id is not null").groupBy("set_id")
-                 .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+                 .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
                  .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     # (doc_id, node) of every row; rows of one id but different texts join their nodes
     member = land(sets.where("doc_id is not null").drop("sig")

@@ -56,10 +56,12 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     check_groups(near.near_duplicates(docs), [tuple(r) for r in docs.collect()])
 
 
-def test_near_duplicates_in_a_drifting_group(spark, monkeypatch):
+@pytest.mark.parametrize("block, shingles", [(16, near.BLOCK_SHINGLES), (near.BLOCK, 1000), (near.BLOCK, near.BLOCK_SHINGLES)])
+def test_near_duplicates_in_a_drifting_group(spark, monkeypatch, block, shingles):
     """A large group whose members are similar to neighbours but not to all,
-    compared in several blocks."""
-    monkeypatch.setattr(near, "BLOCK", 16)
+    compared in several blocks and in one of production size."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles)
     rnd = random.Random(6)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -195,7 +197,8 @@ def test_chunks_give_the_library_s_ids(spark, sf):
     e = Encoder.of(PATH)
     texts = [r["text"] for r in read_table(spark, sf, "documents").collect()]
     texts += ["", " ", "  a", " a b", "a  b", "x\n y", "it's don't, \"q\" a_b 12ab, ab12. <|endoftext|> foo<|endoftext|>bar ",
-              "naïve² ½x ʰa", "日本 語。 x", "é, É!! \x1c z", "tab\tx y", "한국어 text, ÅÄ.", "don't' can't!'"]
+              "naïve² ½x ʰa", "日本 語。 x", "é, É!! \x1c z", "tab\tx y", "한국어 text, ÅÄ.", "don't' can't!'",
+              "a \x00b \x00", "end \n", "end.\n", "\n a", "a\n b", " \nc d\n\n", "\u0120a \u0120", "a \x1cb c\x85 d"]
     want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode_bytes(texts)] == want
 
