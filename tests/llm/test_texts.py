@@ -2,6 +2,8 @@
 import hashlib
 import random
 import re
+import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -112,6 +114,40 @@ def test_every_license_of_a_block_is_reported():
     assert any(x[0] == "Apache-2.0" for a, b in lic.blocks(long) for x in lic.judge_all(long[a:b]))
 
 
+def wrapped(text, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, 72))
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "LGPL-2.1", "CC-BY-SA-4.0"])
+def test_license_of_an_spdx_tag(name):
+    assert [x[2] for x in lic.findings(f"// SPDX-License-Identifier: {name}\nint x;")] == [name]
+
+
+def test_license_texts_that_share_their_beginning():
+    good = " The Software shall be used for Good, not Evil."
+    bsd = lic._REDISTRIBUTION + lic._CONDITIONS
+    for name, text in [("MIT", lic._GRANT + lic._NOTICE), ("MIT-0", lic._GRANT + "."), ("JSON", lic._GRANT + lic._NOTICE + good),
+                       ("BSD-2-Clause", bsd), ("BSD-3-Clause", bsd + lic._ENDORSEMENT), ("0BSD", lic._PERMISSION + "."),
+                       ("ISC", lic._PERMISSION + lic._APPEAR)]:
+        for body in (text, wrapped(text), wrapped(text, "# "), "Some prose.\n" + wrapped(text) + "\n\nMore prose."):
+            assert [x[2] for x in lic.findings(body) if x[-1]] == [name], (name, body)
+
+
+def test_a_license_of_several_paragraphs_is_reported_once():
+    first, rest = lic._NOTICE.split(": ", 1)
+    text = ("Copyright (c) 2020 Someone\n\n" + wrapped(lic._GRANT + first + ":") + "\n\n" + wrapped(rest) + "\n\n"
+            + wrapped('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'))
+    got = [x for x in lic.findings(text) if x[-1]]
+    assert [x[2] for x in got] == ["MIT"] and text[got[0][0]:got[0][1]].startswith("Permission is hereby granted")
+
+
+def test_a_long_list_of_notices_takes_linear_time():
+    text = "\n".join(f"part {i}: Licensed under the {'MIT license' if i % 2 else 'Apache License, Version 2.0'}." for i in range(3000))
+    start = time.process_time()
+    got = Counter(x[2] for x in lic.findings(text))
+    assert got == {"MIT": 1500, "Apache-2.0": 1500} and time.process_time() - start < 30
+
+
 def test_license_scan_finds_every_planted_line(spark, sf, docs):
     got = Counter((r["doc_id"], r["license"]) for r in lic.query(spark, sf).where("confirmed").collect())
     plant = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
