@@ -111,7 +111,7 @@ LOOSE = {
     "phone": re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![\w-])"),
     "email": re.compile(r"(?<![\w.])[\w.]{1,64}(?: ?\[at\] ?| ?\(at\) ?)[\w-]{1,64}(?: ?\[dot\] ?| ?\(dot\) ?|\.)[a-z]{2,12}(?!\w)"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,128}(?![A-Za-z0-9_])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}(?![A-Za-z0-9_])"),
 }
 _BEFORE = re.compile(r"[\w-]{2,16}")
 LABELERS = ("shape", "checksum", "cue", "assignment", "alone", "mixture")

@@ -234,6 +234,12 @@ def test_long_runs_are_linear():
         pii.candidates(t, pii.base_spans(t))
 
 
+def test_a_token_of_any_length_is_a_candidate():
+    for n in (24, 128, 160, 5000):
+        text = "api_key = " + "aB3" * n
+        assert any(c[:3] == ("secret", 10, len(text)) for c in pii.candidates(text, []))
+
+
 def test_personal_data_query(spark, sf, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in pii.query(spark, sf).collect():
