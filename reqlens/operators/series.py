@@ -286,15 +286,17 @@ def group_sizes(points: DataFrame) -> DataFrame:
 _COUNTED = 5
 
 
-def downsample(points: DataFrame, key: Sequence[str], max_points: int, seed: int = 42) -> DataFrame:
+def downsample(points: DataFrame, key: Sequence[str], max_points: int | None, seed: int = 42) -> DataFrame:
     """The ``max_points`` rows whose key has the smallest seeded hash,
-    ``md5(seed|key...)``, ties by key; all rows if there are fewer.
+    ``md5(seed|key...)``, ties by key; all rows if there are fewer, or for None.
 
     Exactly ``orderBy(hash).limit(n)``, but no task merges ``n`` rows of every
     other one: rows are counted by the first digits of their hash (at most 16 ** 5
     counters, added up on the map side, reading the key alone), the running
     count gives the last digits that are needed, and only rows up to them, hardly
     more than ``max_points``, reach the final top-K.  One lazy plan, two scans."""
+    if max_points is None:
+        return points
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
     head = lambda c: F.conv(F.substring(c, 1, _COUNTED), 16, 10).cast("long")
     per = points.select(head(h).alias("__b")).groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))

@@ -216,17 +216,18 @@ def t12_downsample(spark, sf):
     return S.downsample(pts, ["event_id"], max_points=_CAP).select("event_id", "status")
 
 
-@register("t13_scatter_counters", with_requests(f"""
+@register("t13_scatter_counters", with_requests("""
 SELECT (SELECT count(*) FROM requests) AS original_rows, count(*) AS plotted_rows,
        count(DISTINCT CASE WHEN status IS NULL THEN 'unknown' WHEN status < 300 THEN 'success'
                            WHEN status < 400 THEN 'redirect' WHEN status < 500 THEN 'client_error'
                            ELSE 'server_error' END) AS distinct_groups,
        0 AS patterns_applied
-FROM (SELECT status FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL {_SAMPLE_SQL} {_CAP})"""))
+FROM requests WHERE time IS NOT NULL AND target_processing_time IS NOT NULL"""))
 def t13_scatter_counters(spark, sf):
+    """Counters of the whole chart: every point is plotted."""
     req = requests_relation(spark, sf)
     pts = S.scatter_points(req, keep=["event_id"])
-    return S.scatter_counters(req, S.downsample(pts, ["event_id"], _CAP))
+    return S.scatter_counters(req, S.downsample(pts, ["event_id"], None))
 
 
 @register("t14_display_ranking", with_requests("""
