@@ -28,13 +28,18 @@ COMBINED_COLUMNS = ["client_ip", "identity", "user", "time", "request", "status"
 _LANDED: dict[tuple, str] = {}
 
 
+def _write_gzip(lines, path: str) -> None:
+    # read once or twice and dropped: the fastest level
+    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
 def land_lines(spark, sf: str, fmt: str, junk: bool = True):
     """Write the rendered lines as gzip text into the shared folder (once per
     application and input); read them back."""
     key = (spark.sparkContext.applicationId, sf, fmt, junk)
     if key not in _LANDED:
         path = shared_dir(spark, f"lines-{fmt}")
-        FX.log_lines(spark, sf, fmt, junk).write.option("compression", "gzip").text(path)
+        _write_gzip(FX.log_lines(spark, sf, fmt, junk), path)
         _LANDED[key] = path
     return TX.read_lines(spark, _LANDED[key])
 
@@ -115,7 +120,7 @@ def _norm(df):
 def s1_s2_read_lines(spark, sf):
     base = shared_dir(spark, "lines-all")
     for f in FX.LINE_FORMATS:
-        FX.log_lines(spark, sf, f).write.option("compression", "gzip").text(f"{base}/{f}")
+        _write_gzip(FX.log_lines(spark, sf, f), f"{base}/{f}")
     lines = TX.read_lines(spark, f"{base}/*/part-*")
     return (lines.groupBy(F.regexp_extract("file", r"/([a-z_]+)/part-[^/]*$", 1).alias("line_set"))
             .agg(F.count(F.lit(1)).alias("n_lines")))

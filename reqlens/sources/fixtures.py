@@ -26,6 +26,8 @@ broadcast by the size-checked ``autoBroadcastJoinThreshold``, never by hint).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +43,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def requests_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``requests`` for the tables in ``sf_dir`` (see module docstring)."""
+#: rows of ``events`` and of ``documents`` that one task makes lines of
+EVENTS_A_TASK, DOCUMENTS_A_TASK = 50_000, 2_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    return max(1, math.ceil(df.count() / rows))
+
+
+def requests_relation(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``requests`` for the tables in ``sf_dir`` (see module docstring).
+
+    ``spread`` deals the events over tasks of ``EVENTS_A_TASK`` rows: a row of some
+    20 bytes in the file becomes 400 bytes of text, and the file may have few
+    row groups, so its splits say little about the work."""
     events = table(spark, sf_dir, "events")
+    if spread:
+        events = events.repartition(tasks_for(events, EVENTS_A_TASK), "event_id", "ts", "user_id")
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("request_url"))
     # cardinality of a dimension table: one scalar to the driver
     n_pages = pages.count()
@@ -196,14 +212,16 @@ def render_lines(req: DataFrame, fmt: str, *keep: Column) -> DataFrame:
     return req.select(*keep, line.alias("value"))
 
 
-def junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def junk_lines(spark: SparkSession, sf_dir: str, *keep: Column) -> DataFrame:
     """Every line of every document, as non-log noise.  Lines end as Spark's
     text reader ends them: at LF, CR or CR LF."""
-    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\r\n|\r|\n")).alias("value"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text").repartition(tasks_for(docs, DOCUMENTS_A_TASK), "doc_id")
+    return docs.select(*keep, F.explode(F.split("text", "\r\n|\r|\n")).alias("value"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, fmt: str, junk: bool = True) -> DataFrame:
-    lines = render_lines(requests_relation(spark, sf_dir), fmt)
+    lines = render_lines(requests_relation(spark, sf_dir, spread=True), fmt)
     return lines.unionByName(junk_lines(spark, sf_dir)) if junk else lines
 
 

@@ -5,7 +5,14 @@ import glob
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from reqlens.plans import QUERIES
+from reqlens.plans import q_mixed as QM
+from reqlens.plans import q_sources as QS
+from reqlens.session import shared_dir
+from reqlens.sources import fixtures as FX
+from reqlens.sources import text as TX
 
 N = 700
 
@@ -29,3 +36,17 @@ def test_scatter_counters_count_every_point(spark, tables):
     got = QUERIES["t13_scatter_counters"](spark, tables).first()
     # success, redirect, server_error, unknown
     assert tuple(got) == (N, len(plotted), 4, 0)
+
+
+def _tasks(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_rendering_is_dealt_by_rows(spark, tables, monkeypatch):
+    """One row group of events, one of documents: as many tasks as their rows ask for."""
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    monkeypatch.setattr(FX, "DOCUMENTS_A_TASK", 10)
+    lines = FX.log_lines(spark, tables, "json")
+    assert _tasks(lines) == 7 + 5 and lines.count() == N + 50 * 4
+    got = {r["line_set"]: r["n_lines"] for r in QUERIES["s1_s2_read_lines"](spark, tables).collect()}
+    assert got == dict.fromkeys(FX.LINE_FORMATS, N + 50 * 3)
