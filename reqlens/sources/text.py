@@ -233,6 +233,15 @@ def _parse_fallback(lines: DataFrame, fmt: LogFormat, keep: list[str]) -> ParseR
 # ---------------------------------------------------------------------------
 # JSON lines
 # ---------------------------------------------------------------------------
+# how a JSON text starts; a parse that fails costs an exception, some 10 times a match
+JSON_START = r'^(?:[{\["]|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(?:[ \t\r\n]|$)|true|false|null)'
+
+
+def json_text(value: Column) -> Column:
+    """Whether a stripped line is JSON; only lines that start like it are parsed."""
+    return F.coalesce(value.rlike(JSON_START), F.lit(False)) & F.try_parse_json(value).isNotNull()
+
+
 def _json_object(value: Column) -> Column:
     return value.startswith("{") & F.try_parse_json(value).isNotNull()
 
@@ -408,7 +417,7 @@ def format_success_rates(lines: DataFrame, formats: dict[str, LogFormat] | None
     v = F.col("value")
     aggs = []
     for name, f in formats.items():
-        hit = F.try_parse_json(strip_ws(v)).isNotNull() if f.pattern_type == "JSON" else v.rlike(f"^(?:{f.pattern})")
+        hit = json_text(strip_ws(v)) if f.pattern_type == "JSON" else v.rlike(f"^(?:{f.pattern})")
         aggs.append(F.avg(hit.cast("double")).alias(name))
     wide = src.agg(*aggs)
     stack = ", ".join(f"'{n}', `{n}`" for n in formats)

@@ -50,3 +50,15 @@ def test_rendering_is_dealt_by_rows(spark, tables, monkeypatch):
     assert _tasks(lines) == 7 + 5 and lines.count() == N + 50 * 4
     got = {r["line_set"]: r["n_lines"] for r in QUERIES["s1_s2_read_lines"](spark, tables).collect()}
     assert got == dict.fromkeys(FX.LINE_FORMATS, N + 50 * 3)
+
+
+def test_a_line_that_cannot_be_json_is_not_parsed(spark):
+    texts = ['{"a": 1}', "[1]", '"x"', "12", "-1.5e3", "0", "true", "null", "10.0.0.1 - - [x]", "2024-01-01", "007", "nothing", "{x", "-", "+1",
+             "2024 x", "1.", "1.5 tail", '{"a": 1} tail', "falsey", "false", "1e", "NaN", "1\tx", "1 x"]
+    df = spark.createDataFrame([(x,) for x in texts], "value STRING")
+    got = df.select("value", TX.json_text(F.col("value")).alias("now"), F.try_parse_json("value").isNotNull().alias("was")).collect()
+    assert [r["value"] for r in got if r["now"] != r["was"]] == []
+    parsed = df.where(F.col("value").rlike(TX.JSON_START))
+    assert {"10.0.0.1 - - [x]", "2024-01-01", "nothing", "007"}.isdisjoint(r["value"] for r in parsed.collect())
+    plan = TX.format_success_rates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "|true|false|null)" in plan
