@@ -52,6 +52,14 @@ def test_rendering_is_dealt_by_rows(spark, tables, monkeypatch):
     assert got == dict.fromkeys(FX.LINE_FORMATS, N + 50 * 3)
 
 
+def test_line_types_of_many_files(spark, tables, monkeypatch):
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    monkeypatch.setattr(QS, "_LANDED", {})
+    got = {(r["line_set"], r["line_type"]): r["n"] for r in QUERIES["l7_line_types"](spark, tables).collect()}
+    assert got[("json", "JSON")] == N and got[("alb", "ALB")] == N and got[("grok", "UNKNOWN")] == N + 150
+    assert len(glob.glob(f"{QS._LANDED[(spark.sparkContext.applicationId, tables, 'alb', True)]}/*.gz")) >= 7
+
+
 def test_a_line_that_cannot_be_json_is_not_parsed(spark):
     texts = ['{"a": 1}', "[1]", '"x"', "12", "-1.5e3", "0", "true", "null", "10.0.0.1 - - [x]", "2024-01-01", "007", "nothing", "{x", "-", "+1",
              "2024 x", "1.", "1.5 tail", '{"a": 1} tail', "falsey", "false", "1e", "NaN", "1\tx", "1 x"]
