@@ -60,6 +60,16 @@ def test_line_types_of_many_files(spark, tables, monkeypatch):
     assert len(glob.glob(f"{QS._LANDED[(spark.sparkContext.applicationId, tables, 'alb', True)]}/*.gz")) >= 7
 
 
+@pytest.mark.parametrize("name, total", [("s21_s23_resolved_fields", "n")])
+def test_parses_of_many_files(spark, tables, monkeypatch, name, total):
+    """The parse of a line set has the tasks that its files allow, and loses no line."""
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    monkeypatch.setattr(QS, "_LANDED", {})
+    rows = QUERIES[name](spark, tables).where("line_set = 'alb'").select(total, *(["feature"] if total == "n_records" else [])).collect()
+    assert {r[total] for r in rows} == {N} if total == "n_records" else sum(r[total] for r in rows) == N
+    assert len(glob.glob(f"{QS._LANDED[(spark.sparkContext.applicationId, tables, 'nginx', True)]}/*.gz")) >= 7
+
+
 def test_a_line_that_cannot_be_json_is_not_parsed(spark):
     texts = ['{"a": 1}', "[1]", '"x"', "12", "-1.5e3", "0", "true", "null", "10.0.0.1 - - [x]", "2024-01-01", "007", "nothing", "{x", "-", "+1",
              "2024 x", "1.", "1.5 tail", '{"a": 1} tail', "falsey", "false", "1e", "NaN", "1\tx", "1 x"]
