@@ -60,7 +60,7 @@ def test_line_types_of_many_files(spark, tables, monkeypatch):
     assert len(glob.glob(f"{QS._LANDED[(spark.sparkContext.applicationId, tables, 'alb', True)]}/*.gz")) >= 7
 
 
-@pytest.mark.parametrize("name, total", [("s21_s23_resolved_fields", "n")])
+@pytest.mark.parametrize("name, total", [("s21_s23_resolved_fields", "n"), ("s24_feature_availability", "n_records")])
 def test_parses_of_many_files(spark, tables, monkeypatch, name, total):
     """The parse of a line set has the tasks that its files allow, and loses no line."""
     monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
