@@ -62,14 +62,21 @@ def null_token(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 # lines
 # ---------------------------------------------------------------------------
-def read_lines(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
+def folder_of(file: Column) -> Column:
+    """The folder of a path, without a regex a line."""
+    return F.left(file, F.length(file) - F.locate("/", F.reverse(file)))
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], partitions: int | None = None, by_folder: bool = False) -> DataFrame:
     """``(file, value)`` for every non-blank line of one or more files or
     globs (gzip read by extension); lines are whitespace-stripped.
 
     A gzip file cannot be split, so one large ``.gz`` is read by one task;
-    ``partitions`` spreads its lines (round-robin) before the parse."""
+    ``partitions`` spreads its lines (round-robin) before the parse.  With
+    ``by_folder`` a log is a folder of files, and ``file`` names the folder."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    raw = raw.select("value", F.col("_metadata.file_path").alias("__file"))
+    path = F.col("_metadata.file_path")
+    raw = raw.select("value", (folder_of(path) if by_folder else path).alias("__file"))
     if partitions:
         raw = raw.repartition(partitions)
     v = strip_ws(F.col("value"))

@@ -80,3 +80,13 @@ def test_a_line_that_cannot_be_json_is_not_parsed(spark):
     assert {"10.0.0.1 - - [x]", "2024-01-01", "nothing", "007"}.isdisjoint(r["value"] for r in parsed.collect())
     plan = TX.format_success_rates(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "|true|false|null)" in plan
+
+
+def test_no_task_holds_a_whole_log(spark, tables, monkeypatch):
+    """Logs of the mixed folder are several files each, and still one row a log."""
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    lines = QM._mixed_folder(spark, tables)
+    written = spark.read.text(lines.inputFiles()).select(F.col("_metadata.file_path").alias("f")).distinct()
+    assert written.where("f LIKE '%/alb/part=0/%'").count() == 7
+    got = {(r["line_set"], r["part"]): (r["log_type"], r["n"]) for r in QUERIES["s20_file_formats"](spark, tables).collect()}
+    assert len(got) == 21 and got[("alb", 0)] == ("ALB", 234) and got[("nginx", 1)] == ("APACHE", 233) and got[("json", 2)] == ("JSON", 233)
