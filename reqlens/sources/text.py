@@ -33,6 +33,8 @@ HTTPD_FALLBACK_COLUMNS = ("client_ip", "user", "time", "request_method", "reques
 # Detection rules on the head sample.
 ALB_PREFIXES = ("http ", "https ", "h2 ", "ws ", "wss ")
 APACHE_HINT = r'\d+\.\d+\.\d+\.\d+.*\[.*\].*"[A-Z]+.*".*\d{3}'
+# true of the same lines; the nearest continuation is tried first
+_APACHE_HINT_FAST = r'\d\.\d+\.\d+\.\d.*?\[.*?\].*?"[A-Z].*?".*?\d{3}'
 # Line patterns of the single-page edition.
 LINE_ALB = (r'^([^ ]*) ([^ ]*) ([^ ]*) ([^ ]*):([0-9]*) ([^ ]*)[:-]([0-9]*) ([-.0-9]*) ([-.0-9]*) ([-.0-9]*) '
             r'(|[-0-9]*) (-|[-0-9]*) ([-0-9]*) ([-0-9]*) "([^ ]*) (.*?) (- |[^ ]*)" "([^"]*)" (.*)')
@@ -398,7 +400,7 @@ def line_scores(v: Column) -> tuple[Column, Column, Column]:
         alb = alb | v.startswith(p)
     alb = alb & (n_tok > 10) & v.contains("app/")
     js = (v.startswith("{") | v.startswith("[")) & F.try_parse_json(v).isNotNull()
-    return alb, js, v.contains('"') & v.contains("[") & v.rlike(APACHE_HINT)
+    return alb, js, v.contains('"') & v.contains("[") & v.rlike(_APACHE_HINT_FAST)
 
 
 def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:

@@ -90,3 +90,20 @@ def test_no_task_holds_a_whole_log(spark, tables, monkeypatch):
     assert written.where("f LIKE '%/alb/part=0/%'").count() == 7
     got = {(r["line_set"], r["part"]): (r["log_type"], r["n"]) for r in QUERIES["s20_file_formats"](spark, tables).collect()}
     assert len(got) == 21 and got[("alb", 0)] == ("ALB", 234) and got[("nginx", 1)] == ("APACHE", 233) and got[("json", 2)] == ("JSON", 233)
+
+
+def test_records_and_rejects_of_a_mixed_folder_in_one_pass(spark, tables, monkeypatch):
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    df = QUERIES["s2_s19_mixed_folder"](spark, tables)
+    rows = df.collect()
+    assert len(rows) == 21 and sum(r["n_records"] + r["n_rejected"] for r in rows) == 6 * N + 50 * 3
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan text") <= 2
+
+
+def test_apache_hint_has_the_same_truth(spark, tables):
+    texts = [a + b + c + d for a in ("1.2.3.4", "10.20.30.400", "1.2.3.", "x 1.2.3.4 y", "1.2.3.4.5") for b in (" [t] ", " ] [", "[]", " [a] [b")
+             for c in ('"GET /a" ', '"get" "P" ', '"A', '"x" "POST u" "Q" ', '"" ') for d in ("200", "20", "1 22 333", "x")]
+    lines = FX.render_lines(FX.requests_relation(spark, tables), "httpd").union(spark.createDataFrame([(x,) for x in texts], "value STRING"))
+    both = lines.select(F.col("value").rlike(TX.APACHE_HINT).alias("a"), TX.line_scores(F.col("value"))[2].alias("b")).groupBy("a", "b").count().collect()
+    assert {(r["a"], r["b"]) for r in both} == {(True, True), (False, False)}
