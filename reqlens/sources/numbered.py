@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqlens.sources.text import strip_ws
+from reqlens.sources.text import folder_of, strip_ws
 
 #: columns that stand for a line's place until it is numbered
 PLACE = ("__split", "__row")
@@ -31,10 +31,12 @@ def read_numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _rows(spark, paths).withColumn("value", strip_ws(F.col("value"))).filter(F.col("value") != "").select("file", "value", *PLACE)
 
 
-def split_table(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, __split, first row id, lines of the file before it)."""
+def split_table(spark: SparkSession, paths: str | list[str], by_folder: bool = False) -> DataFrame:
+    """(file, __split, first row id, lines of the file before it); with ``by_folder``
+    the lines of its folder before it: one log in several files, in the order of their names."""
     per = _rows(spark, paths).groupBy("file", "__split").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    log = folder_of(F.col("file")) if by_folder else F.col("file")
+    before = Window.partitionBy(log).orderBy("file", "__split").rowsBetween(Window.unboundedPreceding, -1)
     return per.select("file", "__split", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
 
 

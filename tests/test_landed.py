@@ -101,6 +101,15 @@ def test_records_and_rejects_of_a_mixed_folder_in_one_pass(spark, tables, monkey
     assert plan.count("FileScan text") <= 2
 
 
+def test_line_numbers_run_over_the_files_of_a_log(spark, tables, monkeypatch):
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 50)
+    made = []
+    monkeypatch.setattr(QM, "shared_dir", lambda s, name: made.append(shared_dir(s, name)) or made[-1])
+    got = {(r["part"], r["line"], r["value"]) for r in QUERIES["s18c_rejected_line_numbers"](spark, tables).collect()}
+    assert got == {(i % 4, i // 4 + 1, f"# note {i}") for i in range(N) if i % 10 == 3 and i % 25 != 7}
+    assert len(glob.glob(f"{made[0]}/part=1/part-*")) > 1
+
+
 def test_apache_hint_has_the_same_truth(spark, tables):
     texts = [a + b + c + d for a in ("1.2.3.4", "10.20.30.400", "1.2.3.", "x 1.2.3.4 y", "1.2.3.4.5") for b in (" [t] ", " ] [", "[]", " [a] [b")
              for c in ('"GET /a" ', '"get" "P" ', '"A', '"x" "POST u" "Q" ', '"" ') for d in ("200", "20", "1 22 333", "x")]
