@@ -179,28 +179,25 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, columns: list[str] | None = No
     # regex into a pushed-down predicate.
     stage = _one_pass(lines, fmt.pattern, [idx[c] for c in in_regex], keep)
     parts = F.col("__p")
-    raw: dict[str, Column] = {}
-    for c in needed:
-        if c in idx:
-            raw[c] = null_token(F.element_at(parts, in_regex.index(c) + 1))
-        else:
-            raw[c] = F.lit(None).cast("string")
+
+    def of_group(groups: Column, c: str) -> Column:
+        return null_token(F.element_at(groups, in_regex.index(c) + 1)) if c in idx else F.lit(None).cast("string")
     if fmt.pattern_type in ("ALB", "HTTPD") and check:
-        valid = F.coalesce(*[raw[c] for c in check]).isNotNull()
+        valid = F.coalesce(*[of_group(parts, c) for c in check]).isNotNull()
     else:
         valid = F.lit(True)
     ok = F.col("__hit") & valid
     out_cols = [c for c in cols if c in want]
-    fields = [raw[c].alias(c) for c in out_cols]
-    if derived and "request" in needed and "request" not in out_cols:
-        fields.append(raw["request"].alias("request"))
-    picked = stage.select(*keep, F.inline(F.when(ok, F.array(F.struct(*fields)))))
+    # the groups pass the generator as one array, and columns are made of them after it: Catalyst drops those that
+    # nobody reads, and no generated method grows with the number of groups beyond what the JIT compiles
+    picked = stage.select(*keep, F.explode(F.when(ok, F.array(parts))).alias("__groups"))
+    named = picked.select(*keep, *[of_group(F.col("__groups"), c).alias(c) for c in needed])
     projected = [_typed(F.col(c), fmt.types.get(c), fmt).alias(c) for c in out_cols]
     if derived and "request" in needed:
         # the derived request columns always come along (as in the reference)
         m, u, p = _split_request(F.col("request"))
         projected += [m.alias("request_method"), u.alias("request_url"), p.alias("request_proto")]
-    records = picked.select(*keep, *projected)
+    records = named.select(*keep, *projected)
     rejected = stage.select(*keep, F.explode(F.when(~ok, F.array(F.col("value")))).alias("value"))
     return ParseResult(records, rejected, fmt)
 

@@ -13,6 +13,7 @@ from reqlens.plans import q_sources as QS
 from reqlens.session import shared_dir
 from reqlens.sources import fixtures as FX
 from reqlens.sources import text as TX
+from reqlens.sources.formats import PRESETS
 
 N = 700
 
@@ -116,3 +117,22 @@ def test_apache_hint_has_the_same_truth(spark, tables):
     lines = FX.render_lines(FX.requests_relation(spark, tables), "httpd").union(spark.createDataFrame([(x,) for x in texts], "value STRING"))
     both = lines.select(F.col("value").rlike(TX.APACHE_HINT).alias("a"), TX.line_scores(F.col("value"))[2].alias("b")).groupBy("a", "b").count().collect()
     assert {(r["a"], r["b"]) for r in both} == {(True, True), (False, False)}
+
+
+def test_junk_is_landed_once_for_all_line_sets(spark, tables, monkeypatch):
+    monkeypatch.setattr(QS, "_LANDED", {})
+    got = QUERIES["l7_line_types"](spark, tables).groupBy("line_set").sum("n").collect()
+    assert {r[0]: r[1] for r in got} == dict.fromkeys(FX.LINE_FORMATS, N + 50 * 3)
+    landed = {key[2]: spark.read.text(path).count() for key, path in QS._LANDED.items()}
+    assert landed == dict.fromkeys(FX.LINE_FORMATS, N) | {"junk": 50 * 4}
+
+
+@pytest.mark.parametrize("name, column", [("alb", "elb_status_code"), ("httpd", "status")])
+def test_columns_that_nobody_reads_are_not_made(spark, tables, name, column):
+    """A parse of all columns of which one is read: the others' expressions are gone from the plan."""
+    lines = FX.log_lines(spark, tables, name)
+    records = TX.parse_lines(lines, PRESETS[name]).records
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    used = lambda df: plan(df).count("element_at")
+    assert used(records.select(column)) < used(records) / 2
+    assert records.groupBy().count().first()[0] == records.select(column).count() == records.count()
