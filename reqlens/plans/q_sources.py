@@ -36,12 +36,16 @@ def _write_gzip(lines, path: str) -> None:
 def land_lines(spark, sf: str, fmt: str, junk: bool = True):
     """Write the rendered lines as gzip text into the shared folder (once per
     application and input); read them back."""
-    key = (spark.sparkContext.applicationId, sf, fmt, junk)
-    if key not in _LANDED:
-        path = shared_dir(spark, f"lines-{fmt}")
-        _write_gzip(FX.log_lines(spark, sf, fmt, junk), path)
-        _LANDED[key] = path
-    return TX.read_lines(spark, _LANDED[key])
+    def landed(name: str, make, *more) -> str:
+        key = (spark.sparkContext.applicationId, sf, name, *more)
+        if key not in _LANDED:
+            path = shared_dir(spark, f"lines-{name}")
+            _write_gzip(make(), path)
+            _LANDED[key] = path
+        return _LANDED[key]
+    paths = [landed(fmt, lambda: FX.log_lines(spark, sf, fmt, junk=False), junk)]
+    # the junk is the same in every line set: rendered and landed once for all of them
+    return TX.read_lines(spark, [*paths, landed("junk", lambda: FX.junk_lines(spark, sf))] if junk else paths)
 
 
 def _stripped_lines_cte(fmt: str) -> str:
