@@ -22,6 +22,7 @@ table gives an empty table; extra columns are kept by the operators.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,8 @@ class Counter:
         return cls._made[path, pattern]
 
     def __init__(self, path: str, pattern: str):
+        # a task is one core's: the library's own threads would spin on the cores of the other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True        # special strings in a text are ordinary text

@@ -328,3 +328,17 @@ def test_quality_rules_odd_rows(odd, none):
     kept = rules.filter_quality(odd)
     assert kept.columns == odd.columns and kept.count() == 0
     assert rules.filter_quality(none).count() == 0
+
+
+def test_token_counter_keeps_to_its_task_s_core():
+    """The tokenizers library starts no threads of its own in a task, unless the session asks for them."""
+    import os
+    import subprocess
+    import sys
+    code = ("import os, public_tokenizers as p; from reqlens.llm.op3_token_counts import Counter; "
+            "c = Counter.of(p.path('byte_bpe_50k.json'), p.PATTERN); c.leaves('some words are here ' * 500); "
+            "print(os.environ['TOKENIZERS_PARALLELISM'])")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    env |= {"PYTHONPATH": os.pathsep.join(sys.path)}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout
+    assert out.strip() == "false"
