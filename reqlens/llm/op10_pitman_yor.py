@@ -13,22 +13,29 @@ averages over the samples kept give the predictive probabilities.
 
 How it is spread:
 
-* Documents are read once, into *blocks* of about ``BLOCK_TOKENS`` tokens.  A
-  block lists its distinct (word, context) pairs and keeps each token's place
-  among them.
-* Pairs are dealt to *pair buckets* by the hash of both words, so neither a
-  hot word nor a hot context meets in one bucket, and a dish is whole in one.
+* Documents are read once, into *blocks* of about ``BLOCK_TOKENS`` tokens, which
+  are landed as numbers of their words, about a byte and a half a token.
+* Every block sends its distinct (word, context) pairs and their counts, once, to
+  *pair buckets* by the hash of both words, so neither a hot word nor a hot
+  context meets in one bucket, and a dish is whole in one.  A bucket keeps the
+  places of each block's pairs among its own, which ascend: under a byte a pair.
+* A dish of one customer has one table in every draw.  Its share of the sums
+  goes once to the *key bucket* of its word and of its context; only dishes of
+  two customers or more, and their words, take part in the rounds.
 * A sweep is a round: pair buckets draw the tables of their dishes and send
-  partial sums per word and per context to the *key bucket* of that hash; key
+  partial sums per word and per context to the key bucket of that hash; key
   buckets add them up, draw the parent's tables and answer each pair bucket
   with the corpus sums of its words and contexts.  Every round is a landed
   table.  All dishes of a round are drawn given the sums of the round before.
 * A draw's random number comes from the hashes and the round, so results do
   not depend on the number of buckets or partitions.
-* At the end pair buckets answer each block's pairs in the same order, and
-  blocks turn the answers into scores per document.
+* At the end pair buckets answer each block's pairs with counts and sampled
+  tables, key buckets its words with their averages; blocks turn them into
+  scores per document.
+* Shuffle files of a landed table are deleted with its query, and a landed table
+  as soon as nothing reads it, so the disk holds one shuffle at a time.
 
-Four sums reach the driver.  Words are compared by 64-bit hashes.
+The number of buckets follows the tokens.  Six sums reach the driver.  Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id
 counts as held out; repeated rows are scored each; without training documents
@@ -41,7 +48,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +57,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import doc_fold, drop_landed, hash_words, land, mix64, partitions, read_table
+from reqlens.llm.common import doc_fold, drop_landed, hash_words, land, mix64, read_table
 
 FOLDS = 10
-BLOCK_TOKENS = 600_000
+BLOCK_TOKENS = 800_000
 #: discount and strength of the context restaurants and of their parent
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
@@ -63,8 +70,12 @@ BURN_IN, SAMPLES = 3, 3
 SMALL = 128
 #: customers at which the saddle point's error is read off the exact numbers
 FULL = 2048
-#: buckets per shuffle partition; a task holds one bucket at a time
-BUCKETS = 3
+#: tokens of the blocks to a bucket; a task holds one bucket at a time, and fewer buckets name a block's words less often
+BUCKET_TOKENS = 1_350_000
+#: parts of the pair buckets that get the blocks' pairs one after the other, so that a part of them is in shuffle files at a time
+PARTS = 2
+#: bytes that a task passes to Python at once
+BATCH_BYTES = 4 << 20
 SEED = 10
 #: documents taken from a batch at once
 SLICE = 256
@@ -73,11 +84,12 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
+    """Arrays as one compressed value, byte by byte: the high bytes of numbers
+    are mostly zero and compress."""
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        parts += [struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes), a.tobytes()]
+        parts += [struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -85,20 +97,25 @@ def unpack(value: bytes) -> list[np.ndarray]:
     buf, at, out = zstandard.ZstdDecompressor().decompress(value), 0, []
     while at < len(buf):
         kind, size = struct.unpack_from("<2sQ", buf, at)
-        at += 10
-        out.append(np.frombuffer(buf, "<" + kind.decode(), size // int(kind[1:2]), at))
+        at, width = at + 10, int(kind[1:2])
+        rows = np.frombuffer(buf, np.uint8, size, at).reshape(width, -1)
+        out.append(np.ascontiguousarray(rows.T).view("<" + kind.decode()).ravel())
         at += size
     return out
 
 
-def planes(h: np.ndarray) -> np.ndarray:
-    """Ascending hashes as differences, byte by byte: the high bytes of the
-    differences are mostly zero and compress."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def unplanes(b: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(b.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences."""
+    return small(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def steps_back(x: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    return np.cumsum(x, dtype=kind)
 
 
 # ------------------------------------------------------------------- blocks
@@ -109,44 +126,44 @@ def pair_hash(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix64(mix64(word) * _K ^ context)
 
 
-def _block(doc_ids: list, train: list, hashes: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
-    """Rows (block, bucket, payload): requests by bucket, and at bucket -1 the
-    documents with the place of each token's pair in the order of the requests."""
-    block = int.from_bytes(os.urandom(8), "little") >> 1
+def _block(doc_ids: list, train: list, hashes: list[np.ndarray]) -> tuple[int, bytes, int]:
+    """(block, payload, -tokens): the documents, the words and every token's word,
+    words numbered by falling count."""
     sizes = np.array([len(h) for h in hashes], np.int64)
     words, seq = np.unique(np.concatenate(hashes), return_inverse=True)
-    before = np.empty(len(seq), np.int64)
+    count = np.bincount(seq)
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
+    null = np.array([x is None for x in doc_ids], np.uint8)
+    ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
+    return (int.from_bytes(os.urandom(8), "little") >> 1,
+            pack(ids, null, np.array(train, np.uint8), small(sizes), steps(words), small(count), small(rank)[seq]), -len(seq))
+
+
+def _open(payload: bytes, buckets: int) -> tuple:
+    """(ids, null, train, sizes, words, word and context of each distinct pair, its
+    place in the order of the pair buckets, where each bucket's pairs begin, the
+    place of each token's pair): pairs ascend within their bucket."""
+    ids, null, train, sizes, words, count, seq = unpack(payload)
+    sizes, words = sizes.astype(np.int64), steps_back(words, np.uint64)
+    seq = np.argsort(-count.astype(np.int64), kind="stable").astype(np.int32)[seq]
+    before = np.empty_like(seq)
     before[1:] = seq[:-1]
     before[np.cumsum(sizes) - sizes] = np.searchsorted(words, END)      # a text begins after the end of another
-    pairs, place = np.unique(seq * len(words) + before, return_inverse=True)
-    word, context = np.divmod(pairs, len(words))
-    bucket = (pair_hash(words[word], words[context]) % np.uint64(buckets)).astype(np.int64)
+    pairs, place = np.unique(seq * np.int64(len(words)) + before, return_inverse=True)
+    del seq, before
+    word, context = (x.astype(np.int32) for x in np.divmod(pairs, len(words)))
+    bucket = (pair_hash(words[word], words[context]) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    learned = np.repeat(np.array(train, bool), sizes)
-    count = np.bincount(place[learned], minlength=len(pairs)).astype(np.uint32)
-    null = np.array([x is None for x in doc_ids], np.uint8)
-    ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
-    rows = [(block, -1, pack(ids, null, np.array(train, np.uint8), sizes, rank[place]))]
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        own = order[cut[b]:cut[b + 1]]
-        used, at = np.unique(np.concatenate([word[own], context[own]]), return_inverse=True)
-        at = at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-        rows.append((block, int(b), pack(planes(words[used]), at[:len(own)], at[len(own):], count[own])))
-    return rows
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return (ids, null, train, sizes, words, word[order], context[order],
+            np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[place])
 
 
-def document_blocks(docs: DataFrame, buckets: int, folds: int = FOLDS) -> DataFrame:
+def document_blocks(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, train, hashes, n = [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            rows = _block(ids, train, hashes, buckets)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
-                ["block", "bucket", "payload"])
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             for doc_id, learn, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()
@@ -158,15 +175,51 @@ def document_blocks(docs: DataFrame, buckets: int, folds: int = FOLDS) -> DataFr
                 hashes.append(h)
                 n += len(h)
                 if n >= BLOCK_TOKENS:
-                    yield close()
+                    yield _batch([_block(ids, train, hashes)])
                     ids, train, hashes, n = [], [], [], 0
         if ids:
-            yield close()
+            yield _batch([_block(ids, train, hashes)])
     own = docs.select(F.col("doc_id").cast("long"), (doc_fold(F.col("doc_id"), folds) != 0).alias("train"),
                       F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return own.mapInArrow(read, ROW)
 
 
+def _batch(rows: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+    """Rows (block, payload, bucket) as Arrow."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
+                                       enumerate((pa.int64(), pa.binary(), pa.int32()))], ["block", "payload", "bucket"])
+
+
+def _of_blocks(blocks: DataFrame, asks) -> DataFrame:
+    """Rows (block, payload, bucket) that ``asks`` makes of each block's payload."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield _batch([(block, x, b) for b, x in asks(payload.as_py())])
+    return blocks.select("block", "payload").mapInArrow(run, ROW)
+
+
+def _ask_pairs(payload: bytes, buckets: int, part: int, parts: int = PARTS) -> Iterator[tuple[int, bytes]]:
+    """A block's distinct pairs and their training counts, for each pair bucket of a part."""
+    _, _, train, sizes, words, word, context, cut, place = _open(payload, buckets)
+    count = np.bincount(place[np.repeat(train.astype(bool), sizes)], minlength=len(word))
+    for b in np.flatnonzero(np.diff(cut)):
+        if b % parts != part:
+            continue
+        own = slice(cut[b], cut[b + 1])
+        used, at = np.unique(np.concatenate([word[own], context[own]]), return_inverse=True)
+        n = cut[b + 1] - cut[b]
+        yield int(b), pack(steps(words[used]), steps(at[:n]), small(at[n:]), small(count[own]))
+
+
+def _ask_words(payload: bytes, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """A block's words for each key bucket."""
+    words = steps_back(unpack(payload)[4], np.uint64)
+    order, cut = _by_key(words, buckets)
+    for v in np.flatnonzero(np.diff(cut)):
+        yield int(v), pack(steps(words[order[cut[v]:cut[v + 1]]]))
+
+
 # ------------------------------------------------------------------ seating
 class Seating:
     """Tables of many dishes, each with its own customers, moved by Gibbs: a
@@ -242,14 +295,13 @@ def _log_stirling(d: float) -> np.ndarray:
 def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log S_d(c, t) / c! for t < c by saddle point: the coefficient of x^c in
     ((1 - (1 - x)^d) / d)^t / t!."""
-    m = c / t
-    mean = lambda v: d * np.exp(v * (1 - d)) * np.expm1(-v) / np.expm1(-d * v)
-    lo, hi = np.log(np.full(m.shape, 1e-9)), np.log((np.log(m / d) + 2) / (1 - d))
-    for _ in range(44):
-        mid = (lo + hi) / 2
-        above = mean(np.exp(mid)) > m
-        lo, hi = np.where(above, lo, mid), np.where(above, mid, hi)
-    v = np.exp((lo + hi) / 2)
+    # the mean c / t fixes v; log log of it is nearly straight in log v, so Newton's steps settle at once
+    goal = np.log(c / t)
+    v = np.maximum(2 * goal / (1 - d), 1e-9)
+    for _ in range(7):
+        mean = np.maximum(np.log(np.expm1(-v) / np.expm1(-d * v) * d) + v * (1 - d), 1e-300)
+        slope = np.where(v < 1e-3, (1 - d) / 2, (1 - d) + 1 / np.expm1(v) - d / np.expm1(d * v))
+        v = v * np.exp(np.clip(np.log(goal / mean) * mean / (v * slope), -3, 3))
     x, f = -np.expm1(-v), -np.expm1(-d * v)
     spread = c * x * np.exp(v) * ((1 - d) + np.exp(-v) / x - d * np.exp(-d * v) / f)
     return t * np.log(f / d) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread) - _lgamma(t + 1)
@@ -395,27 +447,28 @@ def sample_bucket(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_wo
 
 
 # ------------------------------------------------------------------- rounds
-ROW = "block long, bucket int, payload binary"
-#: step 0: pair bucket to key bucket, 1: key bucket to pair bucket, 2: state of a pair bucket, 3: state of a key bucket
-STEP = "step int, sender int, bucket int, payload binary, c0 double, t0 double, n double, v double"
-PAIRS, TABLES = -1, -2
+ROW = "block long, payload binary, bucket int"
+#: kinds of rows.  Pair bucket to key bucket: tables of the dishes that are drawn, each round, and once the sums that stay;
+#: key bucket to pair bucket; states of a pair bucket: the dishes that are drawn, their tables, all counts, the places of a
+#: block's pairs (sender: the block); states of a key bucket: what stays, and what moves
+SENT, STAYS, TOLD, PAIRS, TABLES, COUNTS, PLACES, WORDS, MOVES = range(9)
+STEP = "step int, sender long, bucket int, payload binary, c0 double, t0 double, n double, v double"
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(),) * 3 + (pa.binary(),) + (pa.float64(),) * 4
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary()) + (pa.float64(),) * 4
     rows = [(*r, *[None] * (8 - len(r))) for r in rows]
     return pa.table({c.split()[0]: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(STEP.split(", "), kinds))})
 
 
 def _merged(asked: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     """(hashes, word, context, count, place of every asked pair) of a bucket."""
-    hashes, of = np.unique(np.concatenate([unplanes(x[0]) for x in asked]), return_inverse=True)
-    base, code = 0, []
-    for own, word, context, _ in asked:
-        own = of[base:base + len(own) // 8]
-        code.append(own[word] * len(hashes) + own[context])
-        base += len(own)
-    pairs, at = np.unique(np.concatenate(code), return_inverse=True)
+    cut = np.cumsum([0, *(len(x[0]) for x in asked)])
+    hashes, of = np.unique(np.concatenate([steps_back(x[0], np.uint64) for x in asked]), return_inverse=True)
+    of = of.astype(np.int32)
+    pairs, at = np.unique(np.concatenate([of[i:][steps_back(word, np.int32)] * np.int64(len(hashes)) + of[i:][context]
+                                          for i, (_, word, context, _) in zip(cut, asked)]), return_inverse=True)
+    at = at.astype(np.int32)
     count = np.bincount(at, weights=np.concatenate([x[3] for x in asked]), minlength=len(pairs)).astype(np.int64)
     return hashes, *np.divmod(pairs, len(hashes)), count, at
 
@@ -427,12 +480,11 @@ def _by_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(key[order], np.arange(buckets + 1))
 
 
-def _send(b: int, hashes: np.ndarray, word: np.ndarray, context: np.ndarray, buckets: int, values: list) -> list[tuple]:
+def _send(kind: int, b: int, hashes: np.ndarray, word: np.ndarray, context: np.ndarray, buckets: int, values: list) -> list[tuple]:
     """Partial sums of ``values`` per word and per context for the key buckets."""
     sums = [np.bincount(of, weights=x, minlength=len(hashes)).astype(np.uint64) for x in values for of in (word, context)]
-    sums = [x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x for x in sums]
     order, cut = _by_key(hashes, buckets)
-    return [(0, b, int(v), pack(planes(hashes[o]), *(x[o] for x in sums)))
+    return [(kind, b, int(v), pack(steps(hashes[o]), *(small(x[o]) for x in sums)))
             for v in np.flatnonzero(np.diff(cut)) for o in (order[cut[v]:cut[v + 1]],)]
 
 
@@ -442,157 +494,184 @@ def _payloads(table: pa.Table) -> list[tuple[int, int, list[np.ndarray]]]:
 
 
 def _begin(table: pa.Table, buckets: int) -> pa.Table:
-    """One pair bucket: merge the blocks' requests; one table for each dish."""
+    """One pair bucket: merge the blocks' requests.  A dish of one customer has
+    one table for good; the others take part in the rounds and begin with one."""
     b = table.column("bucket")[0].as_py()
-    hashes, word, context, count, _ = _merged([unpack(x.as_py()) for x in table.column("payload")])
-    small = lambda x: x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
-    tables = np.minimum(count, 1)
-    return _rows([(2, PAIRS, b, pack(planes(hashes), small(word), small(context), small(count))),
-                  (2, TABLES, b, pack(tables.astype(np.uint8), np.zeros(0, np.uint8))),
-                  *_send(b, hashes, word, context, buckets, [tables, count])])
+    asked = [unpack(x.as_py()) for x in table.column("payload")]
+    hashes, word, context, count, at = _merged(asked)
+    out, base = [(COUNTS, b, b, pack(small(count)))], 0
+    for block, x in zip(table.column("block").to_pylist(), asked):
+        out.append((PLACES, block, b, pack(steps(at[base:base + len(x[1])]))))
+        base += len(x[1])
+    out += _send(STAYS, b, hashes, word, context, buckets, [count == 1, count])
+    drawn = np.flatnonzero(count > 1)
+    if len(drawn):
+        used, at = np.unique(np.concatenate([word[drawn], context[drawn]]), return_inverse=True)
+        hashes, word, context, tables = hashes[used], at[:len(drawn)], at[len(drawn):], np.ones(len(drawn), np.uint8)
+        out += [(PAIRS, b, b, pack(steps(hashes), steps(word), small(context), small(count[drawn]))),
+                (TABLES, b, b, pack(tables, np.zeros(0, np.uint8))), *_send(SENT, b, hashes, word, context, buckets, [tables])]
+    return _rows(out)
 
 
-def _state(rows: list, buckets: int) -> tuple:
-    """(hashes, word, context, count, tables, kept, answers by hash) of a pair bucket."""
-    by = {k: x for s, k, x in rows if s == 2}
-    hashes, word, context, count = by[PAIRS]
-    hashes = unplanes(hashes)
-    order, cut = _by_key(hashes, buckets)
-    told = {k: x for s, k, x in rows if s == 1}
-    answers = []
-    for i in range(len(next(iter(told.values())))):
-        x = np.empty(len(hashes))
-        for v, parts in told.items():
-            x[order[cut[v]:cut[v + 1]]] = parts[i]
-        answers.append(x)
-    tables, kept = (x.astype(np.int64) for x in by[TABLES])
-    return hashes, word.astype(np.int64), context.astype(np.int64), count.astype(np.int64), tables, kept, answers
+def _gather(table: pa.Table) -> pa.Table:
+    """One key bucket: what its words and contexts have for good."""
+    v, rows = table.column("bucket")[0].as_py(), [x for _, _, x in _payloads(table)]
+    hashes, of = np.unique(np.concatenate([steps_back(x[0], np.uint64) for x in rows]), return_inverse=True)
+    sums = [np.bincount(of, weights=np.concatenate([x[i] for x in rows]), minlength=len(hashes)).astype(np.int64) for i in range(1, 5)]
+    return _rows([(WORDS, v, v, pack(steps(hashes), *map(small, sums)), None, None, float(sums[2].sum()), float((sums[2] > 0).sum()))])
 
 
 def _sweep(table: pa.Table, buckets: int, turn: int, root: tuple) -> pa.Table:
-    """One pair bucket: draw all its dishes given the corpus sums."""
-    b = table.column("bucket")[0].as_py()
-    hashes, word, context, count, tables, kept, (left, t_k) = _state(_payloads(table), buckets)
+    """One pair bucket: draw its dishes of several customers given the corpus sums."""
+    b, rows = table.column("bucket")[0].as_py(), _payloads(table)
+    by = {s: x for s, _, x in rows if s != TOLD}
+    hashes, word, context, count = by[PAIRS]
+    hashes, word, count = steps_back(hashes, np.uint64), steps_back(word), count.astype(np.int64)
+    order, cut = _by_key(hashes, buckets)
+    left, t_k = np.empty(len(hashes)), np.empty(len(hashes))
+    for v, x in ((k, x) for s, k, x in rows if s == TOLD):
+        own = order[cut[v]:cut[v + 1]]
+        left[own], t_k[own] = x
+    tables, kept = (x.astype(np.int64) for x in by[TABLES])
     tables = _draw_pairs(count, tables, left[word], t_k[context], root, pair_hash(hashes[word], hashes[context]), turn)
     if turn >= BURN_IN:
         kept = tables + (kept if len(kept) else 0)
-    small = lambda x: x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint64)
-    last = turn == BURN_IN + SAMPLES - 1
-    return _rows([(2, TABLES, b, pack(small(tables), small(kept))),
-                  *_send(b, hashes, word, context, buckets, [tables, count] if last else [tables])])
+    return _rows([(TABLES, b, b, pack(small(tables), small(kept))), *_send(SENT, b, hashes, word, context, buckets, [tables])])
 
 
 def _add_up(table: pa.Table, turn: int, root: tuple) -> pa.Table:
     """One key bucket: corpus sums of its words and contexts, the parent's
-    tables, and an answer to each pair bucket.  After the last round the
-    answers are averages over the samples, with the counts."""
+    tables, and an answer to each pair bucket."""
     v, rows = table.column("bucket")[0].as_py(), _payloads(table)
-    asked = [(k, unplanes(x[0]), x[1:]) for s, k, x in rows if s == 0]
-    hashes, of = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
-    sums = [np.bincount(of, weights=np.concatenate([x[i] for _, _, x in asked]), minlength=len(hashes))
-            for i in range(len(asked[0][2]))]
-    c0, t_k = sums[0].astype(np.int64), sums[1]
-    t0, kept_left, kept_t = next((x for s, _, x in rows if s == 3), (np.zeros(len(hashes)),) * 3)
+    hashes, c0, t_k, _, _ = next(x for s, _, x in rows if s == WORDS)
+    hashes, c0, t_k = steps_back(hashes, np.uint64), c0.astype(np.int64), t_k.astype(float)
+    asked = [(k, np.searchsorted(hashes, steps_back(x[0], np.uint64)), x[1:]) for s, k, x in rows if s == SENT]
+    for _, of, (by_word, by_context) in asked:
+        c0[of] += by_word.astype(np.int64)
+        t_k[of] += by_context
+    t0, kept_left, kept_t = next((x for s, _, x in rows if s == MOVES), (np.zeros(len(hashes)),) * 3)
     t0 = _draw_root(c0, t0, root, hashes, turn)
     left = c0 - ROOT_DISCOUNT * t0
     if turn > BURN_IN:
         kept_left, kept_t = kept_left + left / SAMPLES, kept_t + t_k / SAMPLES
-    last = turn == BURN_IN + SAMPLES
-    told = [kept_left, kept_t, sums[2], sums[3]] if last else [left.astype(np.float32), t_k.astype(np.float32)]
-    out, at = [(3, v, v, pack(t0.astype(np.uint32), kept_left, kept_t), float(c0.sum()), float(t0.sum()),
-                *((float(sums[2].sum()), float((sums[2] > 0).sum())) if len(sums) > 2 else ()))], 0
-    for b, h, _ in asked:
-        out.append((1, v, b, pack(*(x[of[at:at + len(h)]] for x in told))))
-        at += len(h)
-    return _rows(out)
-
-
-def _answer(asked: pa.Table, state: pa.Table, buckets: int, root: tuple) -> pa.Table:
-    """One pair bucket: probability and word count of each block's pairs."""
-    b, blocks = asked.column("bucket")[0].as_py(), asked.column("block").to_pylist()
-    requests = [unpack(x.as_py()) for x in asked.column("payload")]
-    at = _merged(requests)[-1]
-    _, word, context, count, _, kept, (left, t_k, c_w, c_k) = _state(_payloads(state), buckets)
+    told = [left.astype(np.float32), t_k.astype(np.float32)]
+    return _rows([(MOVES, v, v, pack(small(t0), kept_left, kept_t), float(c0.sum()), float(t0.sum())),
+                  *((TOLD, v, b, pack(*(x[of] for x in told))) for b, of, _ in asked if turn < BURN_IN + SAMPLES)])
+
+
+def _answer_pairs(table: pa.Table) -> pa.Table:
+    """One pair bucket: counts and sampled tables of each block's pairs."""
+    b, rows = table.column("bucket")[0].as_py(), _payloads(table)
+    by = {s: x for s, _, x in rows if s != PLACES}
+    count = by[COUNTS][0].astype(np.int64)
+    kept = count * SAMPLES
+    if TABLES in by:
+        kept[count > 1] = by[TABLES][1]
+    return pa.Table.from_batches([_batch([(k, pack(small(count[at]), small(kept[at])), b)
+                                          for s, k, x in rows if s == PLACES for at in (steps_back(x[0]),)])])
+
+
+def _answer_words(asked: pa.Table, state: pa.Table) -> pa.Table:
+    """One key bucket: averages over the samples and counts of each block's words,
+    sent as bucket -2 - v."""
+    v, by = asked.column("bucket")[0].as_py(), {s: x for s, _, x in _payloads(state)}
+    hashes, values = steps_back(by[WORDS][0], np.uint64), (*by[MOVES][1:], *by[WORDS][3:])
+    return pa.Table.from_batches([_batch([(k, pack(*(x[of] for x in values)), -2 - v)
+                                          for k, x in zip(asked.column("block").to_pylist(), asked.column("payload"))
+                                          for of in (np.searchsorted(hashes, steps_back(unpack(x.as_py())[0], np.uint64)),)])])
+
+
+def _score_block(table: pa.Table, buckets: int, root: tuple, n: float) -> pa.Table:
+    """Scores of a block's documents from the answers to its pairs and words."""
+    rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
+    ids, null, train, sizes, words, word, context, _, place = _open(rows[-1], buckets)
+    parts = [unpack(rows[b]) for b in sorted(rows) if b >= 0]
+    count, kept = (np.concatenate([x[i] for x in parts]).astype(float) for i in range(2))
+    left, t_k, c_w, c_k = values = [np.empty(len(words)) for _ in range(4)]
+    order, cut = _by_key(words, buckets)
+    for b in (b for b in rows if b < -1):
+        for x, own in zip(values, unpack(rows[b])):
+            x[order[cut[-2 - b]:cut[-1 - b]]] = own
     c0, t0, v = root
     p0 = (left + (ROOT_STRENGTH + ROOT_DISCOUNT * t0) / (v + 1)) / (ROOT_STRENGTH + c0)
-    p = ((count - DISCOUNT * kept / SAMPLES + (STRENGTH + DISCOUNT * t_k[context]) * p0[word]) / (STRENGTH + c_k[context]))
-    known = c_w[word].astype(np.uint64)
-    known = known.astype(np.uint32) if known.max(initial=0) < 1 << 32 else known
-    out, i = [], 0
-    for k, x in zip(blocks, requests):
-        own = at[i:i + len(x[1])]
-        out.append((k, b, pack(p[own].astype(np.float32), known[own])))
-        i += len(own)
-    return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()),
-                     "payload": pa.array([x[2] for x in out], pa.binary())})
-
-
-def _score_block(table: pa.Table, n: float, v: float) -> pa.Table:
-    """Scores of a block's documents from the answers to its pairs."""
-    rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
-    ids, null, train, sizes, place = unpack(rows.pop(-1))
-    parts = [unpack(rows[b]) for b in sorted(rows)]
-    p, c = (np.concatenate([x[i] for x in parts]).astype(float) for i in range(2))
-    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    p = (count - DISCOUNT * kept / SAMPLES + (STRENGTH + DISCOUNT * t_k[context]) * p0[word]) / (STRENGTH + c_k[context])
+    base = np.log10((c_w + 0.1) / (n + 0.1 * (v + 1)))
     ends = np.cumsum(sizes)
     total = lambda x: np.add.reduceat(x[place], ends - sizes)  # noqa: E731  every document has its end token
     return pa.table({
         "doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(train == 0),
-        "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0).astype(np.int64))),
-        "train_tokens": pa.array(np.full(len(ids), int(n))), "base_score": pa.array(total(base)),
-        "score": pa.array(total(np.log10(p)))})
+        "n_tokens": pa.array(sizes), "n_known": pa.array(total((c_w > 0).astype(np.int64)[word])),
+        "train_tokens": pa.array(np.full(len(ids), int(n))), "base_score": pa.array(total(base[word])),
+        "score": pa.array(total(np.log10(p.astype(np.float32).astype(float))))})
+
+
+def _land(df: DataFrame, name: str) -> DataFrame:
+    """:func:`land` with small batches; the shuffle files of a landed table go once
+    it is written, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: conf.get(k, None) for k in own}
+    for k, x in own.items():
+        conf.set(k, x)
+    try:
+        return land(df, name)
+    finally:
+        for k, x in before.items():
+            conf.unset(k) if x is None else conf.set(k, x)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, buckets: int | None = None) -> DataFrame:
     """Model and baseline log10 probabilities of every document of ``docs``,
     learned from those outside fold 0."""
-    buckets = buckets or BUCKETS * partitions(docs.sparkSession)
-    blocks = land(document_blocks(docs, buckets, folds), "py-blocks")
-    asked = blocks.where("bucket >= 0")
-    sent = begun = land(asked.groupBy("bucket").applyInArrow(lambda t: _begin(t, buckets), STEP), "py-begin")
-    fixed = begun.where(f"step = 2 and sender = {PAIRS}")
-    n, v = sums = _known(begun)
+    blocks = _land(document_blocks(docs, folds), "py-blocks")
+    buckets = buckets or -(-(blocks.agg(-F.sum("bucket").cast("long")).first()[0] or 1) // BUCKET_TOKENS)
+    parts = [_land(_of_blocks(blocks, _bound(_ask_pairs, buckets, k)).groupBy("bucket")
+                   .applyInArrow(_bound(_begin, buckets), STEP), "py-begin") for k in range(min(PARTS, buckets))]
+    sent = begun = reduce(DataFrame.union, parts)
+    words = _land(begun.where(f"step = {STAYS}").groupBy("bucket").applyInArrow(_gather, STEP), "py-words")
+    n, v = (x or 0.0 for x in words.agg(F.sum("n"), F.sum("v")).first())
     root, kept, told = (0.0, v, v), [], None
     for turn in range(BURN_IN + SAMPLES + 1):
-        to_keys = sent.where("step = 0")
-        heard = to_keys if told is None else to_keys.union(told.where("step = 3"))
-        before, told = told, land(heard.groupBy("bucket").applyInArrow(_bound(_add_up, turn, root), STEP), "py-keys")
+        heard = sent.where(f"step = {SENT}").union(words)
+        heard = heard if told is None else heard.union(told.where(f"step = {MOVES}"))
+        before, told = told, _land(heard.groupBy("bucket").applyInArrow(_bound(_add_up, turn, root), STEP), "py-keys")
         if before is not None:
             drop_landed(before)
-        got = told.where("step = 3").agg(F.sum("c0"), F.sum("t0")).first()
+        got = told.where(f"step = {MOVES}").agg(F.sum("c0"), F.sum("t0")).first()
         root = (got[0] or 0.0, got[1] or 0.0, v)
         if turn > BURN_IN:
             kept.append(root)
-        state = fixed.union(sent.where(f"step = 2 and sender = {TABLES}")).union(told.where("step = 1"))
         if turn < BURN_IN + SAMPLES:
-            before, sent = sent, land(state.groupBy("bucket").applyInArrow(_bound(_sweep, buckets, turn, root), STEP), "py-tables")
+            state = (begun.where(f"step = {PAIRS}").union(sent.where(f"step = {TABLES}"))
+                     .union(told.where(f"step = {TOLD}")))
+            before, sent = sent, _land(state.groupBy("bucket").applyInArrow(_bound(_sweep, buckets, turn, root), STEP), "py-tables")
             if before is not begun:
                 drop_landed(before)
     root = (*(sum(x[i] for x in kept) / SAMPLES for i in range(2)), v)
-    answers = land(asked.groupBy("bucket").cogroup(state.groupBy("bucket"))
-                   .applyInArrow(lambda a, s: _answer(a, s, buckets, root), ROW), "py-answers")
-    n, v = sums
-    return (blocks.where("bucket = -1").union(answers).groupBy("block")
-            .applyInArrow(lambda t: _score_block(t, n, v),
-                          "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                          "base_score double, score double"))
+    places = begun.where(f"step in ({COUNTS}, {PLACES})").union(sent.where(f"step = {TABLES}"))
+    of_pairs = _land(places.groupBy("bucket").applyInArrow(_answer_pairs, ROW), "py-of-pairs")
+    for x in (*parts, sent):
+        drop_landed(x)
+    asked = _of_blocks(blocks, lambda x: _ask_words(x, buckets))
+    state = words.union(told.where(f"step = {MOVES}"))
+    of_words = _land(asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_answer_words, ROW), "py-of-words")
+    drop_landed(words)
+    drop_landed(told)
+    own = blocks.select("block", "payload", F.lit(-1).alias("bucket"))
+    scores = _land(own.union(of_pairs).union(of_words).groupBy("block")
+                   .applyInArrow(lambda t: _score_block(t, buckets, root, n),
+                                 "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                 "base_score double, score double"), "py-scores")
+    for x in (blocks, of_pairs, of_words):
+        drop_landed(x)
+    return scores
 
 
 def _bound(step, *values):
-    """``step`` of a table, with the ``values`` of now."""
+    """``step`` of a table or payload, with the ``values`` of now."""
     return lambda t: step(t, *values)
 
 
-def _known(begun: DataFrame) -> tuple[float, float]:
-    """N and V: training tokens and distinct known words."""
-    def count(t: pa.Table) -> pa.Table:
-        rows = [unpack(x.as_py()) for x in t.column("payload")]
-        hashes, of = np.unique(np.concatenate([unplanes(x[0]) for x in rows]), return_inverse=True)
-        c = np.bincount(of, weights=np.concatenate([x[3] for x in rows]), minlength=len(hashes))
-        return pa.table({"n": pa.array([float(c.sum())]), "v": pa.array([float((c > 0).sum())])})
-    got = begun.where("step = 0").groupBy("bucket").applyInArrow(count, "n double, v double").agg(F.sum("n"), F.sum("v")).first()
-    return got[0] or 0.0, got[1] or 0.0
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -335,6 +336,39 @@ def test_scores_do_not_depend_on_the_buckets(spark, sf):
     assert one == pytest.approx({d: sum(math.log10(p[x]) for x in t) for d, t in pairs.items()}, rel=1e-4)
 
 
+def test_language_model_disk(spark, monkeypatch):
+    """What lies on disk after each step, and how many rows a step makes."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 1000) % 30_000) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    files = lambda: {f.getName() for f in [x.apply(i) for x in (disk.getAllFiles(),) for i in range(x.size())]
+                     if f.getName().startswith("shuffle_")}
+    disk, live, made, plain = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], [], py.land
+    size = lambda path: sum(p.stat().st_size for p in Path(path).rglob("*.parquet"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def landed(df, name):
+        left = files()
+        out = plain(df, name)
+        tables.append(out._landed.removeprefix("file:"))
+        live.append((name, sum(map(size, tables))))
+        assert files() <= left, name
+        made[-1][name] = made[-1].get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(py, "land", landed)
+    try:
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            tables = []
+            made.append({})
+            assert py.score(docs).count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert max(x for _, x in live) < 1.7 * sum(map(len, texts))
+    # rows do not grow with the partitions that the session happens to have
+    assert made[0] == made[1]
+
+
 def test_language_model_odd_rows(odd, none):
     rows = py.score(odd).collect()
     assert len(rows) == odd.count()
